@@ -37,19 +37,27 @@ def with_halo(df: DataFrame, s: Series, before: int, after: int, rows: int = BLO
     enough.  On irregular series blocks are cut by exact row position, so the
     reach in rows is exact whatever the spacing.
     """
-    df = df.drop(BLOCK)
     if s.step:
-        at, size, unit = micros(s.ts), s.block_micros(rows), s.step * MICROS
-        d = df
-    else:
-        d = positions(df, s, "__pos")
-        at, size, unit = F.col("__pos"), rows, 1
+        return with_time_halo(df, s, before * s.step, after * s.step, s.block_micros(rows))
+    d = positions(df, s, "__pos")
+    return _copy_to_blocks(d, F.col("__pos"), rows, before, after).drop("__pos")
+
+
+def with_time_halo(df: DataFrame, s: Series, before_s: float, after_s: float, size: int | None = None) -> DataFrame:
+    """Like ``with_halo`` with the reach in seconds; always a single shuffle."""
+    return _copy_to_blocks(
+        df, micros(s.ts), size or s.block_micros(), int(before_s * MICROS), int(after_s * MICROS)
+    )
+
+
+def _copy_to_blocks(df: DataFrame, at: Column, size: int, before: int, after: int) -> DataFrame:
+    """Rows keyed by block, with a copy in each other block whose frames reach them."""
     own = floor_div(at, size)
     if before == after == 0:
-        return d.withColumns({BLOCK: own, OWNED: F.lit(True)}).drop("__pos")
-    reach = F.sequence(floor_div(at - after * unit, size), floor_div(at + before * unit, size))
-    d = d.withColumn("__own", own).withColumn(BLOCK, F.explode(reach))
-    return d.withColumn(OWNED, F.col(BLOCK) == F.col("__own")).drop("__own", "__pos")
+        return df.withColumns({BLOCK: own, OWNED: F.lit(True)})
+    reach = F.sequence(floor_div(at - after, size), floor_div(at + before, size))
+    d = df.drop(BLOCK).withColumn("__own", own).withColumn(BLOCK, F.explode(reach))
+    return d.withColumn(OWNED, F.col(BLOCK) == F.col("__own")).drop("__own")
 
 
 def rolling(
@@ -60,9 +68,14 @@ def rolling(
     *stages: Stage,
     rows: int = BLOCK_ROWS,
     keep_block: bool = False,
+    in_seconds: bool = False,
 ) -> DataFrame:
-    """Apply window stages whose frames together reach ``before``/``after`` rows."""
-    d, w = with_halo(df, s, before, after, rows), s.window()
+    """Apply window stages whose frames together reach ``before``/``after`` rows (or seconds)."""
+    if in_seconds:
+        d = with_time_halo(df, s, before, after)
+    else:
+        d = with_halo(df, s, before, after, rows)
+    w = s.window()
     for stage in stages:
         d = d.withColumns(dict(stage(w)))
     d = d.filter(OWNED).drop(OWNED)

@@ -1,0 +1,13 @@
+"""One registered query per operator; importing the modules fills the registry."""
+
+import importlib
+
+from tidegrid.queries import registry
+
+MODULES = ("ingest", "grids")
+
+
+def load():
+    for m in MODULES:
+        importlib.import_module(f"tidegrid.queries.{m}")
+    return registry
