@@ -4,7 +4,7 @@ import importlib
 
 from tidegrid.queries import registry
 
-MODULES = ("ingest", "grids")
+MODULES = ("ingest", "grids", "gaps")
 
 
 def load():
