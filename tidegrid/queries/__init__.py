@@ -4,7 +4,7 @@ import importlib
 
 from tidegrid.queries import registry
 
-MODULES = ("ingest", "grids", "gaps")
+MODULES = ("ingest", "grids", "gaps", "outliers", "featuring")
 
 
 def load():

@@ -351,7 +351,7 @@ def flagship(spark, sf):
     return impute.gap_safe_fill(d, HALF, ["temp"], max_gap_hours=1.0).join(runs, ["event_type", "ts"], "left")
 
 
-@query("flagship_raw_to_features", None)
+@query("flagship_raw_to_clean", None)
 def raw_to_clean(spark, sf):
     """Raw export lines to the cleaned, gridded and filled series in one lazy chain."""
     from tidegrid.operators import grid

@@ -61,7 +61,7 @@ def a02(spark, sf):
     lines = export_lines(spark, sf)
     d = csv.parse(lines, csv.sniff(lines), COLUMNS)
     return d.select(
-        "file", (F.col("pos") - 10).alias("event_id"), F.col("Time").cast("timestamp_ntz").alias("ts"),
+        "file", (F.col("pos") - 10).alias("event_id"), F.col("Time").try_cast("timestamp_ntz").alias("ts"),
         clean_number("`Temp. Mandata`").alias("temp"), clean_number("`Mod. V. Mandata`").alias("fan"),
         F.col("User").cast("bigint").alias("user_id"),
     )

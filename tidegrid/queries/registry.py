@@ -14,7 +14,7 @@ DIGITS = 6
 
 def settled(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show."""
-    return df.withColumns({n: F.round(F.col(n), digits) for n, t in df.dtypes if t == "double"})
+    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n, t in df.dtypes if t == "double"})
 
 
 def query(name: str, sql: str | None = None, digits: int = DIGITS):
