@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_tail(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -30,7 +31,7 @@ def beta_tail(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - r, r)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     x = df / (df + t * t)
     ok = x.notna() & (df > 0)
@@ -40,12 +41,6 @@ def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("double")
-def _normal_cdf(z: pd.Series) -> pd.Series:
-    root = math.sqrt(2.0)
-    return pd.Series([0.5 * math.erfc(-v / root) if v == v else np.nan for v in z.to_numpy(float)], index=z.index)
-
-
 def _null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
@@ -56,7 +51,15 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
 
 def normal_cdf(z: Column) -> Column:
-    return _null(_normal_cdf(z.cast("double")))
+    """Standard normal distribution function: power series near zero, continued fraction in the tails."""
+    z = z.cast("double")
+    y = F.abs(z)
+    density = F.exp(-y * y / 2) / math.sqrt(2 * math.pi)
+    down = F.sequence(F.lit(80), F.lit(1))
+    series = F.aggregate(down, F.lit(1.0), lambda acc, k: 1 + y * y / (2 * k + 1) * acc)
+    fraction = F.aggregate(down, y, lambda acc, k: y + k / acc)
+    upper = F.when(y <= 3, 0.5 - density * y * series).otherwise(density / fraction)
+    return F.when(z <= 0, upper).otherwise(1 - upper)
 
 
 def normal_two_sided(z: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from tidegrid.functions import roles
 from tidegrid.functions.special import t_two_sided
@@ -91,7 +92,7 @@ def kendall_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     ])
     long = d.select(*keys, F.explode(cells).alias("p")).select(*keys, "p.*").filter("x IS NOT NULL AND y IS NOT NULL")
     by = [*keys, "variable_1", "variable_2"]
-    schema = long.select(*by).schema.add("r", "double").add("n", "bigint")
+    schema = long.select(*by).schema.add("r", DoubleType()).add("n", LongType())
 
     def tau(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[by].iloc[:1].copy()

@@ -60,7 +60,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     q = exact_quantiles(d, [], cols, probs)
     edges = q.groupBy().agg(*[F.max(F.when(F.col("variable") == c, F.col("q"))).alias(f"__q_{c}") for c in cols])
     d = attach(d, edges, [])
-    d = d.select(*[F.size(F.filter(f"__q_{c}", lambda e, c=c: e < F.col(c))).alias(c) for c in cols])
+    below = lambda c: F.size(F.filter(f"__q_{c}", lambda e: e < F.col(c)))
+    d = d.select(*[below(c).alias(c) for c in cols])
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(target).alias("y")) for f in features])
     joint = d.select(F.explode(cells).alias("c")).select("c.*").groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     # at most bins x bins rows per feature from here on

@@ -17,12 +17,13 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
 
 
-def with_less(counts: DataFrame, keys: Sequence[str], value: str, edges: int = 256) -> DataFrame:
+def with_less(counts: DataFrame, keys: Sequence[str], value: str, edges: int = 256, also: Sequence[str] = ()) -> DataFrame:
     """Add ``less``, the number of rows with a smaller value, and ``total`` rows of the group.
 
     ``counts`` holds distinct values with ``n``.  Values are cut into buckets of
     near-equal size by edges drawn with a hash of the value (so every evaluation
     draws the same ones), and counts are summed inside buckets and across them.
+    ``also`` names further counts to accumulate as ``upto_<name>``.
     """
     keys = list(keys)
     size = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"), F.sum("n").alias("total"))
@@ -35,7 +36,7 @@ def with_less(counts: DataFrame, keys: Sequence[str], value: str, edges: int = 2
     d = counts.join(size.drop("__d"), keys).join(cut, keys, "left")
     bucket = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value))), F.lit(0))
     d = d.withColumn(BLOCK, bucket.cast("bigint")).drop("__edges")
-    d = running(d, Series(tuple(keys), value), {"__cum": ("sum", F.col("n"))})
+    d = running(d, Series(tuple(keys), value), {"__cum": ("sum", F.col("n")), **{f"upto_{c}": ("sum", F.col(c)) for c in also}})
     return d.withColumn("less", F.col("__cum") - F.col("n")).drop("__cum", "__k")
 
 
