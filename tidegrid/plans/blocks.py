@@ -27,6 +27,7 @@ from tidegrid.plans.series import (
     micros,
 )
 
+POSITION = "__position"
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
 
@@ -39,8 +40,9 @@ def with_halo(df: DataFrame, s: Series, before: int, after: int, rows: int = BLO
     """
     if s.step:
         return with_time_halo(df, s, before * s.step, after * s.step, s.block_micros(rows))
-    d = positions(df, s, "__pos")
-    return _copy_to_blocks(d, F.col("__pos"), rows, before, after).drop("__pos")
+    if POSITION in df.columns:
+        return _copy_to_blocks(df, F.col(POSITION), rows, before, after)
+    return _copy_to_blocks(positions(df, s, POSITION), F.col(POSITION), rows, before, after).drop(POSITION)
 
 
 def with_time_halo(df: DataFrame, s: Series, before_s: float, after_s: float, size: int | None = None) -> DataFrame:
@@ -173,13 +175,21 @@ def run_at_least(flag: Column, n: int, w: WindowSpec) -> Column:
     """
     if n <= 1:
         return flag
-    off = F.when(~flag, F.lit(1))
-    left = _reach(off, n, F.lag, w, w.rowsBetween(-(n - 1), 0))
-    right = _reach(off, n, F.lead, w, w.rowsBetween(0, n - 1))
+    left = _reach(F.reverse(F.collect_list(flag).over(w.rowsBetween(-(n - 1), 0))))
+    right = _reach(F.collect_list(flag).over(w.rowsBetween(0, n - 1)))
     return flag & (left + right - 1 >= n)
 
 
-def _reach(off: Column, n: int, step, w: WindowSpec, frame: WindowSpec) -> Column:
-    """Rows from this one to the nearest false row on one side, at most ``n``."""
-    hits = [F.when(step(off, k).over(w) == 1, F.lit(k)) for k in range(1, n)]
-    return F.coalesce(*hits, F.count(F.lit(1)).over(frame))
+def _reach(flags: Column) -> Column:
+    """Number of leading true values of a short array."""
+    at = F.array_position(flags, F.lit(False))
+    return F.when(at > 0, at - 1).otherwise(F.size(flags))
+
+
+def bridge(flag: Column, n: int, w: WindowSpec) -> Column:
+    """``flag`` with false runs of at most ``n`` rows between two true rows set to true; needs a reach of ``n`` rows."""
+    if n <= 0:
+        return flag
+    before = F.array_position(F.reverse(F.collect_list(flag).over(w.rowsBetween(-n, -1))), F.lit(True))
+    after = F.array_position(F.collect_list(flag).over(w.rowsBetween(1, n)), F.lit(True))
+    return flag | ((before > 0) & (after > 0) & (before + after - 1 <= n))

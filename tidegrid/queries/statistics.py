@@ -77,8 +77,8 @@ def i06(spark, sf):
 @query("i06_kernel_density", f"""
 WITH {LONG}, e AS (SELECT event_type, variable, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd, count(value) AS n FROM u GROUP BY 1, 2),
 p AS (SELECT *, unnest(range(0, 200)) AS point, sd * pow(n, -0.2) AS h FROM e), x AS (SELECT *, lo + point * ((hi - lo) / 199) AS x FROM p)
-SELECT event_type, variable, CAST(point AS INT) AS point, round(max(x), 6) AS x, round(sum(exp(-((x - value) / h) ** 2 / 2) / (n * h * sqrt(2 * pi()))), 6) AS density,
- round(sum(exp(-((x - value) / h) ** 2 / 2) / (n * h * sqrt(2 * pi()))) * max(n) * max((hi - lo)) / 50, 6) AS scaled FROM x JOIN u USING (event_type, variable) WHERE value IS NOT NULL GROUP BY 1, 2, 3""")
+SELECT event_type, variable, CAST(point AS INT) AS point, round(max(x), 6) AS x, round(sum(exp(-0.5 * ((x - value) / h) * ((x - value) / h)) / (n * h * sqrt(2 * pi()))), 6) AS density,
+ round(sum(exp(-0.5 * ((x - value) / h) * ((x - value) / h)) / (n * h * sqrt(2 * pi()))) * max(n) * max((hi - lo)) / 50, 6) AS scaled FROM x JOIN u USING (event_type, variable) WHERE value IS NOT NULL GROUP BY 1, 2, 3""")
 def i06_kde(spark, sf):
     return stats.kde(half(spark, sf), KEY, COLS)
 
