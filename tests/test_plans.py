@@ -40,7 +40,7 @@ def test_running_and_positions(spark, regular):
     pdf = frame(regular=regular)
     s = Series(("k",), "ts", None, span=86_400)
     got = blocks.running(blocks.positions(spark.createDataFrame(pdf), s), s, {"c": ("sum", F.col("v"))})
-    back = blocks.running(got, s, {"r": ("count", F.when(F.col("v") > 0, 1))}, reverse=True)
+    back = blocks.running(got, s, {}, {"r": ("count", F.when(F.col("v") > 0, 1))})
     got = back.toPandas().sort_values(["k", "ts"])
     exp = pdf.sort_values(["k", "ts"])
     np.testing.assert_allclose(got.c, exp.groupby("k").v.cumsum(), atol=1e-9)

@@ -166,8 +166,8 @@ def flag_scores(df: DataFrame, s: Series, score: str = "smoothed", threshold: st
     hit = false_if_null(F.col(score) > F.col(threshold))
     if grace <= 0:
         return df.withColumn(out, hit)
-    d = positions(df, s, POSITION)
-    return d.withColumn(out, hit & (F.col(POSITION) >= grace)).drop(POSITION)
+    d = df if POSITION in df.columns else positions(df, s, POSITION)
+    return d.withColumn(out, hit & (F.col(POSITION) >= grace))
 
 
 def persistent(df: DataFrame, s: Series, flags: dict[str, tuple[str, int]]) -> DataFrame:
@@ -179,7 +179,7 @@ def persistent(df: DataFrame, s: Series, flags: dict[str, tuple[str, int]]) -> D
 def split_rates(df: DataFrame, s: Series, anchor: DataFrame, split: str = "split", p: Detection = Detection(), score: str = "score") -> DataFrame:
     """Anomaly rate of each split under the same smoothing, threshold, grace and persistence (no restarts)."""
     ks = Series((*s.keys, split), s.ts, None, s.tie, s.span)
-    d = smooth_scores(df, ks, score, p.smooth)
+    d = smooth_scores(positions(df, ks, POSITION), ks, score, p.smooth)
     splits = d.select(*ks.keys).distinct()
     per_split = attach(splits, anchor, s.keys)
     d = dynamic_threshold(d, ks, per_split, "smoothed", p.span, p.k, None)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.columns import false_if_null
@@ -18,30 +19,35 @@ CANDIDATE_WEIGHTS = {"max_exceedance": 0.45, "mean_exceedance": 0.30, "duration_
 MIN_STEP_H = 0.5
 
 
-def event_rows(df: DataFrame, s: Series, flag: str, min_len: int = 3, bridge_len: int = 2, merge_hours: float = 1.0, extra: dict[str, Column] | None = None) -> DataFrame:
+def event_rows(df: DataFrame, s: Series, flag: str, step_h: float, min_len: int = 3, bridge_len: int = 2, merge_hours: float = 1.0, carry: Sequence[str] = ()) -> DataFrame:
     """Rows that belong to an event, named by ``event_start``.
 
     Short holes are bridged, short runs dropped, and runs at most ``merge_hours``
-    apart joined.  ``extra`` adds per-row expressions using ``__prev_<column>``.
+    apart joined; rows are never closer than ``step_h``, so all of this looks a
+    bounded number of rows back.  ``__prev_<c>`` is the value of the event's
+    row before.
     """
+    merge_rows = ceil(merge_hours / step_h)
     reach = bridge_len + min_len
+    at = micros(s.ts)
+
+    def earlier(w):
+        back = w.rowsBetween(-merge_rows, -1)
+        prev = F.last(F.when(F.col("__k"), F.struct(at.alias("t"), *carry)), True).over(back)
+        return {"__adjacent": false_if_null(F.lag("__k").over(w)), "__p": prev}
+
     d = rolling(
-        df.withColumn("__f", false_if_null(F.col(flag))), s.with_step(None), reach + 1, reach,
+        df.withColumn("__f", false_if_null(F.col(flag))), s, reach + merge_rows + 1, reach,
         lambda w: {"__b": bridge(F.col("__f"), bridge_len, w)},
         lambda w: {"__k": run_at_least(F.col("__b"), min_len, w)},
-        lambda w: {"__adjacent": false_if_null(F.lag("__k").over(w))},
+        earlier, keep_block=True,
     )
-    at = micros(s.ts)
-    far = lambda w: F.coalesce(at - F.lag(at).over(w) > int(merge_hours * 3600 * MICROS), F.lit(True))
-    names = list(extra or {})
-
-    def begin(w):
-        out = {"__new": ~F.col("__adjacent") & far(w)}
-        return {**out, **{f"__prev_{c}": F.lag(c).over(w) for c in names}}
-
-    d = rolling(d.filter("__k"), s.with_step(None), 1, 0, begin, keep_block=True)
-    d = running(d, s.with_step(None), {"event_start": ("max", F.when(F.col("__new"), F.col(s.ts)))})
-    return d.withColumns({f"__prev_{c}": F.when(~F.col("__new"), F.col(f"__prev_{c}")) for c in names}).drop("__f", "__b", "__k", "__adjacent")
+    near = false_if_null(at - F.col("__p.t") <= int(merge_hours * 3600 * MICROS))
+    new = ~(F.col("__adjacent") | near)
+    prev = {f"__prev_{c}": F.when(~F.col("__new"), F.col(f"__p.{c}")) for c in carry}
+    d = d.filter("__k").withColumn("__new", new).withColumns(prev)
+    d = running(d, s, {"event_start": ("max", F.when(F.col("__new"), F.col(s.ts)))})
+    return d.drop("__f", "__b", "__k", "__adjacent", "__p", "__new")
 
 
 def events(
@@ -50,7 +56,7 @@ def events(
 ) -> DataFrame:
     """One row per event with its type, highest severity, extent, peak and physical figures, numbered by start."""
     phys = all((supply, ret, coil))
-    d = event_rows(df, s, flag, min_len, bridge_len, merge_hours, {supply: F.col(supply)} if phys else None)
+    d = event_rows(df, s, flag, step_h, min_len, bridge_len, merge_hours, [supply] if phys else [])
     rank = F.array_position(F.array(*[F.lit(x) for x in SEVERITY_RANK]), F.when(F.col(severity) == "Anomaly", "Minor").otherwise(F.col(severity)))
     aggs = [
         F.max(F.col(label) == "Potential fault").alias("__fault"),

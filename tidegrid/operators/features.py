@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.columns import as_col, false_if_null
@@ -170,7 +170,7 @@ def ewm_reach(span: float) -> int:
     return ceil(40 / -log(1 - 2 / (span + 1)))
 
 
-def ewm_columns(x: Column | str, span: float, mean: str, variance: str | None = None, first: str = "__first"):
+def ewm_columns(x: Column | str, span: float, mean: str, variance: str | None = None):
     """Stage adding the recursive exponential mean (and debiased variance) inside ``w``'s partition.
 
     ``y = a x + (1 - a) y`` started at the first value is a weighted sum with
@@ -182,31 +182,27 @@ def ewm_columns(x: Column | str, span: float, mean: str, variance: str | None =
     growth = -log(1 - a)
     x = as_col(x)
 
-    def stage(w):
-        upto = w.rowsBetween(w_start, 0)
+    def weigh(w):
         i = F.row_number().over(w)
         c = F.when(i == 1, 1.0).otherwise(a) * F.exp(i * growth)
-        return {"__i": i, "__c": c, "__sw": F.sum(c).over(upto)}
+        # values relative to the first one: no cancellation while a signal is constant
+        return {"__i": i, "__c": c, "__x0": F.first(x).over(w), "__sw": F.sum(c).over(w.rowsBetween(w_start, 0))}
 
     def sums(w):
-        upto = w.rowsBetween(w_start, 0)
-        return {
-            "__m1": F.sum(F.col("__c") * x).over(upto) / F.col("__sw"),
-            **({"__m2": F.sum(F.col("__c") * x * x).over(upto) / F.col("__sw"),
-                "__w2": F.sum(F.col("__c") * F.col("__c")).over(upto) / (F.col("__sw") * F.col("__sw"))} if variance else {}),
-        }
+        upto, c, u = w.rowsBetween(w_start, 0), F.col("__c"), x - F.col("__x0")
+        mean_of = lambda v: F.sum(c * v).over(upto) / F.col("__sw")
+        extra = {"__m2": mean_of(u * u), "__w2": F.sum(c * c).over(upto) / (F.col("__sw") * F.col("__sw"))}
+        return {"__m1": mean_of(u), **(extra if variance else {})}
 
     def final(w):
-        out = {mean: F.col("__m1")}
+        out = {mean: F.col("__x0") + F.col("__m1")}
         if variance:
-            bias = 1 - F.col("__w2")
-            out[variance] = F.when(F.col("__i") > 1, F.greatest(F.lit(0.0), F.col("__m2") - F.col("__m1") * F.col("__m1")) / bias)
+            spread = F.greatest(F.lit(0.0), F.col("__m2") - F.col("__m1") * F.col("__m1"))
+            out[variance] = F.when(F.col("__i") > 1, spread / (1 - F.col("__w2")))
         return out
 
-    from pyspark.sql import Window
-
     w_start = Window.unboundedPreceding
-    return stage, sums, final
+    return weigh, sums, final
 
 
 def ewm_block_rows(span: float) -> int:
@@ -215,7 +211,7 @@ def ewm_block_rows(span: float) -> int:
     return max(64, int(300 / growth) - ewm_reach(span))
 
 
-EWM_SCRATCH = ("__i", "__c", "__sw", "__m1", "__m2", "__w2")
+EWM_SCRATCH = ("__i", "__c", "__x0", "__sw", "__m1", "__m2", "__w2")
 
 
 def ewm_smooth(df: DataFrame, s: Series, columns: Sequence[str], span: float = 3.0) -> DataFrame:

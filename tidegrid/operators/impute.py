@@ -27,8 +27,7 @@ def interpolate_time(df: DataFrame, s: Series, columns: Sequence[str], limit: in
         c: F.when(F.col(c).isNotNull(), F.struct(at.alias("t"), place.alias("p"), F.col(c).cast("double").alias("v")))
         for c in columns
     }
-    d = running(d, s, {f"__a_{c}": ("max", k) for c, k in known.items()}, keep_block=True)
-    d = running(d, s, {f"__z_{c}": ("min", k) for c, k in known.items()}, reverse=True)
+    d = running(d, s, {f"__a_{c}": ("max", k) for c, k in known.items()}, {f"__z_{c}": ("min", k) for c, k in known.items()})
     out = {}
     for c in columns:
         a, z = F.col(f"__a_{c}"), F.col(f"__z_{c}")

@@ -61,8 +61,7 @@ def backward_lookup(left: DataFrame, right: DataFrame, s: Series, values: Sequen
 def fill_both_ways(df: DataFrame, s: Series, columns: Sequence[str]) -> DataFrame:
     """Last known value, else the next known one."""
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(s.ts), F.col(c))) for c in columns}
-    d = running(df, s, {f"__b_{c}": ("max", k) for c, k in known.items()}, keep_block=True)
-    d = running(d, s, {f"__f_{c}": ("min", k) for c, k in known.items()}, reverse=True)
+    d = running(df, s, {f"__b_{c}": ("max", k) for c, k in known.items()}, {f"__f_{c}": ("min", k) for c, k in known.items()})
     d = d.withColumns({c: F.coalesce(F.col(f"__b_{c}")[c], F.col(f"__f_{c}")[c]) for c in columns})
     return d.drop(*[f"__{p}_{c}" for c in columns for p in "bf"])
 

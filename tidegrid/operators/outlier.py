@@ -13,6 +13,7 @@ from tidegrid.operators.missing import long_series
 from tidegrid.plans.blocks import rolling, run_at_least
 from tidegrid.plans.quantiles import VALUE, VARIABLE, exact_quantiles, long_quantiles, melt
 from tidegrid.plans.series import Series, attach
+from tidegrid.session import durable
 
 # Hard-limit tables per signal, base and by season.
 BASE_LIMITS = {
@@ -194,8 +195,10 @@ def flag_table(df: DataFrame, s: Series, rules: Mapping[str, Rules]) -> DataFram
         known, ls.with_step(None), reach, max([0, *[n - 1 for n in stuck_rows]]), _change,
         lambda w: {"__flat": false_if_null(F.col("__d") <= tol)}, local,
     )
+    # read by the statistics, the fences and the flags
+    d = durable(d)
     stats = d.groupBy(*ls.keys).agg(F.stddev_samp("__d").alias("__std0"))
-    fences = _fences(long_quantiles(known, list(ls.keys), [0.25, 0.75]), per(lambda r: r.iqr_k)).select(*ls.keys, "lower", "upper")
+    fences = _fences(long_quantiles(d, list(ls.keys), [0.25, 0.75]), per(lambda r: r.iqr_k)).select(*ls.keys, "lower", "upper")
     d = d.join(stats, list(ls.keys)).join(fences, list(ls.keys))
     std = _by_variable({c: F.col(f"__std{r.spike_window or 0}") for c, r in rules.items() if r.spike_k})
     stuck_flag = _by_variable({c: F.col(f"__stuck{r.stuck_rows}") for c, r in rules.items() if r.stuck_rows})

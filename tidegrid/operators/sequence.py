@@ -13,6 +13,7 @@ from tidegrid.operators.profiles import centred
 from tidegrid.plans.blocks import rolling, run_at_least
 from tidegrid.plans.quantiles import VALUE, VARIABLE, exact_quantiles, long_quantiles, melt
 from tidegrid.plans.series import MICROS, Series, attach, micros
+from tidegrid.session import durable
 
 # Split shares, smallest useful scaled variance, flat-line bounds, gates on how many rows a mask must hit.
 TRAIN, VALIDATION = 0.70, 0.15
@@ -248,13 +249,14 @@ def window_feature_means(n_features: int, length: int) -> list[Column]:
 def mad_filter(windows: DataFrame, s: Series, n_features: int, length: int, top_pct: float = 5.0, out: str = "is_extreme") -> DataFrame:
     """Flag windows whose worst feature mean is among the ``top_pct`` % farthest from the median in MADs."""
     feats = [f"__m{f}" for f in range(n_features)]
-    d = windows.withColumns(dict(zip(feats, window_feature_means(n_features, length))))
+    # three quantile rounds, each needing the one before: stored so that none repeats the work above it
+    d = durable(windows.withColumns(dict(zip(feats, window_feature_means(n_features, length)))))
     med = _medians(d, s.keys, feats, "__c")
     d = attach(d, med, s.keys).withColumns({f"{f}d": F.abs(F.col(f) - F.col(f"{f}__c")) for f in feats})
     mad = _medians(d, s.keys, [f"{f}d" for f in feats], "__a")
     d = attach(d, mad, s.keys)
     z = [F.col(f"{f}d") / (F.col(f"{f}d__a") + 1e-8) for f in feats]
-    d = d.withColumn("max_z", F.greatest(*z) if len(z) > 1 else z[0])
+    d = durable(d.withColumn("max_z", F.greatest(*z) if len(z) > 1 else z[0]).select(*windows.columns, "max_z"))
     cut = long_quantiles(d.select(*s.keys, F.col("max_z").alias(VALUE)), s.keys, [1 - top_pct / 100])
     d = attach(d, cut.select(*s.keys, F.col("q")[0].alias("__cut")), s.keys)
     d = d.withColumn(out, F.col("max_z") > F.col("__cut"))

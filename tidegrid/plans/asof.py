@@ -32,14 +32,13 @@ def asof(
     lt = left.select(*s.keys, s.ts, F.lit(1).alias("__side"), F.struct(F.lit(1).alias("__x"), *cols).alias("__left"))
     rt = right.select(*s.keys, s.ts, F.lit(0).alias("__side"), payload.alias("__right"))
     d = lt.unionByName(rt, allowMissingColumns=True).withColumn("__fside", 1 - F.col("__side"))
-    irregular = s.with_step(None)
-    back = Series(irregular.keys, s.ts, None, ("__side",), s.span)
-    ahead = Series(irregular.keys, s.ts, None, ("__fside",), s.span)
     need_back, need_ahead = direction in ("backward", "nearest"), direction in ("forward", "nearest")
-    if need_back:
-        d = running(d, back, {"__b": ("max", F.col("__right"))}, keep_block=need_ahead)
-    if need_ahead:
-        d = running(d, ahead, {"__f": ("min", F.col("__right"))}, reverse=True)
+    d = running(
+        d, Series(s.keys, s.ts, None, ("__side",), s.span),
+        {"__b": ("max", F.col("__right"))} if need_back else {},
+        {"__f": ("min", F.col("__right"))} if need_ahead else {},
+        backward_tie=("__fside",),
+    )
     d = d.filter(F.col("__side") == 1)
     gap = lambda c: F.abs(micros(F.col(c)["__at"]) - micros(s.ts))
     if direction == "nearest":

@@ -13,6 +13,7 @@ is never used.  Two plans replace it:
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ Stage = Callable[[WindowSpec], Mapping[str, Column]]
 def with_halo(df: DataFrame, s: Series, before: int, after: int, rows: int = BLOCK_ROWS) -> DataFrame:
     """Add the block id, plus copies of rows within ``before``/``after`` rows of other blocks.
 
-    On a regular grid the reach is ``rows * step`` of time and one shuffle is
+    Rows that already carry ``POSITION`` (every row of the series, see
+    ``positions``) are not numbered again.  On a regular grid the reach is ``rows * step`` of time and one shuffle is
     enough.  On irregular series blocks are cut by exact row position, so the
     reach in rows is exact whatever the spacing.
     """
@@ -100,29 +102,32 @@ def running(
     df: DataFrame,
     s: Series,
     exprs: Mapping[str, tuple[str, Column]],
-    reverse: bool = False,
+    backward: Mapping[str, tuple[str, Column]] | None = None,
+    backward_tie: tuple[str, ...] | None = None,
     keep_block: bool = False,
 ) -> DataFrame:
-    """Running ``max``/``min``/``sum``/``count`` from the start (or, reversed, from the end).
+    """Running ``max``/``min``/``sum``/``count`` from the start and, for ``backward``, from the end.
 
-    The frame includes the current row.  An existing block column is reused, so
-    this follows ``rolling(..., keep_block=True)`` without another shuffle of the
-    rows; only the per-block totals move.
+    Frames include the current row.  An existing block column is reused, so this
+    follows ``rolling(..., keep_block=True)`` without another shuffle of the rows;
+    only the per-block totals move.  Both directions share one pass of totals.
+    ``backward_tie`` orders rows of one timestamp differently in that direction.
     """
+    back = dict(backward or {})
+    both = {**exprs, **back}
+    bs = s if backward_tie is None else replace(s, tie=backward_tie)
     d = df if BLOCK in df.columns else df.withColumn(BLOCK, s.time_block())
-    w = s.window(reverse).rowsBetween(Window.unboundedPreceding, 0)
-    totals = d.groupBy(*s.keys, BLOCK).agg(
-        *[_LOCAL[k](c).alias(f"__t_{n}") for n, (k, c) in exprs.items()]
-    )
-    order = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
-    wp = Window.partitionBy(*s.keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *s.keys, BLOCK, *[_FOLD[k](f"__t_{n}").over(wp).alias(f"__c_{n}") for n, (k, _) in exprs.items()]
-    )
-    d = d.withColumns({f"__l_{n}": _LOCAL[k](c).over(w) for n, (k, c) in exprs.items()})
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    totals = d.groupBy(*s.keys, BLOCK).agg(*[_LOCAL[k](c).alias(f"__t_{n}") for n, (k, c) in both.items()])
+    w0 = Window.partitionBy(*s.keys)
+    before = {n: w0.orderBy(F.desc(BLOCK) if n in back else F.asc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1) for n in both}
+    carried = totals.select(*s.keys, BLOCK, *[_FOLD[k](f"__t_{n}").over(before[n]).alias(f"__c_{n}") for n, (k, _) in both.items()])
+    d = d.withColumns({
+        f"__l_{n}": _LOCAL[k](c).over(upto(bs.window(reverse=True) if n in back else s.window())) for n, (k, c) in both.items()
+    })
     d = d.join(carried, [*s.keys, BLOCK], "left")
-    d = d.withColumns({n: _combine(k, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, (k, _) in exprs.items()})
-    d = d.drop(*[f"__{p}_{n}" for n in exprs for p in "lc"])
+    d = d.withColumns({n: _combine(k, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, (k, _) in both.items()})
+    d = d.drop(*[f"__{p}_{n}" for n in both for p in "lc"])
     return d if keep_block else d.drop(BLOCK)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.plans.blocks import running
 from tidegrid.plans.series import BLOCK, Series
+from tidegrid.session import durable
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -26,6 +27,8 @@ def with_less(counts: DataFrame, keys: Sequence[str], value: str, edges: int = 2
     ``also`` names further counts to accumulate as ``upto_<name>``.
     """
     keys = list(keys)
+    # read several times below: stored once, so that every reader sees the same values
+    counts = durable(counts)
     size = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"), F.sum("n").alias("total"))
     if not keys:
         counts, size, keys = counts.withColumn("__k", F.lit(0)), size.withColumn("__k", F.lit(0)), ["__k"]

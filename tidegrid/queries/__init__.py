@@ -4,7 +4,7 @@ import importlib
 
 from tidegrid.queries import registry
 
-MODULES = ("ingest", "grids", "gaps", "outliers", "featuring", "statistics", "relations")
+MODULES = ("ingest", "grids", "gaps", "outliers", "featuring", "statistics", "relations", "scoring")
 
 
 def load():

@@ -123,12 +123,12 @@ def h15(spark, sf):
 
 
 EWM_SQL = """r AS (SELECT event_type, ts, v, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM full_),
-y AS (SELECT event_type, i, v AS y FROM r WHERE i = 1 UNION ALL SELECT r.event_type, r.i, 0.5 * r.v + 0.5 * y.y FROM y JOIN r ON r.event_type = y.event_type AND r.i = y.i + 1)"""
+y AS (SELECT event_type, i, v AS y FROM r WHERE i = 1 UNION ALL SELECT r.event_type, r.i, 0.4 * r.v + 0.6 * y.y FROM y JOIN r ON r.event_type = y.event_type AND r.i = y.i + 1)"""
 
 
 @query("h16_ewma_smoothing", f"WITH RECURSIVE {FULL_SQL}, {EWM_SQL} SELECT event_type, ts, round(y, 8) AS v FROM y JOIN r USING (event_type, i)", digits=8)
 def h16(spark, sf):
-    return features.ewm_smooth(full(spark, sf).select("event_type", "ts", "v"), HALF, ["v"], 3.0)
+    return features.ewm_smooth(full(spark, sf).select("event_type", "ts", "v"), HALF, ["v"], 4.0)
 
 
 @query("h17_thermal_load", f"""

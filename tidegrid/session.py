@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +30,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a fresh local one only when the session names none (tests, local runs)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="tidegrid-")
+        sc.setCheckpointDir(named)
+        named = sc.getCheckpointDir()
+    return named
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+    """Store an intermediate table in the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the session names
-    none (tests, local runs) a fresh local one is set.
+    Cuts lineage like a reliable checkpoint and survives lost executors, and as a
+    columnar table it keeps column pruning and exact sizes for later joins.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegrid-ckpt-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
