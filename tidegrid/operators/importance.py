@@ -14,6 +14,7 @@ from tidegrid.operators.correlate import p_values, spearman_pairs
 from tidegrid.operators.impute import median_impute
 from tidegrid.plans.quantiles import exact_quantiles, melt
 from tidegrid.plans.series import attach
+from tidegrid.session import durable
 
 # Weights and bounds of the composite score, minimum rows for a rank correlation.
 WEIGHTS = {"max_abs_corr": 0.3, "mutual_info": 0.35, "rf_importance": 0.35}
@@ -58,12 +59,13 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     probs = [i / bins for i in range(1, bins)]
     d = df.select(*cols).dropna()
     q = exact_quantiles(d, [], cols, probs)
+    # one row of bin edges
     edges = q.groupBy().agg(*[F.max(F.when(F.col("variable") == c, F.col("q"))).alias(f"__q_{c}") for c in cols])
     d = attach(d, edges, [])
     below = lambda c: F.size(F.filter(f"__q_{c}", lambda e: e < F.col(c)))
     d = d.select(*[below(c).alias(c) for c in cols])
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(target).alias("y")) for f in features])
-    joint = d.select(F.explode(cells).alias("c")).select("c.*").groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    joint = durable(d.select(F.explode(cells).alias("c")).select("c.*").groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     # at most bins x bins rows per feature from here on
     px = joint.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
     py = joint.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
@@ -84,10 +86,10 @@ def forest_importance(df: DataFrame, features: Sequence[str], target: str, trees
 
 
 def assemble(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """Left-join per-feature tables on ``feature``."""
+    """Left-join per-feature tables (one row per column of the data) on ``feature``."""
     for o in others:
         first = first.join(o, "feature", "left")
-    return first
+    return durable(first)
 
 
 def composite(report: DataFrame) -> DataFrame:

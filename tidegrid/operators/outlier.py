@@ -110,7 +110,8 @@ def regime_bounds(df: DataFrame, keys: Sequence[str], column: str, k: float) ->
 
 
 def regime_iqr_flags(df: DataFrame, keys: Sequence[str], column: str, regime: str, k: float, bins: int = 5, out: str = "iqr_regime") -> DataFrame:
-    d = regime_id(df, keys, regime, bins)
+    # the fences need two more passes over the labelled rows
+    d = durable(regime_id(df, keys, regime, bins))
     b = regime_bounds(d, keys, column, k).drop("n")
     d = d.join(b, [*keys, "regime"], "left")
     return d.withColumn(out, beyond(column, F.col("lower"), F.col("upper"))).drop("lower", "upper", "regime")

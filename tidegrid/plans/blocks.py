@@ -153,7 +153,12 @@ def run_starts(
             new = new | (micros(s.ts) - prev(micros(s.ts), w) > int(max_gap * MICROS))
         return {"__new": new}
 
-    d = rolling(df.withColumn("__f", f), s, 1, 0, breaks, keep_block=True)
+    d = df.withColumn("__f", f)
+    if max_gap is not None:
+        # a row further back than the gap ends the run whatever its flag, so a reach in time is exact
+        d = rolling(d, s, max_gap, 0, breaks, keep_block=True, in_seconds=True)
+    else:
+        d = rolling(d, s, 1, 0, breaks, keep_block=True)
     d = running(d.filter("__f"), s, {name: ("max", F.when(F.col("__new"), F.col(s.ts)))})
     return d.drop("__f", "__new")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators import features
-from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT, PLANT_SQL, half, plant
+from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT, PLANT_SQL, half, plant, staged
 from tidegrid.queries.registry import query
 
 W = "(PARTITION BY event_type ORDER BY ts)"
@@ -88,7 +88,7 @@ WITH {HALF_SQL}, e AS (SELECT event_type, ts, v - k AS e FROM half)
 SELECT event_type, ts, round(e, 6) AS setpoint_error, round(e - lag(e) OVER {W}, 6) AS setpoint_error_rate, CAST(coalesce(abs(e) > 5, false) AS INT) AS out_of_tolerance, round(abs(e), 6) AS abs_setpoint_error, round(e * e, 6) AS squared_setpoint_error,
  round(CASE WHEN e IS NOT NULL THEN sum(e) OVER {W} END, 6) AS cumulative_setpoint_error, CAST(sum(CAST(coalesce(abs(e) > 5, false) AS INT)) OVER {W} AS BIGINT) AS time_out_of_tolerance FROM e""")
 def h10(spark, sf):
-    d = half(spark, sf).select("event_type", "ts", (F.col("v") - F.col("k")).alias("setpoint_error"))
+    d = staged(half(spark, sf)).select("event_type", "ts", (F.col("v") - F.col("k")).alias("setpoint_error"))
     return features.control_features(d, HALF, tolerance=5.0)
 
 
@@ -128,7 +128,7 @@ y AS (SELECT event_type, i, v AS y FROM r WHERE i = 1 UNION ALL SELECT r.event_t
 
 @query("h16_ewma_smoothing", f"WITH RECURSIVE {FULL_SQL}, {EWM_SQL} SELECT event_type, ts, round(y, 8) AS v FROM y JOIN r USING (event_type, i)", digits=8)
 def h16(spark, sf):
-    return features.ewm_smooth(full(spark, sf).select("event_type", "ts", "v"), HALF, ["v"], 4.0)
+    return features.ewm_smooth(staged(full(spark, sf)).select("event_type", "ts", "v"), HALF, ["v"], 4.0)
 
 
 @query("h17_thermal_load", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators import clean, impute, missing
-from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT, PLANT_SQL, SIGNALS, STEP, half, plant
+from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT, PLANT_SQL, SIGNALS, STEP, half, plant, staged
 from tidegrid.queries.registry import query
 
 COLS = ["v", "k"]
@@ -40,7 +40,7 @@ p AS (SELECT r.*, gap_hours + step / 3600000000.0 AS h, make_timestamp(CAST(epoc
 SELECT event_type, variable, start_time, e AS end_time, round(h, 6) AS duration_hours, round(h / 24, 6) AS duration_days, n_rows AS missing_records,
   CASE WHEN h < 12 THEN 'Minor' WHEN h < 48 THEN 'Moderate' WHEN h < 168 THEN 'Major' ELSE 'Critical' END AS severity FROM p WHERE h >= 1.5""")
 def e02(spark, sf):
-    return missing.missing_periods(series(spark, sf), HALF, COLS, 1.5)
+    return missing.missing_periods(staged(series(spark, sf)), HALF, COLS, 1.5)
 
 
 @query("e03_gap_durations", f"WITH {LONG_SQL} SELECT event_type, variable, start_time, end_time, n_rows, round(gap_hours, 6) AS gap_hours FROM runs WHERE gap_hours >= 0.5")
@@ -90,7 +90,7 @@ SELECT event_type, variable, round(pct, 6) AS missing_pct, round(mx, 6) AS max_g
   CASE WHEN mx > 48 THEN 'Sensor failure' WHEN pct > 30 THEN 'Extensive missing data' WHEN c > 50 THEN 'Communication issues' ELSE 'Normal gaps' END AS failure_type,
   CASE WHEN mx > 48 THEN 'High' WHEN pct > 30 OR c > 50 THEN 'Medium' ELSE 'Low' END AS priority FROM m JOIN g USING (event_type, variable)""")
 def e07(spark, sf):
-    return missing.sensor_failures(series(spark, sf), HALF, COLS)
+    return missing.sensor_failures(staged(series(spark, sf)), HALF, COLS)
 
 
 SHUT_SQL = f"""{PLANT_SQL},
@@ -104,7 +104,7 @@ s AS (SELECT min(ts) AS start_time, max(ts) AS end_time, arg_min(c, ts) AS colum
 WITH {SHUT_SQL} SELECT start_time, end_time, round((epoch_us(end_time) - epoch_us(start_time)) / 3.6e9, 6) AS duration_hours,
   round((epoch_us(end_time) - epoch_us(start_time)) / 3.6e9 / 24, 6) AS duration_days, CAST(columns_missing AS BIGINT) AS columns_missing, round(20.0 * columns_missing, 6) AS pct_columns FROM s""")
 def e08(spark, sf):
-    return missing.shutdowns(plant(spark, sf), PLANT, ALL, 0.4, 1.0)
+    return missing.shutdowns(staged(plant(spark, sf)), PLANT, ALL, 0.4, 1.0)
 
 
 @query("e08_shutdown_flag", f"""
@@ -166,14 +166,14 @@ z AS (SELECT *, (epoch_us(gap_end) - epoch_us(start_time)) / 3.6e9 AS duration_h
 @query("e13_cross_column_gaps", f"""
 WITH {XGAP_SQL} SELECT event_type, variable, start_time, gap_end, round(duration_hours, 6) AS duration_hours, row_before, row_after FROM z""")
 def e13(spark, sf):
-    return missing.cross_column_gaps(series(spark, sf), HALF, COLS, 3600)
+    return missing.cross_column_gaps(staged(series(spark, sf)), HALF, COLS, 3600)
 
 
 @query("e13_boundary_rows", f"""
 WITH {XGAP_SQL}, e AS (SELECT DISTINCT event_type, unnest([row_before, start_time, gap_end, row_after]) AS ts FROM z)
 SELECT event_type, half.ts, e.ts IS NOT NULL AS is_boundary FROM half LEFT JOIN e USING (event_type, ts)""")
 def e13_rows(spark, sf):
-    return missing.boundary_rows(series(spark, sf), HALF, COLS, 3600).select("event_type", "ts", "is_boundary")
+    return missing.boundary_rows(staged(series(spark, sf)), HALF, COLS, 3600).select("event_type", "ts", "is_boundary")
 
 
 @query("e14_long_null_runs", f"""
@@ -194,7 +194,7 @@ eps AS (SELECT event_type, min(ts) AS start_time, max(ts) AS end_time, count(*)
 
 
 def _removed(spark, sf):
-    d = half(spark, sf)
+    d = staged(half(spark, sf))
     return d, missing.removed_episodes({"empty": d.filter("v IS NULL"), "high": d.filter("k > 80"), "peak": d.filter("v > 150")}, HALF, STEP)
 
 
@@ -244,7 +244,7 @@ c AS (SELECT event_type, 'duplicate_timestamps' AS "check", '*' AS variable, CAS
 @query("e17_quality_checks", f"""
 WITH {HALF_SQL}, {_CHECKS} SELECT event_type, "check", variable, round(measured, 6) AS measured, passed FROM c""")
 def e17(spark, sf):
-    return missing.quality_checks(half(spark, sf), HALF, {"v": (-5, 400), "k": (5, 100)})
+    return missing.quality_checks(staged(half(spark, sf)), HALF, {"v": (-5, 400), "k": (5, 100)})
 
 
 CLIMATE = {1: 3, 2: 7, 3: 12, 4: 16, 5: 20, 6: 24, 7: 27, 8: 26, 9: 22, 10: 17, 11: 10, 12: 5}
@@ -306,7 +306,7 @@ fin AS (SELECT event_type, ts, raw, CASE WHEN raw IS NULL AND n >= 2 THEN NULL E
 
 @query("f03_restore_long_gaps", f"WITH {RESTORE_SQL} SELECT event_type, ts, round(v, 8) AS v FROM fin", digits=8)
 def f03(spark, sf):
-    d = missing.long_null_runs(half(spark, sf).select("event_type", "ts", "v"), HALF, ["v"], 2)
+    d = missing.long_null_runs(staged(half(spark, sf)).select("event_type", "ts", "v"), HALF, ["v"], 2)
     return impute.restore_long_gaps(impute.interpolate_time(d, HALF, ["v"], 2), ["v"]).select("event_type", "ts", "v")
 
 
@@ -317,7 +317,7 @@ def f04(spark, sf):
 
 @query("f05_fill_masks", f"WITH {RESTORE_SQL} SELECT event_type, ts, round(v, 8) AS temp, raw IS NULL AND v IS NOT NULL AS temp_is_interpolated FROM fin", digits=8)
 def f05(spark, sf):
-    d = half(spark, sf).select("event_type", "ts", F.col("v").alias("temp"))
+    d = staged(half(spark, sf)).select("event_type", "ts", F.col("v").alias("temp"))
     return impute.gap_safe_fill(d, HALF, ["temp"], max_gap_hours=1.0)
 
 
@@ -327,7 +327,7 @@ kc AS (SELECT *, count(*) OVER (PARTITION BY event_type, k IS NULL, isl) AS n FR
 SELECT event_type, 'temp' AS variable, count(*) FILTER (raw IS NULL AND v IS NOT NULL) AS points_filled, 'linear_time' AS method, 2 AS limit_rows FROM fin GROUP BY 1
 UNION ALL SELECT event_type, 'fan', count(*) FILTER (k IS NULL AND n < 2), 'forward_fill', 2 FROM kc GROUP BY 1""")
 def f06(spark, sf):
-    d = half(spark, sf).withColumnsRenamed({"v": "temp", "k": "fan"})
+    d = staged(half(spark, sf)).withColumnsRenamed({"v": "temp", "k": "fan"})
     d = impute.gap_safe_fill(d, HALF, ["temp", "fan"], max_gap_hours=1.0)
     return impute.fill_summary(d, ["event_type"], ["temp", "fan"], 2)
 
@@ -346,7 +346,7 @@ def flagship(spark, sf):
     """Resample, grid, long-gap detection, interpolation, masks and the gap each filled row belongs to."""
     from tidegrid.plans.blocks import run_starts
 
-    d = half(spark, sf).select("event_type", "ts", F.col("v").alias("temp"))
+    d = staged(half(spark, sf)).select("event_type", "ts", F.col("v").alias("temp"))
     runs = run_starts(d, HALF, F.col("temp").isNull(), "gap_start").select("event_type", "ts", "gap_start")
     return impute.gap_safe_fill(d, HALF, ["temp"], max_gap_hours=1.0).join(runs, ["event_type", "ts"], "left")
 

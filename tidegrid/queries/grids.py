@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators import grid, joins
 from tidegrid.plans.series import Series
 from tidegrid.queries.inputs import (
-    EVENTS_SQL, HALF, HALF_SQL, PLANT, PLANT_SQL, RAW, STEP, TWO, events, half, plant, two_decimals,
+    staged, EVENTS_SQL, HALF, HALF_SQL, PLANT, PLANT_SQL, RAW, STEP, TWO, events, half, plant, two_decimals,
 )
 from tidegrid.queries.registry import query
 
@@ -153,7 +153,7 @@ n AS (SELECT ts, v, CASE WHEN fts IS NULL OR epoch_us(ts) - epoch_us(bts) <= epo
 rate AS (SELECT 100.0 * count(*) FILTER (ts = at_ts) / count(*) AS r FROM n)
 SELECT ts, v, CASE WHEN ts = at_ts OR (r <= 80 AND abs(epoch_us(ts) - epoch_us(at_ts)) <= 1800000000) THEN temp END AS temp FROM n, rate""")
 def d02_two_step(spark, sf):
-    left = half(spark, sf).filter("event_type = 'click'").select("ts", "v")
+    left = staged(half(spark, sf)).filter("event_type = 'click'").select("ts", "v")
     return joins.two_step_join(left, weather(spark, sf), Series(), ["temp"], 1800)
 
 
@@ -177,7 +177,7 @@ WITH {HALF_SQL} SELECT event_type, ts, coalesce(
   last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM half""")
 def d05(spark, sf):
-    d = half(spark, sf)
+    d = staged(half(spark, sf))
     return joins.lookup_filled(d.select("event_type", "ts"), d.filter("v IS NOT NULL"), HALF, ["v"])
 
 
@@ -198,7 +198,7 @@ SELECT event_type, ts, v, v IS NULL AS removed, EXISTS (SELECT 1 FROM e WHERE e.
 def d07(spark, sf):
     from tidegrid.plans.blocks import episodes
 
-    d = half(spark, sf).select("event_type", "ts", "v")
+    d = staged(half(spark, sf)).select("event_type", "ts", "v")
     gaps = episodes(d, HALF, F.col("v").isNull())
     edges = gaps.select("event_type", F.explode(F.array("start_time", "end_time")).alias("boundary_ts"))
     out = joins.near_boundary(d, edges, HALF, 2 * STEP)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import grid
 from tidegrid.plans.series import Series
+from tidegrid.session import durable
 
 STEP = 1800
 RAW = Series(("event_type",), "ts", None, ("event_id",))
@@ -37,6 +38,11 @@ def half(spark: SparkSession, sf: str) -> DataFrame:
     return grid.regular_grid(d, HALF, STEP, ["v", "k"])
 
 
+def staged(d: DataFrame) -> DataFrame:
+    """A stage table, for queries that read their input several times."""
+    return durable(d)
+
+
 def plant(spark: SparkSession, sf: str) -> DataFrame:
     """One wide series without keys: half-hour means of each event type as a signal, fan scaled to 0-100."""
     ev = table(spark, sf, "events")

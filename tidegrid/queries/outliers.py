@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import outlier
 from tidegrid.operators.outlier import Rules
-from tidegrid.queries.inputs import EVENTS_SQL, HALF, HALF_SQL, events, half
+from tidegrid.queries.inputs import EVENTS_SQL, HALF, HALF_SQL, events, half, staged
 from tidegrid.queries.registry import query
+from tidegrid.session import durable
 
 KEY = ["event_type"]
 LONG = f"""{HALF_SQL}, u AS (SELECT event_type, ts, 'v' AS variable, v AS value FROM half UNION ALL SELECT event_type, ts, 'k', k FROM half)"""
@@ -51,7 +52,7 @@ rb AS (SELECT event_type, regime, quantile_cont(v, 0.25) AS q1, quantile_cont(v,
 WITH {HALF_SQL}, {REGIME} SELECT g.event_type, ts, v, k, coalesce(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1), false) AS iqr_regime
 FROM g LEFT JOIN rb ON g.event_type = rb.event_type AND g.regime = rb.regime""")
 def g03(spark, sf):
-    return outlier.regime_iqr_flags(half(spark, sf), KEY, "v", "k", 1.5, 5)
+    return outlier.regime_iqr_flags(staged(half(spark, sf)), KEY, "v", "k", 1.5, 5)
 
 
 @query("g04_valid_states", f"WITH {HALF_SQL} SELECT event_type, ts, k, NOT coalesce({STATES}, false) AS invalid FROM half")
@@ -63,7 +64,7 @@ def g04(spark, sf):
 WITH {LONG}, {DIFF}, s AS (SELECT event_type, variable, 3.0 * stddev_samp(d) AS threshold FROM d GROUP BY 1, 2)
 SELECT event_type, variable, ts, value, round(threshold, 6) AS threshold, coalesce(d > threshold, false) AS spike FROM d JOIN s USING (event_type, variable)""")
 def g05(spark, sf):
-    return outlier.spikes(half(spark, sf), HALF, ["v", "k"], 3.0)
+    return outlier.spikes(staged(half(spark, sf)), HALF, ["v", "k"], 3.0)
 
 
 ROLLED = """s AS (SELECT *, 2.0 * stddev_samp(d) OVER (PARTITION BY event_type, variable ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS threshold FROM d)"""
@@ -72,13 +73,13 @@ ROLLED = """s AS (SELECT *, 2.0 * stddev_samp(d) OVER (PARTITION BY event_type,
 @query("g05_spikes_rolling", f"""
 WITH {LONG}, {DIFF}, {ROLLED} SELECT event_type, variable, ts, value, round(threshold, 6) AS threshold, coalesce(d > threshold, false) AS spike FROM s""")
 def g05_rolling(spark, sf):
-    return outlier.spikes(half(spark, sf), HALF, ["v", "k"], 2.0, 12)
+    return outlier.spikes(staged(half(spark, sf)), HALF, ["v", "k"], 2.0, 12)
 
 
 @query("g05_spike_thresholds", f"""
 WITH {LONG}, {DIFF}, {ROLLED} SELECT event_type, variable, count(*) FILTER (d > threshold) AS n_spikes, round(quantile_cont(threshold, 0.5), 6) AS threshold FROM s GROUP BY 1, 2""")
 def g05_thresholds(spark, sf):
-    return outlier.spike_thresholds(outlier.spikes(half(spark, sf), HALF, ["v", "k"], 2.0, 12), KEY)
+    return outlier.spike_thresholds(outlier.spikes(staged(half(spark, sf)), HALF, ["v", "k"], 2.0, 12), KEY)
 
 
 STUCK = f"""{FLATSQL}, {DIFF}, c AS (SELECT *, coalesce(d <= 0.01, false) AS flat FROM d),
@@ -88,7 +89,7 @@ st AS (SELECT event_type, variable, ts, value, flat AND count(*) OVER (PARTITION
 
 @query("g06_stuck_values", f"WITH {STUCK} SELECT * FROM st")
 def g06(spark, sf):
-    return outlier.stuck(half(spark, sf).withColumn("f", flat("k")), HALF, ["f"], 3)
+    return outlier.stuck(staged(half(spark, sf)).withColumn("f", flat("k")), HALF, ["f"], 3)
 
 
 @query("g07_limit_resolution", f"""
@@ -137,7 +138,7 @@ flags AS (SELECT *, physical OR spike OR stuck OR valid_state AS hard, iqr OR iq
 
 
 def _flags(spark, sf):
-    return outlier.flag_table(half(spark, sf).withColumn("f", flat("k").cast("double")), HALF, RULES)
+    return outlier.flag_table(durable(half(spark, sf).withColumn("f", flat("k").cast("double"))), HALF, RULES)
 
 
 @query("g09_combined_flags", f"WITH {FLAG_SQL} SELECT * FROM flags")
@@ -165,7 +166,7 @@ def g11(spark, sf):
 @query("g11_null_hard_outliers", f"""
 WITH {FLAG_SQL} SELECT h.event_type, h.ts, CASE WHEN NOT hard THEN h.v END AS v FROM half h JOIN flags f ON f.event_type = h.event_type AND f.ts = h.ts AND variable = 'v'""")
 def g11_null(spark, sf):
-    return outlier.null_hard_outliers(half(spark, sf).select("event_type", "ts", "v"), _flags(spark, sf), HALF, ["v"])
+    return outlier.null_hard_outliers(staged(half(spark, sf)).select("event_type", "ts", "v"), _flags(spark, sf), HALF, ["v"])
 
 
 @query("g12_statistical_counts", f"""
@@ -174,7 +175,7 @@ c AS (SELECT event_type, variable, count(value) AS n, count(*) FILTER (value < q
  FROM u JOIN q USING (event_type, variable) JOIN m USING (event_type, variable) GROUP BY 1, 2)
 SELECT *, round(100.0 * iqr_outliers / n, 6) AS iqr_pct, round(100.0 * z_outliers / n, 6) AS z_pct FROM c""")
 def g12(spark, sf):
-    return outlier.statistical_counts(half(spark, sf), KEY, ["v", "k"])
+    return outlier.statistical_counts(staged(half(spark, sf)), KEY, ["v", "k"])
 
 
 @query("g13_tukey_report", f"""
@@ -183,4 +184,4 @@ SELECT event_type, variable, round(q1, 6) AS q1, round(q3, 6) AS q3, round(lower
  min(value) FILTER (value BETWEEN lower AND upper) AS keep_from, max(value) FILTER (value BETWEEN lower AND upper) AS keep_to, round(100.0 * count(*) FILTER (value < lower OR value > upper) / count(value), 6) AS outside_pct
  FROM u JOIN b USING (event_type, variable) GROUP BY event_type, variable, q1, q3, lower, upper""")
 def g13(spark, sf):
-    return outlier.tukey_report(half(spark, sf), KEY, ["v", "k"])
+    return outlier.tukey_report(staged(half(spark, sf)), KEY, ["v", "k"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import correlate, importance
 from tidegrid.queries import sqltails
-from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT_SQL, SIGNALS, half, plant
+from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT_SQL, SIGNALS, half, plant, staged
 from tidegrid.queries.registry import query
 
 ALL = list(SIGNALS)
@@ -46,7 +46,7 @@ def j01_matrix(spark, sf):
 
 @query("j02_spearman", f"WITH {PLANT_SQL}, {_xy(PAIRS)}, {_RANK} SELECT variable_1, variable_2, round(r, 8) AS r, n FROM sp", digits=8)
 def j02(spark, sf):
-    return correlate.spearman_pairs(plant(spark, sf), [], ALL)
+    return correlate.spearman_pairs(staged(plant(spark, sf)), [], ALL)
 
 
 @query("j03_kendall", f"""
@@ -55,7 +55,7 @@ s AS (SELECT a.variable_1, a.variable_2, sum(sign(a.x - b.x) * sign(a.y - b.y))
  FROM i a JOIN i b ON a.variable_1 = b.variable_1 AND a.variable_2 = b.variable_2 AND a.id < b.id GROUP BY 1, 2), n AS (SELECT variable_1, variable_2, count(*) AS n FROM xy GROUP BY 1, 2)
 SELECT variable_1, variable_2, round(s / (sqrt(tx) * sqrt(ty)), 8) AS r, n FROM s JOIN n USING (variable_1, variable_2)""", digits=8)
 def j03(spark, sf):
-    return correlate.kendall_pairs(plant(spark, sf), [], ALL[:3])
+    return correlate.kendall_pairs(staged(plant(spark, sf)), [], ALL[:3])
 
 
 @query("j04_p_values", f"WITH {PV} SELECT variable_1, variable_2, round(r, 6) AS r, n, round(p, 6) AS p_value FROM pv")
@@ -129,14 +129,14 @@ base AS (SELECT event_type, ts, v, k FROM dv JOIN dk USING (event_type, ts) WHER
 
 @query("j09_lag_correlation", f"WITH {_lag_sql(BASE)} SELECT event_type, lag, CAST(lag_hours AS DOUBLE) AS lag_hours, round(r, 6) AS r, n FROM lg")
 def j09(spark, sf):
-    return correlate.lag_correlation(half(spark, sf), HALF, "v", "k", 4, 0.5)
+    return correlate.lag_correlation(staged(half(spark, sf)), HALF, "v", "k", 4, 0.5)
 
 
 @query("j09_lag_spearman", f"""
 WITH {BASE}, sh AS (SELECT event_type, k, lag(v, 1) OVER (PARTITION BY event_type ORDER BY ts) AS s FROM base), xy AS (SELECT event_type AS variable_1, '1' AS variable_2, s AS x, k AS y FROM sh WHERE s IS NOT NULL), {_RANK}
 SELECT variable_1 AS event_type, round(r, 6) AS r, n FROM sp""")
 def j09_spearman(spark, sf):
-    d = correlate.lag_correlation(half(spark, sf), HALF, "v", "k", 1, 0.5, method="spearman", two_sided=False)
+    d = correlate.lag_correlation(staged(half(spark, sf)), HALF, "v", "k", 1, 0.5, method="spearman", two_sided=False)
     return d.filter("lag = 1").select("event_type", "r", "n")
 
 
@@ -154,7 +154,7 @@ def j11(spark, sf):
 
 @query("j11_lag_of_differences", f"WITH {_lag_sql(DIFF)} SELECT event_type, lag, CAST(lag_hours AS DOUBLE) AS lag_hours, round(r, 6) AS r, n FROM lg")
 def j11_diff(spark, sf):
-    return correlate.lag_correlation(half(spark, sf), HALF, "v", "k", 4, 0.5, mode="diff")
+    return correlate.lag_correlation(staged(half(spark, sf)), HALF, "v", "k", 4, 0.5, mode="diff")
 
 
 @query("j12_lag_findings", f"""
@@ -192,7 +192,7 @@ BEST = f"{_xy(TARGETS)}, {_RANK}, bt AS (SELECT variable_1 AS feature, max(abs(r
 
 @query("j15_best_target", f"WITH {PLANT_SQL}, {BEST} SELECT feature, round(max_abs_corr, 6) AS max_abs_corr, best_target FROM bt")
 def j15(spark, sf):
-    return importance.best_target(importance.target_correlations(plant(spark, sf), FEATS, ["tout", "fan"]), ["tout", "fan"])
+    return importance.best_target(importance.target_correlations(staged(plant(spark, sf)), FEATS, ["tout", "fan"]), ["tout", "fan"])
 
 
 def _bin(c):
@@ -207,12 +207,12 @@ mi AS (SELECT feature, sum(n / t * ln(n * t / (nx * ny))) AS mutual_info FROM jx
 
 @query("j16_mutual_information", f"WITH {PLANT_SQL}, {MI} SELECT feature, round(mutual_info, 6) AS mutual_info FROM mi")
 def j16(spark, sf):
-    return importance.mutual_information(plant(spark, sf), FEATS, "tout")
+    return importance.mutual_information(staged(plant(spark, sf)), FEATS, "tout")
 
 
 @query("j17_forest_importance")
 def j17(spark, sf):
-    return importance.forest_importance(plant(spark, sf), ["tm", "tr", "tc", "fan"], "tout", trees=20, depth=5)
+    return importance.forest_importance(staged(plant(spark, sf)), ["tm", "tr", "tc", "fan"], "tout", trees=20, depth=5)
 
 
 COMP = f"""{FSTAT}, {BEST}, {MI}, rp AS (SELECT fs.*, max_abs_corr, best_target, mutual_info, 0.3 * max_abs_corr + 0.35 * mutual_info / max(mutual_info) OVER () AS composite_score FROM fs JOIN bt USING (feature) JOIN mi USING (feature)),
@@ -220,7 +220,7 @@ rc AS (SELECT *, CASE WHEN missing_pct > 50 THEN 'REMOVE - High Missing Data' WH
 
 
 def scored(spark, sf):
-    d = plant(spark, sf)
+    d = staged(plant(spark, sf))
     best = importance.best_target(importance.target_correlations(d, FEATS, ["tout", "fan"]), ["tout", "fan"])
     return importance.composite(importance.assemble(importance.feature_stats(d, FEATS), best, importance.mutual_information(d, FEATS, "tout")))
 

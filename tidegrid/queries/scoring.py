@@ -9,7 +9,7 @@ from tidegrid.operators.anomaly import Detection
 from tidegrid.plans.blocks import POSITION, positions
 from tidegrid.plans.series import Series
 from tidegrid.queries.featuring import FULL_SQL, full
-from tidegrid.queries.inputs import HALF, HALF_SQL, STEP, half
+from tidegrid.queries.inputs import HALF, HALF_SQL, STEP, half, staged
 from tidegrid.queries.registry import query
 from tidegrid.session import durable
 
@@ -35,7 +35,7 @@ SRC = "src AS (SELECT event_type, ts, v, k, coalesce(k < 90, false) AS clean FRO
 
 
 def _windows(spark, sf):
-    d = half(spark, sf).filter("v IS NULL OR v < 150").withColumn("ok", F.coalesce(F.col("k") < 90, F.lit(False)))
+    d = staged(half(spark, sf)).filter("v IS NULL OR v < 150").withColumn("ok", F.coalesce(F.col("k") < 90, F.lit(False)))
     return sequence.sliding_windows(d, HALF, COLS, 4, STEP, "ok")
 
 
@@ -75,13 +75,13 @@ def _cstd(c, n, alias):
 WITH {FULL_SQL}, c AS (SELECT *, {_cstd('k', 4, 'sk')}, {_cstd('v', 4, 'sv')} FROM full_), f AS (SELECT *, coalesce(sk < 15, false) AS fk, coalesce(sv < 3, false) AS fv FROM c),
 n AS (SELECT event_type, count(*) FILTER (fk) > 24 AS gk, count(*) FILTER (fv) > 24 AS gv FROM f GROUP BY 1) SELECT event_type, ts, (fk AND gk) OR (fv AND gv) AS is_flat FROM f JOIN n USING (event_type)""")
 def k05(spark, sf):
-    d = full(spark, sf)
+    d = staged(full(spark, sf))
     a = sequence.flat_rows(d, HALF, ["k"], 4, 15.0, 24, "fk")
     return sequence.flat_rows(a, HALF, ["v"], 4, 3.0, 24, "fv").select("event_type", "ts", (F.col("fk") | F.col("fv")).alias("is_flat"))
 
 
 def _train(spark, sf):
-    d = sequence.split_by_week(half(spark, sf), HALF)
+    d = staged(sequence.split_by_week(half(spark, sf), HALF))
     return d, d.filter("split = 'train'")
 
 
@@ -127,21 +127,21 @@ def k08(spark, sf):
 WITH {FULL_SQL}, c AS (SELECT *, {_cstd('k', 4, 'sk')} FROM full_), f AS (SELECT *, coalesce(sk < 30, false) AS fk FROM c),
 i AS (SELECT *, row_number() OVER {W} - row_number() OVER (PARTITION BY event_type, fk ORDER BY ts) AS isl FROM f) SELECT event_type, ts, fk AND count(*) OVER (PARTITION BY event_type, fk, isl) >= 4 AS is_long_flat FROM i""")
 def k09(spark, sf):
-    return sequence.long_flat_runs(full(spark, sf), HALF, ["k"], 4, 30.0).select("event_type", "ts", "is_long_flat")
+    return sequence.long_flat_runs(staged(full(spark, sf)), HALF, ["k"], 4, 30.0).select("event_type", "ts", "is_long_flat")
 
 
 @query("k10_interpolated_mask", f"""
 WITH {FULL_SQL}, c AS (SELECT *, {_cstd('v', 6, 'sv')} FROM full_), f AS (SELECT *, coalesce(sv < 12, false) AS fv FROM c), n AS (SELECT event_type, count(*) FILTER (fv) > 100 AS g FROM f GROUP BY 1)
 SELECT event_type, ts, fv AND g AS is_filled FROM f JOIN n USING (event_type)""")
 def k10(spark, sf):
-    return sequence.interpolated_rows(full(spark, sf), HALF, [], ["v"], 6, 12.0).select("event_type", "ts", "is_filled")
+    return sequence.interpolated_rows(staged(full(spark, sf)), HALF, [], ["v"], 6, 12.0).select("event_type", "ts", "is_filled")
 
 
 @query("k11_out_of_range", f"""
 WITH {HALF_SQL}, q AS (SELECT event_type, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM half GROUP BY 1)
 SELECT event_type, ts, coalesce(v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1), false) AS beyond_iqr, coalesce(v < 2 OR v > 180, false) OR coalesce(k < 3 OR k > 97, false) AS is_out_of_range FROM half JOIN q USING (event_type)""")
 def k11(spark, sf):
-    d = sequence.out_of_range(half(spark, sf), KEY, ["v"], None, "beyond_iqr")
+    d = sequence.out_of_range(staged(half(spark, sf)), KEY, ["v"], None, "beyond_iqr")
     return sequence.out_of_range(d, KEY, COLS, {"v": (2, 180), "k": (3, 97)}).select("event_type", "ts", "beyond_iqr", "is_out_of_range")
 
 
@@ -149,7 +149,7 @@ def k11(spark, sf):
 WITH {FULL_SQL}, c AS (SELECT *, {_cstd('v', 12, 'sv')} FROM full_), g AS (SELECT event_type, stddev_samp(v) AS sg FROM full_ GROUP BY 1), f AS (SELECT *, coalesce(sv > 1.5 * sg, false) AS fv FROM c JOIN g USING (event_type)),
 n AS (SELECT event_type, count(*) FILTER (fv) > 50 AS g FROM f GROUP BY 1) SELECT event_type, ts, fv AND g AS is_noisy FROM f JOIN n USING (event_type)""")
 def k12(spark, sf):
-    return sequence.high_variance(full(spark, sf), HALF, ["v"], 12, 1.5).select("event_type", "ts", "is_noisy")
+    return sequence.high_variance(staged(full(spark, sf)), HALF, ["v"], 12, 1.5).select("event_type", "ts", "is_noisy")
 
 
 @query("k13_transients", f"""
@@ -172,7 +172,7 @@ e AS (SELECT event_type, quantile_cont(da, 0.5) + 1e-8 AS ma, quantile_cont(db,
 
 @query("k15_mad_filter", f"WITH {MAD} SELECT event_type, ts, round(z, 5) AS max_z, z > cut AS is_extreme FROM z JOIN q USING (event_type)", digits=5)
 def k15(spark, sf):
-    w = sequence.plain_windows(full(spark, sf), HALF, COLS, 4)
+    w = sequence.plain_windows(staged(full(spark, sf)), HALF, COLS, 4)
     return sequence.mad_filter(w, HALF, 2, 4).drop("window")
 
 
@@ -229,7 +229,7 @@ def dynamic(spark, sf, d=None):
 @query("l01_linear_autoencoder")
 def l01(spark, sf):
     """Fit on clean training windows, rebuild every window, mean error per split."""
-    d = sequence.split_by_week(half(spark, sf), HALF)
+    d = sequence.split_by_week(staged(half(spark, sf)), HALF)
     ks = Series(("event_type", "split"), "ts", STEP)
     w = sequence.sliding_windows(d, ks, COLS, 4, STEP)
     model = anomaly.fit_reconstruction(w.filter("split = 'train'"), 3, 8)
@@ -239,7 +239,7 @@ def l01(spark, sf):
 
 def _rebuilt(spark, sf):
     """Windows with their own mean as the simplest reconstruction."""
-    w = sequence.plain_windows(full(spark, sf), HALF, COLS, 4)
+    w = sequence.plain_windows(staged(full(spark, sf)), HALF, COLS, 4)
     mean = F.aggregate("window", F.lit(0.0), lambda a, x: a + x) / 8
     return w.withColumn("rebuilt", F.array_repeat(mean, 8))
 
@@ -393,7 +393,7 @@ lb AS (SELECT *, CASE WHEN f AND is_periodic AND NOT breaks_physics THEN 'Operat
 
 
 def faults(spark, sf):
-    d = full(spark, sf).withColumns({"f": F.col("v") > 60, "coil": F.col("v") + F.col("k") / 20})
+    d = staged(full(spark, sf)).withColumns({"f": F.col("v") > 60, "coil": F.col("v") + F.col("k") / 20})
     return anomaly.label_faults(d, HALF, "f", "v", "v", "k", "coil")
 
 
@@ -415,7 +415,7 @@ evs AS (SELECT event_type, CAST(ev AS BIGINT) AS event_id, min(ts) AS start, max
 
 def _event_input(spark, sf):
     v = F.col("v")
-    return full(spark, sf).withColumns({
+    return staged(full(spark, sf)).withColumns({
         "f": v > 45, "coil": F.col("k") / 2,
         "label": F.when(v > 150, "Potential fault").when(v > 45, "Operational peak").otherwise("Normal"),
         "severity": F.when(v > 200, "Critical").when(v > 100, "Moderate").when(v > 45, "Minor").otherwise("Normal"),
@@ -439,7 +439,7 @@ def l17(spark, sf):
 WITH {FULL_SQL}, f AS (SELECT *, v > 45 AS f FROM full_), i AS (SELECT *, row_number() OVER {W} - row_number() OVER (PARTITION BY event_type, f ORDER BY ts) AS s FROM f), e AS (SELECT event_type, count(*) AS n FROM i WHERE f GROUP BY event_type, s)
 SELECT event_type, count(*) AS n_episodes, round(avg(n), 6) AS mean_windows, max(n) AS max_windows, round(avg(n) * 0.5, 6) AS mean_hours, max(n) * 0.5 AS max_hours FROM e GROUP BY 1""")
 def l18(spark, sf):
-    return events.episode_stats(full(spark, sf).withColumn("f", F.col("v") > 45), HALF, "f", 0.5)
+    return events.episode_stats(staged(full(spark, sf)).withColumn("f", F.col("v") > 45), HALF, "f", 0.5)
 
 
 @query("l19_gap_diagnostic", f"""
@@ -447,7 +447,7 @@ WITH {HALF_SQL}, m AS (SELECT *, v IS NULL AS g, lag(v IS NULL) OVER {W} AS p, l
 a AS (SELECT event_type, ts, g FROM m WHERE coalesce(v > 60, false) OR (g AND hour(ts) = 12)), n AS (SELECT *, g OR EXISTS (SELECT 1 FROM e WHERE e.event_type = a.event_type AND e.ts BETWEEN a.ts - INTERVAL '1 hour' AND a.ts + INTERVAL '1 hour') AS near FROM a)
 SELECT event_type, count(*) AS n_anomalies, count(*) FILTER (near) AS n_gap_adjacent, round(100.0 * count(*) FILTER (near) / count(*), 6) AS gap_adjacent_pct, count(*) FILTER (NOT near) AS n_genuine FROM n GROUP BY 1""")
 def l19(spark, sf):
-    d = half(spark, sf).withColumn("f", F.coalesce(F.col("v") > 60, F.lit(False)) | (F.col("v").isNull() & (F.hour("ts") == 12)))
+    d = staged(half(spark, sf)).withColumn("f", F.coalesce(F.col("v") > 60, F.lit(False)) | (F.col("v").isNull() & (F.hour("ts") == 12)))
     gaps = missing.gap_durations(d, HALF, ["v"]).drop("variable")
     return events.gap_diagnostic(d, HALF, "f", gaps, d.filter("v IS NULL"), STEP)
 
@@ -494,7 +494,7 @@ cd AS (SELECT *, 0.45 * max_exceedance + 0.30 * mean_exceedance + 0.15 * duratio
 
 
 def _candidates(spark, sf):
-    d = full(spark, sf).withColumns({"f": F.col("v") > 45, "thr": F.lit(40.0), "nf": (F.col("k") > 50).cast("int")})
+    d = staged(full(spark, sf)).withColumns({"f": F.col("v") > 45, "thr": F.lit(40.0), "nf": (F.col("k") > 50).cast("int")})
     return events.candidate_events(d, HALF, "f", "v", "thr", "nf")
 
 
@@ -514,7 +514,7 @@ def l23_top(spark, sf):
 WITH {HALF_SQL}, q AS (SELECT event_type, quantile_cont(v, 0.9) AS c FROM half WHERE v > 60 GROUP BY 1), a AS (SELECT event_type, ts, v FROM half JOIN q USING (event_type) WHERE v > 60 AND v >= c)
 SELECT a.event_type, a.ts AS anchor_ts, a.v AS anchor_score, h.ts, h.v FROM a JOIN half h ON h.event_type = a.event_type AND h.ts BETWEEN a.ts - INTERVAL '3 hours' AND a.ts + INTERVAL '3 hours'""")
 def l24(spark, sf):
-    d = half(spark, sf).select("event_type", "ts", "v")
+    d = staged(half(spark, sf)).select("event_type", "ts", "v")
     a = anomaly.context_anchors(d.withColumn("f", F.coalesce(F.col("v") > 60, F.lit(False))), KEY, "f", "v")
     return joins.context(a, d, HALF, 10_800).select("event_type", "anchor_ts", "anchor_score", "ts", "v")
 
@@ -535,7 +535,7 @@ M4 = f"{M3}, mf AS (SELECT regr_slope(v, k) AS b, regr_intercept(v, k) AS a FROM
 
 
 def complete(spark, sf):
-    return forecast.select_complete(half(spark, sf), HALF, ["k"], "v")
+    return forecast.select_complete(staged(half(spark, sf)), HALF, ["k"], "v")
 
 
 def prepared(spark, sf):
@@ -568,7 +568,7 @@ def m04(spark, sf):
 
 def _features(spark, sf):
     """Complete rows with calendar features beside the second signal."""
-    d = half(spark, sf).withColumns({"hour": F.hour("ts").cast("double"), "dow": F.weekday(F.col("ts")).cast("double")})
+    d = staged(half(spark, sf)).withColumns({"hour": F.hour("ts").cast("double"), "dow": F.weekday(F.col("ts")).cast("double")})
     return forecast.split_rows(forecast.select_complete(d, HALF, ["k", "hour", "dow"], "v"), SPARSE)
 
 
@@ -617,5 +617,5 @@ def m10(spark, sf):
 
 @query("m11_window_model_search")
 def m11(spark, sf):
-    d = sequence.split_by_week(half(spark, sf), HALF)
+    d = sequence.split_by_week(staged(half(spark, sf)), HALF)
     return forecast.search(d, HALF, COLS, STEP, (2, 4), (2, 6))

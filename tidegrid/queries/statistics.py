@@ -8,7 +8,7 @@ from tidegrid.operators import grid, outlier, profiles, stats
 from tidegrid.plans.series import Series
 from tidegrid.queries import sqltails
 from tidegrid.queries.gaps import SEASON, seasoned
-from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT_SQL, half, plant, table
+from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT_SQL, half, plant, table, staged
 from tidegrid.queries.outliers import LONG
 from tidegrid.queries.registry import query
 
@@ -25,19 +25,19 @@ R = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
 @query("i01_describe", f"""WITH {DESC} SELECT event_type, variable, count, {R('valid_pct', 'mean', 'std', 'variance', 'min', 'max', 'p5', 'q1', 'median', 'q3', 'p95', 'cv_pct', 'range', 'iqr')} FROM st""")
 def i01(spark, sf):
-    return stats.describe(half(spark, sf), KEY, COLS).drop("skewness", "kurtosis")
+    return stats.describe(staged(half(spark, sf)), KEY, COLS).drop("skewness", "kurtosis")
 
 
 @query("i02_skew_kurtosis", f"WITH {DESC} SELECT event_type, variable, {R('skewness', 'kurtosis')} FROM st")
 def i02(spark, sf):
-    return stats.describe(half(spark, sf), KEY, COLS).select("event_type", "variable", "skewness", "kurtosis")
+    return stats.describe(staged(half(spark, sf)), KEY, COLS).select("event_type", "variable", "skewness", "kurtosis")
 
 
 @query("i03_jarque_bera", f"""
 WITH {DESC}, j AS (SELECT *, count / 6 * (skewness ** 2 + kurtosis ** 2 / 4) AS jb FROM st)
 SELECT event_type, variable, round(jb, 4) AS jb_stat, round(exp(-jb / 2), 4) AS jb_p, exp(-jb / 2) > 0.05 AS jb_normal FROM j""", digits=4)
 def i03(spark, sf):
-    return stats.jarque_bera(stats.describe(half(spark, sf), KEY, COLS)).select("event_type", "variable", "jb_stat", "jb_p", "jb_normal")
+    return stats.jarque_bera(stats.describe(staged(half(spark, sf)), KEY, COLS)).select("event_type", "variable", "jb_stat", "jb_p", "jb_normal")
 
 
 _Z = "((value - mean) / sd)"
@@ -49,7 +49,7 @@ ac AS (SELECT *, round(0.787 / (1 + 4 / n - 25 / n / n), 3) AS ad_critical FROM
 
 @query("i04_anderson_darling", f"WITH {AD} SELECT event_type, variable, n, round(ad_stat, 5) AS ad_stat, ad_critical, ad_stat < ad_critical AS ad_normal FROM ac", digits=5)
 def i04(spark, sf):
-    return stats.anderson_darling(half(spark, sf), KEY, COLS)
+    return stats.anderson_darling(staged(half(spark, sf)), KEY, COLS)
 
 
 @query("i05_interpretation", f"""
@@ -58,7 +58,7 @@ o AS (SELECT u.event_type, u.variable, 100.0 * count(*) FILTER (value < q1 - 1.5
 SELECT event_type, variable, CASE WHEN cv_pct < 5 THEN 'very stable' WHEN cv_pct < 15 THEN 'moderate variability' ELSE 'high variability' END AS cv_label,
  'Non-Normal' AS distribution, CASE WHEN p < 1 THEN 'Low' WHEN p < 5 THEN 'Moderate' ELSE 'High' END AS outlier_severity FROM st JOIN o USING (event_type, variable)""")
 def i05(spark, sf):
-    d = half(spark, sf)
+    d = staged(half(spark, sf))
     by = ["event_type", "variable"]
     s = stats.jarque_bera(stats.describe(d, KEY, COLS))
     s = s.join(stats.anderson_darling(d, KEY, COLS).select(*by, "ad_normal"), by)
@@ -119,7 +119,7 @@ CLOCK = f"{LONG}, w AS (SELECT event_type, variable, ts, value, CAST(isodow(ts)
 @query("i10_weekly_aggregates", f"""
 WITH {CLOCK} SELECT event_type, variable, weekday, hour, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS count, round(quantile_cont(value, 0.5), 6) AS median FROM w GROUP BY 1, 2, 3, 4""")
 def i10(spark, sf):
-    return profiles.weekly_aggregates(half(spark, sf), HALF, COLS)
+    return profiles.weekly_aggregates(staged(half(spark, sf)), HALF, COLS)
 
 
 @query("i11_week_features", """
@@ -164,7 +164,7 @@ c AS (SELECT event_type, variable, weekday, hour, count(value) AS n FROM w GROUP
 SELECT event_type, variable, arg_max(hour, wd) AS peak_hour, round(max(wd) / CASE WHEN min(wd) > 0 THEN min(wd) END, 6) AS peak_valley_ratio, round(avg(wd - we), 6) AS weekday_weekend_delta, round(max(low), 6) AS low_count_pct
 FROM h JOIN l USING (event_type, variable) GROUP BY 1, 2""")
 def i15(spark, sf):
-    return profiles.weekly_kpis(half(spark, sf), HALF, COLS)
+    return profiles.weekly_kpis(staged(half(spark, sf)), HALF, COLS)
 
 
 @query("i16_daily_bands", f"""
@@ -185,14 +185,14 @@ def i17(spark, sf):
 WITH {HALF_SQL}, r AS (SELECT event_type, v AS value, row_number() OVER (PARTITION BY event_type ORDER BY v DESC) AS i, count(*) OVER (PARTITION BY event_type) AS c FROM half WHERE v IS NOT NULL)
 SELECT event_type, value, count(*) AS n, round(min(100.0 * (i - 1) / (c - 1)), 6) AS pct_from, round(max(100.0 * (i - 1) / (c - 1)), 6) AS pct_to FROM r GROUP BY 1, 2""")
 def i18(spark, sf):
-    return stats.load_duration(half(spark, sf), KEY, "v")
+    return stats.load_duration(staged(half(spark, sf)), KEY, "v")
 
 
 @query("i19_season_statistics", f"""
 WITH {LONG}, s AS (SELECT *, {SEASON} AS season FROM u) SELECT event_type, season, variable, count(value) AS count, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS std,
  min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(100.0 * stddev_samp(value) / avg(value), 6) AS cv_pct FROM s GROUP BY 1, 2, 3""")
 def i19(spark, sf):
-    return stats.season_stats(seasoned(half(spark, sf)), KEY, "season", COLS)
+    return stats.season_stats(seasoned(staged(half(spark, sf))), KEY, "season", COLS)
 
 
 DAILY = f"""{LONG}, dy AS (SELECT event_type, variable, {SEASON} AS season, CAST(ts AS DATE) AS date, avg(value) AS x FROM u GROUP BY 1, 2, 3, 4 HAVING count(value) > 0),
@@ -201,7 +201,7 @@ a AS (SELECT event_type, variable, count(*) FILTER (season = 'first') AS na, cou
 
 
 def _tests(spark, sf):
-    d = seasoned(half(spark, sf))
+    d = seasoned(staged(half(spark, sf)))
     d = grid.daily_mean(d, Series(("event_type", "season"), "ts"), COLS)
     return stats.compare_groups(d, KEY, "season", "first", "second", COLS)
 
@@ -277,7 +277,7 @@ s AS (SELECT event_type, avg(v) OVER w AS v, avg(k) OVER w AS k FROM f WINDOW w
 SELECT event_type, {KPI} FROM e GROUP BY 1""")
 def i27(spark, sf):
     sp = profiles.season_pair("winter", "cooling_sp", "k", ["v", "k"])
-    return profiles.pair_kpis(half(spark, sf), HALF, "v", sp, 4, 10.0)
+    return profiles.pair_kpis(staged(half(spark, sf)), HALF, "v", sp, 4, 10.0)
 
 
 @query("i28_operation_view", f"""

@@ -72,8 +72,9 @@ def parse(lines: DataFrame, dialects: DataFrame, columns: Sequence[str]) -> Data
     for sep in (DEFAULT_SEPARATOR, ";", "\t", "|"):
         got = F.from_csv("value", schema, {"sep": sep, "quote": '"'})
         rec = F.when(F.col("sep") == sep, got) if rec is None else rec.when(F.col("sep") == sep, got)
-    d = d.withColumn("__r", rec)
-    return d.select("file", "pos", *[F.trim(F.col("__r")[f"c{i}"]).alias(c) for i, c in enumerate(columns)])
+    # inline: one parse per line, whatever the number of columns read from it
+    d = d.select("file", "pos", F.inline(F.array(rec)))
+    return d.select("file", "pos", *[F.trim(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
