@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import roles
@@ -53,15 +53,17 @@ def localize(df: DataFrame, s: Series, zone: str, out: str = "instant") -> DataF
     local = F.col(s.ts).cast("timestamp")
     first = F.to_utc_timestamp(local, zone)
     hour_later = first + F.expr("INTERVAL 1 HOUR")
-    w = Window.partitionBy(*s.keys, s.ts).orderBy(*[F.col(c) for c in s.tie])
     in_fold = F.from_utc_timestamp(hour_later, zone) == local
     in_hole = F.from_utc_timestamp(first, zone) != local
+    # only the rows of the repeated hour need an order: the earliest of each time stays in summer time
+    earliest = df.filter(in_fold).groupBy(*s.keys, s.ts).agg(F.min(F.struct(*s.tie)).alias("__e"))
+    d = df.join(earliest, [*s.keys, s.ts], "left")
     instant = (
         F.when(in_hole, F.to_utc_timestamp(F.date_trunc("hour", local), zone))
-        .when(in_fold & (F.row_number().over(w) > 1), hour_later)
+        .when(F.col("__e").isNotNull() & (F.struct(*s.tie) != F.col("__e")), hour_later)
         .otherwise(first)
     )
-    return df.withColumn(out, instant)
+    return d.withColumn(out, instant).drop("__e")
 
 
 def rename_signals(df: DataFrame, *maps: Mapping[str, str]) -> DataFrame:

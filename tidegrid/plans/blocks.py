@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from tidegrid.plans.series import (
     BLOCK,
     BLOCK_ROWS,
+    BLOCKS_PER_SUPER,
     MICROS,
     OWNED,
+    SUPER,
     Series,
     floor_div,
     micros,
@@ -49,9 +51,9 @@ def with_halo(df: DataFrame, s: Series, before: int, after: int, rows: int = BLO
 
 def with_time_halo(df: DataFrame, s: Series, before_s: float, after_s: float, size: int | None = None) -> DataFrame:
     """Like ``with_halo`` with the reach in seconds; always a single shuffle."""
-    return _copy_to_blocks(
-        df, micros(s.ts), size or s.block_micros(), int(before_s * MICROS), int(after_s * MICROS)
-    )
+    before, after = int(before_s * MICROS), int(after_s * MICROS)
+    # blocks much longer than the reach, so that few rows are copied
+    return _copy_to_blocks(df, micros(s.ts), size or max(s.block_micros(), 16 * (before + after)), before, after)
 
 
 def _copy_to_blocks(df: DataFrame, at: Column, size: int, before: int, after: int) -> DataFrame:
@@ -98,6 +100,25 @@ def _combine(kind: str, local: Column, carried: Column) -> Column:
     return F.coalesce(local + carried, local, carried)
 
 
+def _carried(totals: DataFrame, keys: Sequence[str], kinds: Mapping[str, str], back: set[str], two_level: bool) -> DataFrame:
+    """``keys, block, __c_<n>``: fold of the totals of all earlier (for ``back``: later) blocks.
+
+    With two levels, blocks are first folded inside super-blocks and super-blocks
+    inside the series, so no task sees all blocks of one key.
+    """
+    def fold(d: DataFrame, part: Sequence[str], order: str, src: str, dst: str) -> DataFrame:
+        w = {b: Window.partitionBy(*part).orderBy(F.desc(order) if b else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1) for b in (False, True)}
+        return d.withColumns({f"{dst}{n}": _FOLD[k](f"{src}{n}").over(w[n in back]) for n, k in kinds.items()})
+
+    if not two_level:
+        return fold(totals, keys, BLOCK, "__t_", "__c_").drop(*[f"__t_{n}" for n in kinds])
+    d = totals.withColumn(SUPER, floor_div(F.col(BLOCK), BLOCKS_PER_SUPER))
+    top = d.groupBy(*keys, SUPER).agg(*[_FOLD[k](f"__t_{n}").alias(f"__t_{n}") for n, k in kinds.items()])
+    top = fold(top, keys, SUPER, "__t_", "__u_").drop(*[f"__t_{n}" for n in kinds])
+    d = fold(d, [*keys, SUPER], BLOCK, "__t_", "__i_").join(top, [*keys, SUPER], "left")
+    return d.select(*keys, BLOCK, *[_combine(k, F.col(f"__i_{n}"), F.col(f"__u_{n}")).alias(f"__c_{n}") for n, k in kinds.items()])
+
+
 def running(
     df: DataFrame,
     s: Series,
@@ -116,12 +137,11 @@ def running(
     back = dict(backward or {})
     both = {**exprs, **back}
     bs = s if backward_tie is None else replace(s, tie=backward_tie)
-    d = df if BLOCK in df.columns else df.withColumn(BLOCK, s.time_block())
+    fresh = BLOCK not in df.columns
+    d = df.withColumn(BLOCK, s.time_block()) if fresh else df
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     totals = d.groupBy(*s.keys, BLOCK).agg(*[_LOCAL[k](c).alias(f"__t_{n}") for n, (k, c) in both.items()])
-    w0 = Window.partitionBy(*s.keys)
-    before = {n: w0.orderBy(F.desc(BLOCK) if n in back else F.asc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1) for n in both}
-    carried = totals.select(*s.keys, BLOCK, *[_FOLD[k](f"__t_{n}").over(before[n]).alias(f"__c_{n}") for n, (k, _) in both.items()])
+    carried = _carried(totals, s.keys, {n: k for n, (k, _) in both.items()}, set(back), two_level=fresh and not s.step)
     d = d.withColumns({
         f"__l_{n}": _LOCAL[k](c).over(upto(bs.window(reverse=True) if n in back else s.window())) for n, (k, c) in both.items()
     })

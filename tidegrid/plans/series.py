@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 BLOCK = "__block"
 OWNED = "__owned"
+SUPER = "__super"
+BLOCKS_PER_SUPER = 1440
 BLOCK_ROWS = 262_144
 MICROS = 1_000_000
 
@@ -34,15 +36,16 @@ class Series:
     """Key columns, time column and (when on a regular grid) the step in seconds.
 
     ``tie`` orders rows that share a timestamp.  ``span`` is the length in
-    seconds of a time block for irregular series; choose it so that one key has
-    a bounded number of rows per block.
+    seconds of a time block for irregular series: short, so that a burst on one
+    key is still cut into many blocks (totals of blocks are folded in two levels,
+    so many nearly empty blocks cost little).
     """
 
     keys: tuple[str, ...] = ()
     ts: str = "ts"
     step: int | None = None
     tie: tuple[str, ...] = ()
-    span: int = 86_400
+    span: int = 60
 
     def with_step(self, step: int | None) -> "Series":
         return replace(self, step=step)
