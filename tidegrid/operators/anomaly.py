@@ -122,7 +122,7 @@ def ewm_statistics(df: DataFrame, s: Series, score: str, span: float, reset_hour
     stages.append(lambda w: {"ewm_std": F.sqrt("__var")})
     if after is not None:
         stages.append(lambda w: after(ws))
-    d = rolling(df, s.with_step(None), ewm_reach(span), 0, *stages, rows=ewm_block_rows(span))
+    d = rolling(df, s, ewm_reach(span), 0, *stages, rows=ewm_block_rows(span))
     return d.drop("__new", "__seg", "__var", *EWM_SCRATCH)
 
 
@@ -138,7 +138,7 @@ def ema_anchor(train: DataFrame, s: Series, score: str = "score", span: float =
 def smooth_scores(df: DataFrame, s: Series, score: str = "score", n: int = 3, out: str = "smoothed") -> DataFrame:
     """Centred rolling median over at most ``n`` rows."""
     half = n // 2
-    return rolling(df, s.with_step(None), half, half, lambda w: {out: array_median(F.collect_list(score).over(w.rowsBetween(-half, half)))})
+    return rolling(df, s, half, half, lambda w: {out: array_median(F.collect_list(score).over(w.rowsBetween(-half, half)))})
 
 
 def dynamic_threshold(df: DataFrame, s: Series, anchor: DataFrame, score: str = "smoothed", span: float = 10.0, k: float = 1.2, reset_hours: float | None = 3.0, out: str = "threshold") -> DataFrame:
@@ -173,7 +173,7 @@ def flag_scores(df: DataFrame, s: Series, score: str = "smoothed", threshold: st
 def persistent(df: DataFrame, s: Series, flags: dict[str, tuple[str, int]]) -> DataFrame:
     """``{out: (flag, n)}``: keep flags in runs of at least ``n`` rows."""
     reach = max(n for _, n in flags.values()) - 1
-    return rolling(df, s.with_step(None), reach, reach, lambda w: {o: run_at_least(F.col(f), n, w) for o, (f, n) in flags.items()})
+    return rolling(df, s, reach, reach, lambda w: {o: run_at_least(F.col(f), n, w) for o, (f, n) in flags.items()})
 
 
 def split_rates(df: DataFrame, s: Series, anchor: DataFrame, split: str = "split", p: Detection = Detection(), score: str = "score") -> DataFrame:
@@ -229,7 +229,7 @@ def transition_guard(df: DataFrame, s: Series, supply: str, return_error: str, s
         left, right = v - F.lag(v).over(w), F.lead(v).over(w) - v
         return {"__g": F.abs(F.coalesce((left + right) / 2, right, left))}
 
-    d = attach(rolling(df, s.with_step(None), 1, 1, grad), stable_below, s.keys)
+    d = attach(rolling(df, s, 1, 1, grad), stable_below, s.keys)
     calm = false_if_null(F.col("__g") > ramp) & false_if_null(F.col(return_error) < F.col("limit"))
     return d.withColumns({"suppressed": F.col(flag) & calm, flag: F.col(flag) & ~calm}).drop("__g", "limit")
 
@@ -241,7 +241,7 @@ def label_faults(df: DataFrame, s: Series, flag: str, score: str, supply: str, r
     periodic flag, physics-breaking ones included, while their label says fault.
     """
     change = lambda c, w: F.coalesce(F.abs(F.col(c) - F.lag(c).over(w)), F.lit(0.0))
-    d = rolling(df, s.with_step(None), 1, 0, lambda w: {"__ds": change(supply, w), "__dr": change(ret, w)})
+    d = rolling(df, s, 1, 0, lambda w: {"__ds": change(supply, w), "__dr": change(ret, w)})
     d = values_one_period_back(d, s, period_s, tol_s, {"__prev": F.col(score), "__hit": F.col(flag)})
     cur, prev = F.col(score) + 1e-9, array_median(F.col("__prev")) + 1e-9
     ratio = F.greatest(cur, prev) / F.least(cur, prev)

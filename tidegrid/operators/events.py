@@ -79,7 +79,7 @@ def events(
 
 def episode_stats(df: DataFrame, s: Series, flag: str, step_h: float) -> DataFrame:
     """Number of contiguous flagged runs, mean and longest length in windows and hours."""
-    e = episodes(df, s.with_step(None), F.col(flag))
+    e = episodes(df, s, F.col(flag))
     g = e.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n_episodes"), F.avg("n_rows").alias("mean_windows"), F.max("n_rows").alias("max_windows"))
     return g.withColumns({"mean_hours": F.col("mean_windows") * step_h, "max_hours": F.col("max_windows") * step_h})
 
@@ -98,7 +98,7 @@ def gap_diagnostic(df: DataFrame, s: Series, flag: str, gaps: DataFrame, removed
 def candidate_events(df: DataFrame, s: Series, flag: str, score: str, threshold: str, n_features: str, step_h: float = 0.5) -> DataFrame:
     """Runs of candidate flags with exceedance figures and a ranking score."""
     exceed = F.greatest(F.col(score) - F.col(threshold), F.lit(0.0))
-    e = episodes(df, s.with_step(None), F.col(flag), [
+    e = episodes(df, s, F.col(flag), [
         F.max(score).alias("peak_score"), F.max_by(threshold, F.struct(F.col(score), -micros(s.ts))).alias("peak_threshold"),
         F.max(exceed).alias("max_exceedance"), F.avg(exceed).alias("mean_exceedance"), F.avg(n_features).alias("mean_features"),
     ])
@@ -121,7 +121,7 @@ def result_table(df: DataFrame, evs: DataFrame, s: Series, rules: Sequence[str]
     # the latest event that starts at or before the row, if it has not ended
     starts = df.join(e, [*s.keys, s.ts], "left")
     key = F.when(F.col("__e").isNotNull(), F.struct(F.col(s.ts).alias("at"), F.col("__e").alias("e")))
-    d = running(starts, s.with_step(None), {"__cur": ("max", key)})
+    d = running(starts, s, {"__cur": ("max", key)})
     inside = F.col(s.ts) <= F.col("__cur")["e"]["end"]
     any_rule = F.lit(False)
     for r in rules:

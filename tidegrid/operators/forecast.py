@@ -31,7 +31,7 @@ def select_complete(df: DataFrame, s: Series, features: Sequence[str], target: s
 def split_rows(df: DataFrame, s: Series, train: float = TRAIN, validation: float = VALIDATION, out: str = "split") -> DataFrame:
     """Chronological split by row number: ``int(n * train)`` rows, then ``int(n * validation)``, then the rest."""
     n = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("__n"))
-    d = attach(positions(df, s.with_step(None), "__i"), n, s.keys)
+    d = attach(positions(df, s, "__i"), n, s.keys)
     a = F.floor(F.col("__n") * train)
     b = a + F.floor(F.col("__n") * validation)
     label = F.when(F.col("__i") < a, "train").when(F.col("__i") < b, "val").otherwise("test")

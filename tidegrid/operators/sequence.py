@@ -60,7 +60,7 @@ def plain_windows(df: DataFrame, s: Series, columns: Sequence[str], length: int)
             "__n": F.count(F.lit(1)).over(frame),
         }
 
-    d = rolling(df, s.with_step(None), length - 1, 0, build)
+    d = rolling(df, s, length - 1, 0, build)
     return d.filter(F.col("__n") == length).select(*s.keys, s.ts, "window")
 
 

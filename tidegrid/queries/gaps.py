@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators import clean, impute, missing
-from tidegrid.queries.inputs import HALF, HALF_SQL, PLANT, PLANT_SQL, SIGNALS, STEP, half, plant, staged
+from tidegrid.queries.inputs import EVENTS_SQL, HALF, HALF_SQL, PLANT, PLANT_SQL, SIGNALS, STEP, half, plant, staged
 from tidegrid.queries.registry import query
 
 COLS = ["v", "k"]
@@ -298,12 +298,17 @@ def f02(spark, sf):
     return impute.fill_steps(half(spark, sf).select("event_type", "ts", "k"), HALF, ["k"], 1)
 
 
-RESTORE_SQL = INTERP_SQL.format(n=2) + """, il AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - row_number() OVER (PARTITION BY event_type, raw IS NULL ORDER BY ts) AS isl FROM filled),
+def restore_sql(n, base=HALF_SQL):
+    """Linear fill with runs of at least ``n`` missing rows left missing."""
+    return INTERP_SQL.format(n=n).replace(HALF_SQL, base) + f""", il AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - row_number() OVER (PARTITION BY event_type, raw IS NULL ORDER BY ts) AS isl FROM filled),
 cn AS (SELECT *, count(*) OVER (PARTITION BY event_type, raw IS NULL, isl) AS n FROM il),
-fin AS (SELECT event_type, ts, raw, CASE WHEN raw IS NULL AND n >= 2 THEN NULL ELSE v END AS v, start_time FROM cn
+fin AS (SELECT event_type, ts, raw, CASE WHEN raw IS NULL AND n >= {n} THEN NULL ELSE v END AS v, start_time FROM cn
   LEFT JOIN (SELECT event_type AS e2, raw IS NULL AS r2, isl AS i2, min(ts) AS start_time FROM il GROUP BY 1, 2, 3) ON e2 = event_type AND i2 = isl AND r2 = (raw IS NULL))"""
 
 
+RESTORE_SQL = restore_sql(2)
+
+
 @query("f03_restore_long_gaps", f"WITH {RESTORE_SQL} SELECT event_type, ts, round(v, 8) AS v FROM fin", digits=8)
 def f03(spark, sf):
     d = missing.long_null_runs(staged(half(spark, sf)).select("event_type", "ts", "v"), HALF, ["v"], 2)
@@ -351,14 +356,25 @@ def flagship(spark, sf):
     return impute.gap_safe_fill(d, HALF, ["temp"], max_gap_hours=1.0).join(runs, ["event_type", "ts"], "left")
 
 
-@query("flagship_raw_to_clean", None)
+RAW_HALF_SQL = f"""{EVENTS_SQL}, rw AS (SELECT event_type, date_trunc('second', ts) AS ts, event_id, CAST(round(CAST(value AS DECIMAL(18,2)), 1) AS DOUBLE) AS t, k FROM ev),
+fp AS (SELECT event_type, ts, arg_min_null(CASE WHEN t BETWEEN -10 AND 60 THEN t END, event_id) AS temp, arg_min(k, event_id) AS fan FROM rw GROUP BY 1, 2),
+hb AS (SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) AS ts, avg(temp) AS v, avg(fan) AS k FROM fp GROUP BY 1, 2),
+hg AS (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL '30 minutes')) AS ts FROM hb GROUP BY 1),
+half AS (SELECT hg.event_type, hg.ts, hb.v, hb.k FROM hg LEFT JOIN hb ON hg.event_type = hb.event_type AND hg.ts = hb.ts)"""
+
+
+@query("flagship_raw_to_clean", f"""
+WITH {restore_sql(8, RAW_HALF_SQL)}, ks AS (SELECT event_type, ts, k, row_number() OVER w - row_number() OVER (PARTITION BY event_type, k IS NULL ORDER BY ts) AS isl,
+  coalesce(last_value(k IGNORE NULLS) OVER w, first_value(k IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS kf FROM half WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+kc AS (SELECT *, k IS NULL AND count(*) OVER (PARTITION BY event_type, k IS NULL, isl) < 8 AS filled FROM ks)
+SELECT event_type, ts, round(v, 6) AS temp, round(CASE WHEN k IS NOT NULL OR kc.filled THEN kf END, 6) AS fan, raw IS NULL AND v IS NOT NULL AS temp_is_interpolated, kc.filled AS fan_is_interpolated FROM fin JOIN kc USING (event_type, ts)""")
 def raw_to_clean(spark, sf):
-    """Raw export lines to the cleaned, gridded and filled series in one lazy chain."""
+    """Raw export lines to the cleaned, gridded and filled series in one chain with one stage table."""
     from tidegrid.operators import grid
     from tidegrid.queries.ingest import a02
 
     d = a02(spark, sf).withColumnRenamed("file", "event_type")
     d = clean.coarse_limits(d, ["temp"], -10, 60)
     d = clean.first_per_timestamp(d.select("event_type", "ts", "event_id", "temp", "fan"), HALF)
-    d = grid.resample_mean(d, HALF, STEP, ["temp", "fan"])
+    d = staged(grid.resample_mean(d, HALF, STEP, ["temp", "fan"]))
     return impute.gap_safe_fill(d, HALF, ["temp", "fan"])
