@@ -274,3 +274,31 @@ def test_tautology_column_agrees_with_names(spark):
     rows = [(a, b) for a in names for b in names if a < b]
     got = spark.createDataFrame(rows, "variable_1 string, variable_2 string").withColumn("t", correlate.tautology()).collect()
     assert all(r.t == roles.is_tautology(r.variable_1, r.variable_2) for r in got)
+
+
+def test_raw_names_are_cleaned_and_renamed(spark):
+    d = spark.createDataFrame([("21.3 °C", "45 %")], ["Temp. Mandata", "Mod. V. Mandata"])
+    got = clean.rename_signals(clean.clean_units(d, ["Temp. Mandata", "Mod. V. Mandata"])).first().asDict()
+    assert got == {"Temperatura Mandata": 21.3, "Modulazione Ventilatore Mandata": 45.0}
+
+
+def test_window_model_is_the_principal_subspace(spark):
+    x = RNG.normal(size=(200, 4)) @ RNG.normal(size=(4, 6)) + RNG.normal(size=6)
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, window array<double>")
+    for k in (2, 4):
+        got = np.stack(anomaly.fit_reconstruction(d, k, 6).apply(d).orderBy("i").toPandas().rebuilt.to_numpy())
+        m = x - x.mean(axis=0)
+        v = np.linalg.svd(m, full_matrices=False)[2][:k]
+        np.testing.assert_allclose(got, m @ v.T @ v + x.mean(axis=0), atol=1e-8)
+
+
+def test_kendall_and_optimal_lag(spark):
+    n = 120
+    x = RNG.integers(0, 10, n).astype(float)
+    pdf = pd.DataFrame({"k": "a", "ts": pd.date_range("2024-01-01", periods=n, freq="30min"), "x": x, "y": np.roll(x, 3) + RNG.normal(scale=0.1, size=n)})
+    d = spark.createDataFrame(pdf)
+    r = correlate.optimal_lag(correlate.lag_correlation(d, S, "x", "y", 6, 0.5), ["k"]).first()
+    assert r.optimal_lag_hours == 1.5 and r.optimal_r > 0.95
+    t = correlate.kendall_pairs(d, ["k"], ["x", "y"]).first()
+    a, b = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(pdf.y.to_numpy(), pdf.y.to_numpy()))
+    np.testing.assert_allclose(t.r, (a * b).sum() / np.sqrt((a != 0).sum() * (b != 0).sum()))

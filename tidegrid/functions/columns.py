@@ -13,7 +13,10 @@ UNIT_MARKS = ("Ã‚Â°C", "Â°C", "¬∞C", "°C", "%")
 
 
 def as_col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """Column by name; raw export names may contain dots."""
+    if not isinstance(c, str):
+        return c
+    return F.col(f"`{c}`" if "." in c and "`" not in c else c)
 
 
 def nan_to_null(c: Column | str) -> Column:

@@ -145,15 +145,15 @@ def d02(spark, sf):
 
 @query("d02_two_step_join", f"""
 WITH {HALF_SQL}, {WEATHER_SQL},
-l AS (SELECT ts, v FROM half WHERE event_type = 'click'),
+l AS (SELECT event_type, ts, v FROM half),
 b AS (SELECT l.*, w.ts AS bts, w.temp AS bv FROM l ASOF LEFT JOIN weather w ON l.ts >= w.ts),
 f AS (SELECT b.*, w.ts AS fts, w.temp AS fv FROM b ASOF LEFT JOIN weather w ON b.ts <= w.ts),
-n AS (SELECT ts, v, CASE WHEN fts IS NULL OR epoch_us(ts) - epoch_us(bts) <= epoch_us(fts) - epoch_us(ts) THEN bts ELSE fts END AS at_ts,
+n AS (SELECT event_type, ts, v, CASE WHEN fts IS NULL OR epoch_us(ts) - epoch_us(bts) <= epoch_us(fts) - epoch_us(ts) THEN bts ELSE fts END AS at_ts,
   CASE WHEN fts IS NULL OR epoch_us(ts) - epoch_us(bts) <= epoch_us(fts) - epoch_us(ts) THEN bv ELSE fv END AS temp FROM f),
 rate AS (SELECT 100.0 * count(*) FILTER (ts = at_ts) / count(*) AS r FROM n)
-SELECT ts, v, CASE WHEN ts = at_ts OR (r <= 80 AND abs(epoch_us(ts) - epoch_us(at_ts)) <= 1800000000) THEN temp END AS temp FROM n, rate""")
+SELECT event_type, ts, v, CASE WHEN ts = at_ts OR (r <= 80 AND abs(epoch_us(ts) - epoch_us(at_ts)) <= 1800000000) THEN temp END AS temp FROM n, rate""")
 def d02_two_step(spark, sf):
-    left = staged(half(spark, sf)).filter("event_type = 'click'").select("ts", "v")
+    left = staged(half(spark, sf)).select("event_type", "ts", "v")
     return joins.two_step_join(left, weather(spark, sf), Series(), ["temp"], 1800)
 
 

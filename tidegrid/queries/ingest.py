@@ -85,9 +85,9 @@ def a03(spark, sf):
 
 
 @query("a06_weather_offsets", """
-SELECT date_trunc('second', ts) - INTERVAL '1 hour' AS ts, value AS temp FROM events WHERE event_type = 'signup'""")
+SELECT date_trunc('second', ts) - INTERVAL '1 hour' AS ts, value AS temp FROM events""")
 def a06(spark, sf):
-    ev = events(spark, sf).filter("event_type = 'signup'")
+    ev = events(spark, sf)
     raw = ev.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")).alias("timestamp"), F.col("value").cast("string").alias("temp"))
     return csv.read_weather(raw, "timestamp", "Europe/Rome", ["temp"])
 

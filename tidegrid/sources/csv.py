@@ -67,14 +67,18 @@ def parse(lines: DataFrame, dialects: DataFrame, columns: Sequence[str]) -> Data
     """Fields as trimmed STRING columns in the given order, header and hint lines removed."""
     d = lines.withColumn("value", F.ltrim(F.replace("value", F.lit(BOM), F.lit("")))).join(dialects, "file")
     d = d.filter(~F.lower("value").startswith("sep=") & (F.col("value") != F.col("header")) & (F.trim("value") != ""))
-    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
-    rec = None
+    n = len(columns)
+    schema = ", ".join(f"c{i} string" for i in range(n))
+    quoted = F.contains("value", F.lit('"'))
+    rec = F
     for sep in (DEFAULT_SEPARATOR, ";", "\t", "|"):
-        got = F.from_csv("value", schema, {"sep": sep, "quote": '"'})
-        rec = F.when(F.col("sep") == sep, got) if rec is None else rec.when(F.col("sep") == sep, got)
+        # the CSV parser only where quotes need it
+        plain = F.transform(F.array(F.split("value", f"\\Q{sep}\\E")), lambda a: F.struct(*[F.get(a, F.lit(i)).alias(f"c{i}") for i in range(n)]))
+        full = F.array(F.from_csv("value", schema, {"sep": sep, "quote": '"'}))
+        rec = rec.when((F.col("sep") == sep) & ~quoted, plain).when(F.col("sep") == sep, full)
     # inline: one parse per line, whatever the number of columns read from it
-    d = d.select("file", "pos", F.inline(F.array(rec)))
-    return d.select("file", "pos", *[F.trim(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    d = d.select("file", "pos", F.inline(rec))
+    return d.select("file", "pos", *[F.nullif(F.trim(f"c{i}"), F.lit("")).alias(c) for i, c in enumerate(columns)])
 
 
 def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
