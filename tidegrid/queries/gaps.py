@@ -102,7 +102,7 @@ s AS (SELECT min(ts) AS start_time, max(ts) AS end_time, arg_min(c, ts) AS colum
 
 @query("e08_system_shutdowns", f"""
 WITH {SHUT_SQL} SELECT start_time, end_time, round((epoch_us(end_time) - epoch_us(start_time)) / 3.6e9, 6) AS duration_hours,
-  round((epoch_us(end_time) - epoch_us(start_time)) / 3.6e9 / 24, 6) AS duration_days, CAST(columns_missing AS BIGINT) AS columns_missing, round(20.0 * columns_missing, 6) AS pct_columns FROM s""")
+  round((epoch_us(end_time) - epoch_us(start_time)) / 3.6e9 / 24, 6) AS duration_days, CAST(columns_missing AS BIGINT) AS columns_missing, round(20e0 * columns_missing, 6) AS pct_columns FROM s""")
 def e08(spark, sf):
     return missing.shutdowns(staged(plant(spark, sf)), PLANT, ALL, 0.4, 1.0)
 

@@ -95,7 +95,7 @@ def g06(spark, sf):
 @query("g07_limit_resolution", f"""
 WITH {LONG}, n AS (SELECT *, CASE WHEN variable = 'v' THEN 'Set Points Temperatura Mandata' ELSE 'Umidita Esterna' END AS name,
   CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'winter' ELSE 'spring' END AS season FROM u)
-SELECT name, season, CASE WHEN variable = 'k' THEN 0.0 ELSE 15.0 END AS lo, CASE WHEN variable = 'k' THEN 100.0 WHEN season = 'winter' THEN 30.0 ELSE 21.0 END AS hi,
+SELECT name, season, CASE WHEN variable = 'k' THEN 0e0 ELSE 15e0 END AS lo, CASE WHEN variable = 'k' THEN 100e0 WHEN season = 'winter' THEN 30e0 ELSE 21e0 END AS hi,
   count(*) FILTER (CASE WHEN variable = 'k' THEN value < 0 OR value > 100 ELSE value < 15 OR value > CASE WHEN season = 'winter' THEN 30 ELSE 21 END END) AS n_outside FROM n GROUP BY name, season, lo, hi""")
 def g07(spark, sf):
     from tidegrid.plans.quantiles import melt

@@ -429,7 +429,7 @@ def _events(spark, sf):
 
 
 @query("l17_events", f"""
-WITH {EV} SELECT event_type AS series, event_id, start, "end", n_windows, peak_score, peak_ts, event_type_2 AS event_type, severity, n_windows * 0.5 AS duration_h,
+WITH {EV} SELECT event_type AS series, event_id, start, "end", n_windows, peak_score, peak_ts, event_type_2 AS event_type, severity, n_windows * 0.5e0 AS duration_h,
  round(a, 6) AS supply_coil_mean_abs, round(b, 6) AS supply_return_mean_abs, round(c, 6) AS supply_change_max FROM evs""")
 def l17(spark, sf):
     return _events(spark, sf)
@@ -437,7 +437,7 @@ def l17(spark, sf):
 
 @query("l18_episode_stats", f"""
 WITH {FULL_SQL}, f AS (SELECT *, v > 45 AS f FROM full_), i AS (SELECT *, row_number() OVER {W} - row_number() OVER (PARTITION BY event_type, f ORDER BY ts) AS s FROM f), e AS (SELECT event_type, count(*) AS n FROM i WHERE f GROUP BY event_type, s)
-SELECT event_type, count(*) AS n_episodes, round(avg(n), 6) AS mean_windows, max(n) AS max_windows, round(avg(n) * 0.5, 6) AS mean_hours, max(n) * 0.5 AS max_hours FROM e GROUP BY 1""")
+SELECT event_type, count(*) AS n_episodes, round(avg(n), 6) AS mean_windows, max(n) AS max_windows, round(avg(n) * 0.5, 6) AS mean_hours, max(n) * 0.5e0 AS max_hours FROM e GROUP BY 1""")
 def l18(spark, sf):
     return events.episode_stats(staged(full(spark, sf)).withColumn("f", F.col("v") > 45), HALF, "f", 0.5)
 
@@ -489,7 +489,7 @@ def l22(spark, sf):
 
 
 CAND = f"""{FULL_SQL}, f AS (SELECT *, v > 45 AS f, greatest(v - 40, 0) AS ex, CAST(k > 50 AS INT) AS nf FROM full_), i AS (SELECT *, row_number() OVER {W} - row_number() OVER (PARTITION BY event_type, f ORDER BY ts) AS s FROM f),
-ce AS (SELECT event_type, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_rows, max(v) AS peak_score, 40.0 AS peak_threshold, max(ex) AS max_exceedance, avg(ex) AS mean_exceedance, avg(nf) AS mean_features, count(*) * 0.5 AS duration_h FROM i WHERE f GROUP BY event_type, s),
+ce AS (SELECT event_type, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_rows, max(v) AS peak_score, 40e0 AS peak_threshold, max(ex) AS max_exceedance, avg(ex) AS mean_exceedance, avg(nf) AS mean_features, count(*) * 0.5e0 AS duration_h FROM i WHERE f GROUP BY event_type, s),
 cd AS (SELECT *, 0.45 * max_exceedance + 0.30 * mean_exceedance + 0.15 * duration_h + 0.10 * mean_features AS candidate_score FROM ce)"""
 
 
