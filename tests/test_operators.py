@@ -302,3 +302,24 @@ def test_kendall_and_optimal_lag(spark):
     t = correlate.kendall_pairs(d, ["k"], ["x", "y"]).first()
     a, b = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(pdf.y.to_numpy(), pdf.y.to_numpy()))
     np.testing.assert_allclose(t.r, (a * b).sum() / np.sqrt((a != 0).sum() * (b != 0).sum()))
+
+
+def test_constant_and_empty_columns_do_not_fail(spark):
+    """ANSI mode raises on division by zero: constant, all-NULL and single-row inputs give NULLs."""
+    pdf = grid(200, 0.0).assign(v=5.0, w=0.0)
+    d = put(spark, pdf).withColumns({"none": F.lit(None).cast("double"), "season": F.when(F.dayofmonth("ts") < 3, "a").otherwise("b")})
+    cols = ["v", "w", "none"]
+    frames = [
+        stats.describe(d, ["k"], cols), stats.anderson_darling(d, ["k"], cols), stats.kpi_board(d, ["k"], "season", cols),
+        stats.histogram(d, ["k"], cols), stats.kde(d, ["k"], ["v"]), stats.compare_groups(d, ["k"], "season", "a", "b", ["v", "w"]),
+        stats.pair_metrics(d, ["k"], {"p": ("v", "none", 1.0), "q": ("v", "w", 1.0)}), stats.density_grid(d, ["k"], "v", "w", above=10),
+        profiles.weekly_kpis(d, S, cols), profiles.season_profiles(d, S, "season", cols), profiles.monthly_curves(d, S, "none"),
+        outlier.statistical_counts(d, ["k"], ["v", "w"]), outlier.outlier_summary(outlier.flag_table(d, S, {"none": outlier.Rules(limits=(0, 1)), "v": outlier.Rules(spike_k=3.0, stuck_rows=5)}), ["k"]),
+        correlate.p_values(correlate.pearson_pairs(d, ["k"], cols)), correlate.p_values(correlate.spearman_pairs(d, ["k"], ["v", "w"])),
+        sequence.scaled_variance(d, sequence.fit_scaler(d, ["k"], ["v", "w"]), ["k"], ["v", "w"]), anomaly.quality(d, ["k"], {"v": ("v", "w")}),
+        missing.quality_checks(d, S, {"v": (0, 1), "none": (0, 1)}),
+    ]
+    for f in frames:
+        f.collect()
+    kept = sequence.scaled_variance(d, sequence.fit_scaler(d, ["k"], ["v"]), ["k"], ["v"]).first()
+    assert kept.scaled_variance is None and kept.keep is False

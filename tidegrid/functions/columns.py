@@ -70,6 +70,19 @@ def ladder_above(c: Column, steps: Sequence[tuple[float, str]], other: str) -> C
     return out.otherwise(other)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """Quotient, NULL for a zero divisor (plain division raises in ANSI mode)."""
+    return F.try_divide(a, b)
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson coefficient of complete pairs; NULL when a side is constant (``corr`` raises there in ANSI mode)."""
+    a, b = as_col(a), as_col(b)
+    both = a.isNotNull() & b.isNotNull()
+    spread = lambda c: F.stddev_pop(F.when(both, c))
+    return ratio(F.covar_pop(a, b), spread(a) * spread(b))
+
+
 def false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tidegrid.functions.columns import as_col, false_if_null
+from tidegrid.functions.columns import as_col, false_if_null, ratio
 from tidegrid.operators.features import EWM_SCRATCH, ewm_block_rows, ewm_columns, ewm_reach
 from tidegrid.operators.joins import values_one_period_back
 from tidegrid.plans.blocks import POSITION, positions, rolling, run_at_least
@@ -197,8 +197,8 @@ def feature_thresholds(train: DataFrame, keys: Sequence[str], columns: Sequence[
 def anchored_feature_thresholds(train: DataFrame, anchor: DataFrame, keys: Sequence[str], columns: Sequence[str], score: str = "score") -> DataFrame:
     """Train mean of each feature's error times the ratio of the anchor to the mean score."""
     m = train.groupBy(*keys).agg(F.avg(score).alias("__m"), *[F.avg(c).alias(c) for c in columns])
-    ratio = F.col("anchor") / (F.col("__m") + 1e-9)
-    return attach(m, anchor, list(keys)).select(*keys, *[(F.col(c) * ratio).alias(f"{c}_thr") for c in columns])
+    by = F.col("anchor") / (F.col("__m") + 1e-9)
+    return attach(m, anchor, list(keys)).select(*keys, *[(F.col(c) * by).alias(f"{c}_thr") for c in columns])
 
 
 def count_anomalous(columns: Sequence[str]) -> Column:
@@ -244,11 +244,11 @@ def label_faults(df: DataFrame, s: Series, flag: str, score: str, supply: str, r
     d = rolling(df, s, 1, 0, lambda w: {"__ds": change(supply, w), "__dr": change(ret, w)})
     d = values_one_period_back(d, s, period_s, tol_s, {"__prev": F.col(score), "__hit": F.col(flag)})
     cur, prev = F.col(score) + 1e-9, array_median(F.col("__prev")) + 1e-9
-    ratio = F.greatest(cur, prev) / F.least(cur, prev)
+    times = ratio(F.greatest(cur, prev), F.least(cur, prev))
     high = F.exists("__prev", lambda e: e >= cur / (1 + ratio_tol))
     seen = F.exists("__hit", lambda h: h)
     f = F.col(flag)
-    periodic = f & false_if_null((ratio <= 1 + ratio_tol) & (seen | high))
+    periodic = f & false_if_null((times <= 1 + ratio_tol) & (seen | high))
     broken = false_if_null(F.abs(F.col(supply) - F.col(coil)) >= DIVERGENCE) | ((F.col("__ds") >= RAMP) & (F.col("__dr") <= RESPONSE))
     d = d.withColumns({"is_periodic": periodic, "breaks_physics": broken})
     label = F.when(f & F.col("is_periodic") & ~F.col("breaks_physics"), "Operational peak").when(f, "Potential fault").otherwise("Normal")
@@ -274,7 +274,7 @@ def quality(df: DataFrame, keys: Sequence[str], pairs: dict[str, tuple[str, str]
         e = a - b
         sst = F.var_pop(F.when(e.isNotNull(), a))
         cells.append(F.struct(
-            F.lit(name).alias("feature"), F.count(e).alias("n"), (1 - F.avg(e * e) / sst).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"),
+            F.lit(name).alias("feature"), F.count(e).alias("n"), (1 - ratio(F.avg(e * e), sst)).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"),
             F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae")).alias(f"__{i}"))
     g = df.groupBy(*keys).agg(*cells)
     return g.select(*keys, F.explode(F.array(*[F.col(f"__{i}") for i in range(len(cells))])).alias("q")).select(*keys, "q.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from tidegrid.functions import roles
+from tidegrid.functions.columns import correlation
 from tidegrid.functions.special import t_two_sided
 from tidegrid.plans.blocks import rolling
 from tidegrid.plans.quantiles import melt
@@ -26,10 +27,6 @@ ALPHA = 0.05
 STRONG, COLLINEAR, WEAK = 0.7, 0.9, 0.3
 
 
-def _known(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def pearson_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``keys, variable_1, variable_2, r, n`` on pairwise-complete rows; aggregates only, nothing is sorted."""
     pairs = list(pairs or combinations(columns, 2))
@@ -38,7 +35,7 @@ def pearson_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pa
         part = pairs[i : i + PAIRS_PER_JOB]
         cell = [
             F.struct(
-                F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), _known(F.corr(a, b)).alias("r"),
+                F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), correlation(a, b).alias("r"),
                 F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
             ).alias(f"__{j}") for j, (a, b) in enumerate(part)
         ]

@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.columns import ratio
 from tidegrid.operators.anomaly import fit_reconstruction, window_score
 from tidegrid.operators.sequence import fit_scaler, scale, sliding_windows
 from tidegrid.plans.blocks import positions
@@ -72,7 +73,7 @@ def evaluate(predictions: DataFrame, split: str = "split") -> DataFrame:
     """RMSE, MAE and R2 per model and split."""
     e = F.col("y") - F.col("prediction")
     return predictions.groupBy("model", split).agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.avg(e * e) / F.var_pop("y")).alias("r2"))
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - ratio(F.avg(e * e), F.var_pop("y"))).alias("r2"))
 
 
 def compare(metrics: DataFrame, split: str = "split") -> DataFrame:

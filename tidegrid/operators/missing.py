@@ -12,7 +12,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.columns import ladder, ladder_above
+from tidegrid.functions.columns import ladder, ladder_above, ratio
 from tidegrid.plans.blocks import episodes, rolling, run_at_least, run_starts
 from tidegrid.plans.quantiles import VALUE, VARIABLE, melt
 from tidegrid.plans.series import MICROS, Series, attach, micros
@@ -240,9 +240,9 @@ def removal_summary(eps: DataFrame, kept: DataFrame, s: Series) -> DataFrame:
         F.max("duration_hours").alias("max_gap_hours"), F.avg("duration_hours").alias("mean_gap_hours"))
     k = kept.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("kept"))
     d = attach(e, k, s.keys)
-    ratio = F.when(F.col("mean_gap_hours") > 0, F.col("max_gap_hours") / F.col("mean_gap_hours")).otherwise(1.0)
+    concentration = F.coalesce(ratio(F.col("max_gap_hours"), F.col("mean_gap_hours")), F.lit(1.0))
     return d.withColumns({
-        "gap_rate_pct": 100.0 * F.col("removed") / (F.col("removed") + F.col("kept")), "clustering_ratio": ratio})
+        "gap_rate_pct": 100.0 * F.col("removed") / (F.col("removed") + F.col("kept")), "clustering_ratio": concentration})
 
 
 def all_null_episodes(df: DataFrame, s: Series, columns: Sequence[str]) -> DataFrame:
@@ -313,7 +313,7 @@ def quality_checks(df: DataFrame, s: Series, limits: Mapping[str, tuple[float, f
     bounds = F.create_map(*[x for c, (a, b) in limits.items() for x in (F.lit(c), F.array(F.lit(float(a)), F.lit(float(b))))])
     lim = bounds[F.col(VARIABLE)]
     miss, cover = 100.0 * (F.col("n") - F.col("valid")) / F.col("n"), 100.0 * F.col("valid") / F.col("n")
-    far_pct = 100.0 * F.col("far") / F.col("valid")
+    far_pct = ratio(100.0 * F.col("far"), F.col("valid"))
     col_check = lambda name, val, ok: F.struct(F.lit(name).alias("check"), F.col(VARIABLE), val.cast("double").alias("measured"), F.coalesce(ok, F.lit(True)).alias("passed"))
     col_checks = st.select(*s.keys, F.explode(F.array(
         col_check("coverage_pct", cover, cover >= min_coverage),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidegrid.functions.columns import as_col, false_if_null
+from tidegrid.functions.columns import as_col, false_if_null, ratio
 from tidegrid.operators.missing import long_series
 from tidegrid.plans.blocks import rolling, run_at_least
 from tidegrid.plans.quantiles import VALUE, VARIABLE, exact_quantiles, long_quantiles, melt
@@ -165,9 +165,9 @@ def value_kinds(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
     """Discrete, continuous or mixed by the share of distinct values (counted in two steps)."""
     d = melt(df, keys, columns).filter(F.col(VALUE).isNotNull()).groupBy(*keys, VARIABLE, VALUE).agg(F.count(F.lit(1)).alias("c"))
     d = d.groupBy(*keys, VARIABLE).agg(F.count(F.lit(1)).alias("unique_count"), F.sum("c").alias("n"))
-    ratio = F.col("unique_count") / F.col("n")
-    kind = F.when((ratio < DISCRETE_RATIO) | (F.col("unique_count") <= DISCRETE_VALUES), "discrete").when(ratio > CONTINUOUS_RATIO, "continuous")
-    return d.withColumns({"unique_ratio": ratio, "kind": kind.otherwise("mixed")})
+    part = F.col("unique_count") / F.col("n")
+    kind = F.when((part < DISCRETE_RATIO) | (F.col("unique_count") <= DISCRETE_VALUES), "discrete").when(part > CONTINUOUS_RATIO, "continuous")
+    return d.withColumns({"unique_ratio": part, "kind": kind.otherwise("mixed")})
 
 
 def flag_table(df: DataFrame, s: Series, rules: Mapping[str, Rules]) -> DataFrame:
@@ -238,7 +238,7 @@ def _by_variable(values: Mapping[str, object], default=None) -> Column:
 def outlier_summary(flags: DataFrame, keys: Sequence[str], drop_above: float = DROP_ABOVE_PCT) -> DataFrame:
     """Counts and shares of known values per column, DROP when too many hard outliers."""
     n = F.count(VALUE)
-    pct = lambda c: 100.0 * F.count_if(c) / n
+    pct = lambda c: ratio(100.0 * F.count_if(c), n)
     d = flags.groupBy(*keys, VARIABLE).agg(
         n.alias("total_points"), F.count_if("outlier").alias("outliers"), pct("outlier").alias("outlier_pct"),
         F.count_if("hard").alias("hard_outliers"), pct("hard").alias("hard_pct"), F.count_if("soft").alias("soft_flags"),
@@ -273,7 +273,7 @@ def statistical_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str
     v = F.col(VALUE)
     d = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(beyond(v, F.col("lower"), F.col("upper"))).alias("iqr_outliers"),
-        F.count_if(F.abs((v - F.col("mean")) / F.col("sd")) > z).alias("z_outliers"),
+        F.count_if(F.abs(v - F.col("mean")) > z * F.when(F.col("sd") > 0, F.col("sd"))).alias("z_outliers"),
     )
     return d.withColumns({"iqr_pct": 100.0 * F.col("iqr_outliers") / F.col("n"), "z_pct": 100.0 * F.col("z_outliers") / F.col("n")})
 

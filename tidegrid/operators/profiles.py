@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.columns import false_if_null
+from tidegrid.functions.columns import false_if_null, ratio
 from tidegrid.plans.blocks import rolling, running
 from tidegrid.plans.quantiles import VALUE, VARIABLE, long_quantiles, melt
 from tidegrid.plans.series import Series
@@ -66,7 +66,7 @@ def monthly_curves(df: DataFrame, s: Series, column: str) -> DataFrame:
     t = F.col(s.ts)
     d = df.select(*s.keys, F.month(t).alias("month"), F.year(t).alias("year"), F.hour(t).alias("hour"), F.col(column).alias(VALUE))
     per_year = d.groupBy(*s.keys, "month", "hour", "year").agg(F.sum(VALUE).alias("sum"), F.count(VALUE).alias("n"), F.count(F.lit(1)).alias("rows"))
-    curve = per_year.groupBy(*s.keys, "month", "hour").agg((F.sum("sum") / F.sum("n")).alias("mean"))
+    curve = per_year.groupBy(*s.keys, "month", "hour").agg(ratio(F.sum("sum"), F.sum("n")).alias("mean"))
     rows = per_year.groupBy(*s.keys, "month", "year").agg(F.sum("rows").alias("rows"))
     years = rows.groupBy(*s.keys, "month").agg(F.max_by("year", F.struct("rows", -F.col("year"))).alias("year"))
     season = years.groupBy(*s.keys).agg(F.when(F.max(F.col("month").isin(*CORE_WINTER)), "winter").otherwise("summer").alias("season"))
@@ -81,7 +81,7 @@ def weekly_kpis(df: DataFrame, s: Series, columns: Sequence[str]) -> DataFrame:
     by = [*s.keys, VARIABLE]
     cells = _clocked(df, s, columns).groupBy(*by, "weekday", "hour").agg(F.sum(VALUE).alias("sum"), F.count(VALUE).alias("n"))
     end = F.col("weekday") >= 5
-    mean = lambda p: F.sum(F.when(p, F.col("sum"))) / F.sum(F.when(p, F.col("n")))
+    mean = lambda p: ratio(F.sum(F.when(p, F.col("sum"))), F.sum(F.when(p, F.col("n"))))
     hours = cells.groupBy(*by, "hour").agg(mean(~end).alias("wd"), mean(end).alias("we"))
     k = hours.groupBy(*by).agg(
         F.max_by("hour", F.when(F.col("wd").isNotNull(), F.struct("wd", -F.col("hour")))).alias("peak_hour"),
@@ -104,7 +104,7 @@ def season_profiles(df: DataFrame, s: Series, season: str, columns: Sequence[str
     d = melt(df, [*s.keys, season, s.ts], columns).withColumns({"weekday": F.weekday(F.col(s.ts)), "hour": F.hour(s.ts)})
     by = [*s.keys, season, VARIABLE, "hour"]
     cells = d.groupBy(*by, "weekday").agg(F.sum(VALUE).alias("sum"), F.count(VALUE).alias("n"))
-    mean = F.sum("sum") / F.sum("n")
+    mean = ratio(F.sum("sum"), F.sum("n"))
     day = cells.groupBy(*by, "weekday").agg(mean.alias("mean"))
     return day.unionByName(cells.groupBy(*by).agg(mean.alias("mean")).withColumn("weekday", F.lit(None).cast("int")))
 

@@ -8,7 +8,7 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.columns import as_col, false_if_null, ladder, ladder_above
+from tidegrid.functions.columns import as_col, correlation, false_if_null, ladder, ladder_above, ratio
 from tidegrid.functions.special import kolmogorov_sf, normal_cdf, t_two_sided
 from tidegrid.plans.quantiles import VALUE, VARIABLE, long_quantiles, melt
 from tidegrid.plans.ranks import value_counts, with_less
@@ -55,7 +55,7 @@ def anderson_darling(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     long = melt(df, keys, columns)
     m = long.groupBy(*by).agg(F.avg(VALUE).alias("mean"), F.stddev_samp(VALUE).alias("sd"))
     d = with_less(value_counts(long, by, VALUE), by, VALUE).join(m, by)
-    z, n, less, total = (F.col(VALUE) - F.col("mean")) / F.col("sd"), F.col("n"), F.col("less"), F.col("total")
+    z, n, less, total = ratio(F.col(VALUE) - F.col("mean"), F.col("sd")), F.col("n"), F.col("less"), F.col("total")
     upto = less + n
     # sums of (2i - 1) and of (2 (N - i) + 1) over the ranks a value holds
     low = upto * upto - less * less
@@ -101,8 +101,8 @@ def kde(df: DataFrame, keys: Sequence[str], columns: Sequence[str], points: int
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     d = d.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     h = F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))
-    u = (F.col("lo") + F.col("point") * step - F.col(VALUE)) / h
-    kernel = F.col("n") * F.exp(-u * u / 2) / (F.col("total") * h * sqrt(2 * pi))
+    u = ratio(F.col("lo") + F.col("point") * step - F.col(VALUE), h)
+    kernel = ratio(F.col("n") * F.exp(-u * u / 2), F.col("total") * h * sqrt(2 * pi))
     d = d.groupBy(*by, "point", "lo", "hi", "total").agg(F.sum(kernel).alias("density"))
     scaled = F.col("density") * F.col("total") * (F.col("hi") - F.col("lo")) / bins
     return d.select(*by, "point", (F.col("lo") + F.col("point") * step).alias("x"), "density", scaled.alias("scaled"))
@@ -116,9 +116,9 @@ def pair_metrics(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[C
         e = y - x
         n = F.count(e)
         cells.append(F.struct(
-            F.lit(name).alias("pair"), n.alias("n"), F.corr(x, y).alias("r"), F.avg(e).alias("mean_diff"), F.stddev_samp(e).alias("std_diff"),
+            F.lit(name).alias("pair"), n.alias("n"), correlation(x, y).alias("r"), F.avg(e).alias("mean_diff"), F.stddev_samp(e).alias("std_diff"),
             F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.max(F.abs(e)).alias("max_abs"),
-            (100.0 * F.count_if(F.abs(e) <= limit) / n).alias("within_pct"),
+            ratio(100.0 * F.count_if(F.abs(e) <= limit), n).alias("within_pct"),
         ).alias(f"__{len(cells)}"))
     g = df.groupBy(*keys).agg(*cells)
     return g.select(*keys, F.explode(F.array(*[F.col(f"__{i}") for i in range(len(cells))])).alias("p")).select(*keys, "p.*")
@@ -129,7 +129,7 @@ def density_grid(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int =
     d = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
     ext = d.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n_pairs"))
     d = attach(d, ext.filter(F.col("n_pairs") > above), list(keys)).filter("n_pairs IS NOT NULL")
-    cell = lambda v, a, b: F.least(F.floor((F.col(v) - F.col(a)) / ((F.col(b) - F.col(a)) / bins)), F.lit(bins - 1))
+    cell = lambda v, a, b: F.coalesce(F.least(F.floor(ratio(F.col(v) - F.col(a), (F.col(b) - F.col(a)) / bins)), F.lit(bins - 1)), F.lit(0))
     return d.groupBy(*keys, cell("x", "x0", "x1").alias("x_bin"), cell("y", "y0", "y1").alias("y_bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -187,13 +187,13 @@ def compare_groups(df: DataFrame, keys: Sequence[str], group: str, a: str, b: st
     na, nb = F.col("n_a"), F.col("n_b")
     sa, sb = F.col("v_a") / na, F.col("v_b") / nb
     diff = F.col("m_a") - F.col("m_b")
-    dof = (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1))
+    dof = ratio((sa + sb) * (sa + sb), sa * sa / (na - 1) + sb * sb / (nb - 1))
     u = F.col("rank_a") - na * (na + 1) / 2
     total = na + nb
     mu, sd = na * nb / 2, F.sqrt(na * nb / 12.0 * ((total + 1) - F.col("ties") / (total * (total - 1))))
-    z = (F.greatest(F.col("u_stat"), na * nb - F.col("u_stat")) - mu - 0.5) / sd
+    z = ratio(F.greatest(F.col("u_stat"), na * nb - F.col("u_stat")) - mu - 0.5, sd)
     pooled = F.sqrt((F.col("v_a") + F.col("v_b")) / 2)
-    d = d.withColumns({"mean_diff": diff, "t_stat": diff / F.sqrt(sa + sb), "dof": dof, "u_stat": u})
+    d = d.withColumns({"mean_diff": diff, "t_stat": ratio(diff, F.sqrt(sa + sb)), "dof": dof, "u_stat": u})
     d = d.withColumns({
         "t_p": t_two_sided(F.col("t_stat"), F.col("dof")), "u_p": F.least(F.lit(1.0), 2 * normal_cdf(-z)),
         "ks_p": kolmogorov_sf(F.sqrt(na * nb / total) * F.col("ks_stat")),
@@ -209,7 +209,7 @@ def compare_groups(df: DataFrame, keys: Sequence[str], group: str, a: str, b: st
 def kpi_board(df: DataFrame, keys: Sequence[str], season: str, columns: Sequence[str], running_above: float = 0.1, rows_per_hour: float = 2.0) -> DataFrame:
     """Per season and column: mean, variability, range and hours in operation."""
     d = melt(df, [*keys, season], columns).groupBy(*keys, season, VARIABLE).agg(
-        F.avg(VALUE).alias("mean"), (100.0 * F.stddev_samp(VALUE) / F.avg(VALUE)).alias("cv_pct"),
+        F.avg(VALUE).alias("mean"), ratio(100.0 * F.stddev_samp(VALUE), F.avg(VALUE)).alias("cv_pct"),
         (F.max(VALUE) - F.min(VALUE)).alias("range"), (F.count_if(F.col(VALUE) > running_above) / rows_per_hour).alias("operating_hours"))
     return d
 
