@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, quality, sharding
+from tidegrid.llm import chat, decontamination, packing, quality, sharding, warc
 from tidegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,46 @@ def _shards_sql(n: int) -> str:
     return f"list_position({least}, list_max({least})) - 1"
 
 
+#: Date of the response records that are made of ``pages``, which has none.
+PAGE_DATE = "2024-01-01T00:00:00Z"
+
+
+def _plain_sql(x: str) -> str:
+    q = lambda s: s.replace("'", "''")
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    for name in warc.DROPPED:
+        x = f"regexp_replace({x}, '(?is)<{name}\\b[^>]*>.*?</{name}\\s*>', '', 'g')"
+    x = f"regexp_replace({x}, '(?i)</?(?:{warc.BLOCKS})\\b[^>]*>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[!/?a-zA-Z][^>]*>', '', 'g')"
+    for a, b in warc.ENTITIES:
+        x = f"replace({x}, '{q(a)}', '{q(b)}')"
+    x = f"regexp_replace({x}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({x}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _id_sql(*parts: str) -> str:
+    h = f"sha256({' || chr(10) || '.join(parts)})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+@query("op2_warc_derivatives", f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html, chr(13) || chr(10) AS nl FROM pages),
+r AS (SELECT *, {_id_sql("'response'", "target_uri", "html")} AS refers_to, 'sha256:' || sha256(html) AS source_payload_digest,
+             'Content-Type: text/html; charset=utf-8' AS h1, 'Content-Length: ' || octet_length(encode(html)) AS h2 FROM p),
+b AS (SELECT *, 'sha256:' || sha256('HTTP/1.1 200 OK' || nl || h1 || nl || h2 || nl || nl || html) AS source_block_digest,
+             {_id_sql("'metadata'", "refers_to")} AS meta_id, {_id_sql("'conversion'", "refers_to")} AS made_id,
+             'status: 200' || nl || 'source-header: ' || h1 || nl || 'source-header: ' || h2 || nl || 'title: '
+             || trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g')) || nl
+             || 'source-payload-digest: ' || source_payload_digest || nl AS fields FROM r),
+u AS (SELECT 'metadata' AS type, meta_id AS record_id, made_id AS concurrent_to, 'application/warc-fields' AS content_type, fields AS content, * EXCLUDE (fields, html) FROM b
+      UNION ALL SELECT 'conversion', made_id, meta_id, 'text/plain; charset=utf-8', {_plain_sql("html")}, * EXCLUDE (fields, html) FROM b)
+SELECT page_id, type, record_id, refers_to, concurrent_to, target_uri, '{PAGE_DATE}' AS date, content_type, CAST(octet_length(encode(content)) AS BIGINT) AS content_length,
+       'sha256:' || sha256(content) AS block_digest, source_block_digest, source_payload_digest, content FROM u""")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    return warc.derivatives(warc.responses(table(spark, sf, "pages"), PAGE_DATE, ("page_id",)), ("page_id",))
+
+
 @query("op3_rendezvous_shards", f"""
 WITH {CRC_SQL.strip()},
 d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents, _t),
@@ -61,6 +101,18 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op4_pigeonhole_decontamination")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it holds."""
+    return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_concatenate_and_cut")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf, "documents")).drop("ids")
+
+
 #: Control strings in SQL, as in ``chat``.
 _ESC = r"regexp_replace(regexp_replace(%s, '\\', '\\\\', 'g'), '(<|\[)(/?(?:s>|INST\]))', '\1\\\2', 'g')"
 
