@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, decontamination, packing, quality, sharding, warc
+from tidegrid.llm import chat, decontamination, packing, pii, quality, sharding, warc
 from tidegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +137,12 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.examples(rows.unionByName(own)))
 
 
+@query("op9_weak_supervision_pii")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.detected(table(spark, sf, "documents"))
+
+
 @query("op10_line_frequency", f"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, md5(coalesce(source, '') || chr(10) || coalesce(text, '')) AS digest FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
