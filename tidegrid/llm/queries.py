@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, decontamination, packing, pii, quality, sharding, warc
+from tidegrid.llm import chat, decontamination, packing, pii, quality, quality_model, sharding, warc
 from tidegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +137,12 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.examples(rows.unionByName(own)))
 
 
+@query("op8_random_indexing_quality")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """A quality score of every document, learned from labels outside the held-out fifth."""
+    return quality_model.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op9_weak_supervision_pii")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of personal data in every document."""
