@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, decontamination, packing, pii, quality, quality_model, sharding, warc
+from tidegrid.llm import chat, decontamination, minhash, packing, pii, quality, quality_model, sharding, warc
 from tidegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def _shards_sql(n: int) -> str:
     return f"list_position({least}, list_max({least})) - 1"
 
 
+@query("op1_dart_minhash")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 #: Date of the response records that are made of ``pages``, which has none.
 PAGE_DATE = "2024-01-01T00:00:00Z"
 
