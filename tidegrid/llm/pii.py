@@ -92,7 +92,7 @@ def candidates(text: Column | str) -> Column:
             pattern = F.when(ok, 1).otherwise(-1) if kind in BASE else F.when(strict[kind], 1).otherwise(0)
             cue = F.when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{CUES[kind]})[\p{{L}}]{{0,2}}[^\p{{L}}0-9]{{1,6}}$"), 1).when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{AGAINST})[^\p{{L}}]{{0,4}}$"), -1).otherwise(0)
             context = F.when(edges.rlike(r"""^[\s"'(<\[=:,;]~(?:[\s"')>\],;.!?]|$)"""), 1).otherwise(-1)
-            shape = F.when(txt.rlike(r"^[^0-9]*([0-9])(?:[^0-9]*\1)*[^0-9]*$") & (digits > 3), -1).when(10 * digits >= 2 * F.length(txt), 1).otherwise(0 if kind == "email" else -1)
+            shape = F.when(txt.rlike(r"^[^0-9]*+([0-9])(?:[^0-9]*+\1)*+[^0-9]*+$") & (digits > 3), -1).when(10 * digits >= 2 * F.length(txt), 1).otherwise(0 if kind == "email" else -1)
             return F.struct(
                 F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(txt)).alias("end"), ok.alias("base"),
                 pattern.alias("pattern"), cue.alias("gazetteer"), context.alias("context"), shape.alias("shape"),
