@@ -129,13 +129,19 @@ def test_classes_equal_brute_force(spark):
 
 def test_buckets_with_several_components_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    texts = [f"{c} " * 20 + " ".join(f"{c}{k}" for k in range(40)) for c in "xyz"]
     sketch = [bytes(range(216)), bytes(range(1, 217)), bytes(range(2, 218))]
-    rows = [(k, sketch[k % 3]) for k in range(30)]
-    members = spark.createDataFrame([(7, k) for k, _ in rows], "bucket long, uid long")
+    sketches = spark.createDataFrame([(k, sketch[k % 3]) for k in range(30)], "uid long, sketch binary")
+    own = spark.createDataFrame([(k, texts[k % 3]) for k in range(30)], "uid long, text string")
+    members = spark.createDataFrame([(7, k) for k in range(30)], "bucket long, uid long")
     labels = spark.createDataFrame([(k, k % 3) for k in range(6)], "uid long, label long")
-    got = {(r.a, r.b) for r in minhash.open_pairs(members, labels, spark.createDataFrame(rows, "uid long, sketch binary")).collect()}
-    label = lambda k: k % 3 if k < 6 else k
-    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3 and label(a) != label(b)}
+    likely = {(r.a, r.b) for r in minhash.likely_pairs(members, labels, sketches).collect()}
+    assert likely and len(likely) < 30 and all(a % 3 == b % 3 and a < b for a, b in likely)
+    links = minhash.remaining_links(members, labels, sketches, own, 0.8).unionByName(spark.createDataFrame([(0, 3), (1, 4), (2, 5)], "a long, b long"))
+    assert {r.uid: r.label for r in minhash.components(links).collect()} == {k: k % 3 for k in range(30)}
+    # what agrees in its signature alone is no link
+    other = spark.createDataFrame([(k, f"text {k} " + prose(30)) for k in range(30)], "uid long, text string")
+    assert minhash.remaining_links(members, labels, sketches, other, 0.8).count() == 0
 
 
 def test_components_of_long_paths(spark):

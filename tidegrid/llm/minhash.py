@@ -195,34 +195,101 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("uid", "label")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs inside a bucket that are in different components and whose signatures agree well: (a, b).
+def open_members(members: DataFrame, labels: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
+    """Members of buckets of three and more rows that hold several components, in blocks of about BLOCK rows.
 
-    Only buckets of three and more rows with several components are left. They are cut into blocks of about BLOCK rows, and
-    a task compares one pair of blocks, so that a bucket of any size is compared in bounded memory.
+    Columns: bucket, i, j, uid, label, own, sketch; a task compares the rows of block i with those of block j. With
+    ``whole`` all pairs of blocks are made, otherwise only each block with itself.
     """
     m = members.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("label", "uid").alias("label"))
     left = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 2 AND lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    m = m.join(left, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("bucket", "uid", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sketches, "uid")
-
-    def compare(t: pa.Table) -> pa.Table:
-        uid, label, own = (t.column(c).to_numpy() for c in ("uid", "label", "own"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(uid), -1)
-        a, b = [], []
-        for x in np.flatnonzero(own == i):
-            near = (uid > uid[x] if i == j else own == j) & (label != label[x])
-            near = np.flatnonzero(near)
-            near = near[(s[near] == s[x]).mean(axis=1) >= AGREEMENT]
-            a.append(np.minimum(uid[near], uid[x]))
-            b.append(np.maximum(uid[near], uid[x]))
-        none = np.empty(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return m.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    m = m.join(left.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+    m = m.withColumn("own", F.pmod(F.xxhash64("uid", "bucket"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if whole else F.col("own"))
+    return m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "label", "own").join(sketches, "uid")
+
+
+def _agreeing(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of block i, the rows of block j in other components whose signatures agree with it, and how much."""
+    uid, label, own = (t.column(c).to_numpy() for c in ("uid", "label", "own"))
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(uid), -1)
+    for x in np.flatnonzero(own == i):
+        near = np.flatnonzero((uid > uid[x] if i == j else own == j) & (label != label[x]))
+        share = (s[near] == s[x]).mean(axis=1)
+        hit = share >= AGREEMENT
+        if hit.any():
+            yield int(x), near[hit], share[hit]
+
+
+def _joiner():
+    """Union-find over labels: says whether two labels were apart, and joins them."""
+    up: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while k in up:
+            k = up[k]
+        return k
+
+    def join(a: int, b: int, only_look: bool = False) -> bool:
+        a, b = find(a), find(b)
+        if a != b and not only_look:
+            up[max(a, b)] = min(a, b)
+        return a != b
+
+    return join
+
+
+def likely_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) that would join the components of a block, those of the best agreeing signatures: fewer than its rows."""
+
+    def forest(t: pa.Table) -> pa.Table:
+        uid, label, join = t.column("uid").to_numpy(), t.column("label").to_pylist(), _joiner()
+        pairs = sorted((-share, x, y) for x, near, shares in _agreeing(t) for y, share in zip(near.tolist(), shares.tolist(), strict=True))
+        kept = [(uid[x], uid[y]) for _, x, y in pairs if join(label[x], label[y])]
+        return pa.table({"a": pa.array([min(p) for p in kept], type=pa.int64()), "b": pa.array([max(p) for p in kept], type=pa.int64())})
+
+    m = open_members(members, labels, sketches, whole=False)
+    return m.groupBy("bucket", "i", "j").applyInArrow(forest, "a long, b long").distinct()
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components, by the whole comparison of the buckets that still hold several.
+
+    Rows whose signature agrees with none of another component are left out first; those that remain bring their shingles,
+    and a task gives only links that join components, so a block gives fewer links than it has rows.
+    """
+
+    def partners(t: pa.Table) -> pa.Table:
+        own = sorted({k for x, near, _ in _agreeing(t) for k in (x, *near.tolist())})
+        return t.take(pa.array(own, type=pa.int64()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            for a, b in pieces(raw, 1 << 20):
+                doc, h, _ = shingles(raw[a:b])
+                cut = np.searchsorted(doc, np.arange(b - a + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], type=pa.binary())], names=["uid", "shingles"])
+
+    def exact(t: pa.Table) -> pa.Table:
+        uid, label, join = t.column("uid").to_numpy(), t.column("label").to_pylist(), _joiner()
+        own = [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()]
+        kept = []
+        for x, near, _ in _agreeing(t):
+            for y in near.tolist():
+                if join(label[x], label[y], only_look=True):
+                    common = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                    if common >= least * (len(own[x]) + len(own[y]) - common):
+                        join(label[x], label[y])
+                        kept.append((uid[x], uid[y]))
+        return pa.table({"a": pa.array([min(p) for p in kept], type=pa.int64()), "b": pa.array([max(p) for p in kept], type=pa.int64())})
+
+    schema = "bucket long, i int, j int, uid long, label long, own int, sketch binary"
+    m = open_members(members, labels, sketches, whole=True).select("bucket", "i", "j", "uid", "label", "own", "sketch")
+    m = durable(m.groupBy("bucket", "i", "j").applyInArrow(partners, schema))
+    known = durable(texts.join(m.select("uid").distinct(), "uid", "left_semi").mapInArrow(sets, "uid long, shingles binary"))
+    return m.join(known, "uid").groupBy("bucket", "i", "j").applyInArrow(exact, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False) -> DataFrame:
@@ -230,7 +297,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False) -
 
     Equal texts are one class from the start and are represented once. Representatives that share a band are verified
     against the least one of the bucket, which gives nearly all links; buckets that still hold several components are
-    compared in blocks for the rest. Missing texts are empty ones, texts without words are near nothing but each other.
+    compared in blocks, first by their likeliest pairs and then in whole. Missing texts are empty ones, texts without words are near nothing but each other.
     """
     rows = signed(docs, counted)
     first = durable(rows.groupBy("digest").agg(F.min("uid").alias("uid")))
@@ -239,14 +306,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False) -
     shared = banded.groupBy("bucket").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = durable(banded.join(shared.select("bucket", "hub"), "bucket"))
     known = reps.select("uid", "digest").join(members.select("uid").distinct(), "uid", "left_semi")
-    text = docs.select(digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text")).join(durable(known), "digest").groupBy("uid").agg(F.first("text").alias("text"))
+    # the hint keeps one plan for all sizes
+    text = docs.select(digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text")).join(durable(known).hint("merge"), "digest").groupBy("uid").agg(F.first("text").alias("text"))
     texts = durable(text)
     links = durable(verified(members.filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), texts, least))
     labels = components(links)
-    rest = durable(open_pairs(members, labels, reps.select("uid", "sketch")))
-    if rest.limit(1).count():
-        links = links.unionByName(verified(rest, texts, least))
-        labels = components(durable(links))
+    sketches = reps.select("uid", "sketch")
+    for more in (
+        lambda: verified(likely_pairs(members, labels, sketches), texts, least),
+        lambda: remaining_links(members, labels, sketches, texts, least),
+    ):
+        found = durable(more().select("a", "b"))
+        if found.limit(1).count():
+            links = durable(links.select("a", "b").unionByName(found))
+            labels = components(links)
     label = first.join(labels, "uid", "left").select("digest", F.coalesce("label", "uid").alias("label"))
     return durable(rows.select("uid", "doc_id", "digest").join(label, "digest"))
 
