@@ -14,7 +14,7 @@ import sys
 import time
 
 from tidegrid.queries import load
-from tidegrid.session import get_session
+from tidegrid.session import get_session, remove_stages
 
 HEADLINE = (
     "flagship_gap_safe_fill", "a02_csv_load", "b09_first_per_timestamp", "c02_resample_mean", "c03_role_resample", "d01_weather_exact_join",
@@ -27,7 +27,7 @@ HEADLINE = (
 def main(names: list[str]) -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = get_session(f"local[{cpus}]", int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
     queries = load().QUERIES
@@ -35,7 +35,9 @@ def main(names: list[str]) -> None:
     def once(name: str) -> float:
         t = time.perf_counter()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - t
+        took = time.perf_counter() - t
+        remove_stages(spark)
+        return took
 
     names = names or list(HEADLINE)
     once(names[0])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import roles, special
+from tidegrid.operators import grid as grid_ops
 from tidegrid.operators import anomaly, clean, correlate, events, features, impute, joins, missing, outlier, profiles, sequence, stats
 from tidegrid.plans.series import Series
 from tidegrid.session import durable
@@ -251,7 +252,6 @@ def test_join_falls_back_only_below_the_match_rate(spark):
 def test_names_and_schedules():
     assert roles.rename_map(["temp", "rh", "Temp. Mandata"], roles.WEATHER_NAMES, roles.DISPLAY_NAMES) == {"temp": "Temperatura Esterna", "rh": "Umidita Esterna", "Temp. Mandata": "Temperatura Mandata"}
     assert roles.fill_role("Set Points Temperatura Mandata") == "step" and roles.fill_role("Temperatura Ripresa") == "sensor"
-    assert roles.is_tautology("x_lag_1", "x") is False and roles.is_tautology("thermal_load", "cooling_load")
     assert features.parse_days("mon-fri") == [0, 1, 2, 3, 4] and features.parse_days("sat-mon") == [5, 6, 0] and features.parse_days("mon, wed") == [0, 2]
     assert features.season_setpoint("winter", ["Set Points Temperatura Mandata", "Set Points Temperatura Compensata"]) == "Set Points Temperatura Compensata"
     assert profiles.centred(2) == (1, 0) and profiles.centred(3) == (1, 1) and profiles.centred(12) == (6, 5)
@@ -269,11 +269,11 @@ def test_sinks_round_trip(spark, tmp_path):
     assert durable(d).count() == 2
 
 
-def test_tautology_column_agrees_with_names(spark):
-    names = ["thermal_load", "cooling_load", "delta_t", "delta_t_signed", "x_lag_1", "x_lag_2", "x", "x_rolling_3h", "x_rate_of_change", "y"]
-    rows = [(a, b) for a in names for b in names if a < b]
-    got = spark.createDataFrame(rows, "variable_1 string, variable_2 string").withColumn("t", correlate.tautology()).collect()
-    assert all(r.t == roles.is_tautology(r.variable_1, r.variable_2) for r in got)
+def test_features_of_one_quantity_are_tautologies(spark):
+    same = [("thermal_load", "cooling_load"), ("delta_t", "delta_t_signed"), ("x_lag_1", "x_lag_2"), ("x", "x_lag_1"), ("x", "X_rolling_3h"), ("x_rate_of_change", "x"), ("x_lag_1", "x_rolling_24h"), ("thermal_load_lag_2", "cooling_load")]
+    other = [("x", "y"), ("x_lag_1", "y_lag_1"), ("x", "x_squared"), ("x", "x"), ("flag_1", "flag_2")]
+    got = spark.createDataFrame(same + other, "variable_1 string, variable_2 string").withColumn("t", correlate.tautology()).collect()
+    assert [r.t for r in got] == [True] * len(same) + [False] * len(other)
 
 
 def test_raw_names_are_cleaned_and_renamed(spark):
@@ -304,6 +304,113 @@ def test_kendall_and_optimal_lag(spark):
     np.testing.assert_allclose(t.r, (a * b).sum() / np.sqrt((a != 0).sum() * (b != 0).sum()))
 
 
+def _discordant(y):
+    """Inversions by merge sort."""
+    if len(y) < 2:
+        return y, 0
+    a, m = _discordant(y[: len(y) // 2])
+    b, n = _discordant(y[len(y) // 2 :])
+    return np.sort(np.concatenate([a, b]), kind="stable"), m + n + int((len(a) - np.searchsorted(a, b, side="right")).sum())
+
+
+@pytest.mark.parametrize(("n", "bucket"), [(6000, 50), (100_000, 20_000)])
+def test_kendall_of_many_rows_equals_a_merge_sort_count(spark, monkeypatch, n, bucket):
+    from tidegrid.plans import ranks
+
+    monkeypatch.setattr(ranks.with_less, "__defaults__", (bucket, ()))
+    r = np.random.default_rng(1)
+    x = r.integers(0, 3000, n).astype(float)
+    y = np.round(x / 500 + r.normal(size=n), 2)
+    d = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    got = correlate.kendall_pairs(d, [], ["x", "y"]).first()
+    pairs = lambda v: sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True, axis=0)[1].astype(float))
+    every, tx, ty, txy = n * (n - 1) / 2, pairs(x), pairs(y), pairs(np.column_stack([x, y]))
+    worse = _discordant(y[np.lexsort((y, x))])[1]
+    score = every - tx - ty + txy - 2 * worse
+    assert got.n == n
+    np.testing.assert_allclose(got.r, score / np.sqrt((every - tx) * (every - ty)), rtol=1e-12)
+
+
+def test_density_of_few_pairs(spark):
+    d = spark.range(4000).selectExpr("double(id % 100) x", "double(id) y")
+    assert stats.density_grid(d, [], "x", "y").agg(F.sum("count")).first()[0] == 4000
+
+
+def test_csv_by_header_name_position_and_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("b, a \n1,x\nb, a \nsep=4,y\n\n3,\"two\nlines, \"\"q\"\"\"\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_bytes("sep=#\na#b\nñ#5\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_text("a;c;d;e\nü;1;2;3\n", encoding="utf-8")
+    got = csv.read_export(spark, [str(tmp_path / f"{n}.csv") for n in "abc"], ["a", "b"]).collect()
+    assert sorted(((r.a, r.b) for r in got), key=str) == sorted([("x", "1"), ("a", "b"), ("y", "sep=4"), ('two\nlines, "q"', "3"), ("ñ", "5"), ("ü", None)], key=str)
+
+
+def test_holes_at_block_borders_are_found(spark, monkeypatch):
+    """Rows of a table with holes and repeated stamps are reached by position, whatever the block length."""
+    from tidegrid.plans import series
+
+    pdf = grid(300, 0.1)
+    pdf = pdf.drop(index=[*range(20, 27), *range(100, 104), *range(210, 260)]).reset_index(drop=True)
+    t = pdf.ts
+    back, ahead = t.diff() > pd.Timedelta(hours=2), (-t.diff(-1)) > pd.Timedelta(hours=2)
+    for block in (7, 262_144):
+        monkeypatch.setattr(series, "BLOCK_ROWS", block)
+        monkeypatch.setattr(series.Series.block_micros, "__defaults__", (block,))
+        d = put(spark, pdf)
+        edges = collect(missing.boundary_rows(d.fillna(0.0, ["v"]), S, ["v"], 7200.0))
+        assert (edges.is_boundary == (back | ahead)).all()
+        q = {r.check: r.measured for r in missing.quality_checks(put(spark, pd.concat([pdf, pdf[5:6]])), S, {"v": (0, 99)}).collect()}
+        assert q["time_gaps"] == back.sum() and q["duplicate_timestamps"] == 1
+        np.testing.assert_allclose(collect(features.differences(d, S, {"d": "v"})).d, pdf.v.diff().fillna(0.0))
+        np.testing.assert_allclose(collect(features.lags(d, S, ["v"], [3])).v_lag_3, pdf.v.shift(3))
+        np.testing.assert_allclose(collect(features.rates(d, S, ["v"])).v_rate, pdf.v.diff())
+        np.testing.assert_allclose(collect(clean.steps(d, S, "step"))["step"], t.diff().dt.total_seconds())
+
+
+def test_last_of_repeated_stamps_counts_for_step_columns(spark):
+    d = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1, 5.0), ("a", "2024-01-01 00:00:00", 2, 1.0), ("a", "2024-01-01 01:00:00", 3, 2.0)], "k string, t string, i int, sp double")
+    s = Series(("k",), "ts", None, ("i",))
+    got = grid_ops.role_resample(d.withColumn("ts", F.col("t").cast("timestamp_ntz")), s, 1800, ["sp"], ["sp"]).orderBy("ts").collect()
+    assert [r.sp for r in got] == [1.0, 1.0, 2.0]
+
+
+def test_one_value_repeated_millions_of_times(spark):
+    d = spark.range(2_200_000).selectExpr("if(id % 2 = 0, 'a', 'b') g", "5.0D v")
+    r = stats.compare_groups(d, [], "g", "a", "b", ["v"]).first()
+    assert (r.n_a, r.n_b, r.ks_stat) == (1_100_000, 1_100_000, 0.0)
+
+
+def test_small_groups_keep_their_row(spark):
+    d = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), ("b", 5.0)], "g string, v double")
+    r = stats.compare_groups(d, [], "g", "a", "b", ["v"]).first()
+    assert (r.n_a, r.n_b) == (1, 3) and r.t_p is r.u_p is r.ks_p is r.cohens_d is r.effect_size is None
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tidegrid import session
+
+    for master, fails in (("spark://a:7077", True), ("yarn", True), ("local-cluster[2,1,1024]", True), ("local[4]", False)):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+        if fails:
+            with pytest.raises(RuntimeError):
+                session.shared_folder(fake)
+        else:
+            session.shared_folder(fake)
+
+
+def test_stages_are_removed(spark):
+    import os
+
+    from tidegrid import session
+
+    session.remove_stages(spark)
+    kept = session.durable(spark.range(3))
+    path = kept.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path) and session.remove_stages(spark) == 1 and not os.path.exists(os.path.dirname(path))
+
+
 def test_constant_and_empty_columns_do_not_fail(spark):
     """ANSI mode raises on division by zero: constant, all-NULL and single-row inputs give NULLs."""
     pdf = grid(200, 0.0).assign(v=5.0, w=0.0)
@@ -312,7 +419,7 @@ def test_constant_and_empty_columns_do_not_fail(spark):
     frames = [
         stats.describe(d, ["k"], cols), stats.anderson_darling(d, ["k"], cols), stats.kpi_board(d, ["k"], "season", cols),
         stats.histogram(d, ["k"], cols), stats.kde(d, ["k"], ["v"]), stats.compare_groups(d, ["k"], "season", "a", "b", ["v", "w"]),
-        stats.pair_metrics(d, ["k"], {"p": ("v", "none", 1.0), "q": ("v", "w", 1.0)}), stats.density_grid(d, ["k"], "v", "w", above=10),
+        stats.pair_metrics(d, ["k"], {"p": ("v", "none", 1.0), "q": ("v", "w", 1.0)}), stats.density_grid(d, ["k"], "v", "w"),
         profiles.weekly_kpis(d, S, cols), profiles.season_profiles(d, S, "season", cols), profiles.monthly_curves(d, S, "none"),
         outlier.statistical_counts(d, ["k"], ["v", "w"]), outlier.outlier_summary(outlier.flag_table(d, S, {"none": outlier.Rules(limits=(0, 1)), "v": outlier.Rules(spike_k=3.0, stuck_rows=5)}), ["k"]),
         correlate.p_values(correlate.pearson_pairs(d, ["k"], cols)), correlate.p_values(correlate.spearman_pairs(d, ["k"], ["v", "w"])),

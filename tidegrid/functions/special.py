@@ -62,8 +62,12 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z <= 0, upper).otherwise(1 - upper)
 
 
-def normal_two_sided(z: Column) -> Column:
-    return F.least(F.lit(1.0), 2 * normal_cdf(-F.abs(z)))
+def log_normal_cdf(z: Column) -> Column:
+    """Logarithm of the normal distribution function, also where the function itself is 0 as a double."""
+    y = -z.cast("double")
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1)), y, lambda acc, k: y + k / acc)
+    tail = -y * y / 2 - F.log(fraction) - 0.5 * math.log(2 * math.pi)
+    return F.when(y > 20, tail).otherwise(F.log(normal_cdf(z)))
 
 
 def kolmogorov_sf(x: Column, terms: int = 100) -> Column:

@@ -229,7 +229,7 @@ def transition_guard(df: DataFrame, s: Series, supply: str, return_error: str, s
         left, right = v - F.lag(v).over(w), F.lead(v).over(w) - v
         return {"__g": F.abs(F.coalesce((left + right) / 2, right, left))}
 
-    d = attach(rolling(df, s, 1, 1, grad), stable_below, s.keys)
+    d = attach(rolling(df, s.with_step(None), 1, 1, grad), stable_below, s.keys)
     calm = false_if_null(F.col("__g") > ramp) & false_if_null(F.col(return_error) < F.col("limit"))
     return d.withColumns({"suppressed": F.col(flag) & calm, flag: F.col(flag) & ~calm}).drop("__g", "limit")
 
@@ -241,7 +241,7 @@ def label_faults(df: DataFrame, s: Series, flag: str, score: str, supply: str, r
     periodic flag, physics-breaking ones included, while their label says fault.
     """
     change = lambda c, w: F.coalesce(F.abs(F.col(c) - F.lag(c).over(w)), F.lit(0.0))
-    d = rolling(df, s, 1, 0, lambda w: {"__ds": change(supply, w), "__dr": change(ret, w)})
+    d = rolling(df, s.with_step(None), 1, 0, lambda w: {"__ds": change(supply, w), "__dr": change(ret, w)})
     d = values_one_period_back(d, s, period_s, tol_s, {"__prev": F.col(score), "__hit": F.col(flag)})
     cur, prev = F.col(score) + 1e-9, array_median(F.col("__prev")) + 1e-9
     times = ratio(F.greatest(cur, prev), F.least(cur, prev))
@@ -259,7 +259,7 @@ def label_faults(df: DataFrame, s: Series, flag: str, score: str, supply: str, r
 def physics_rules(df: DataFrame, s: Series, supply: str, ret: str, setpoint: str, fan: str, min_delta: float = 0.5, min_fan: float = 30.0, max_error: float = 1.5, hours: float = 4.0) -> DataFrame:
     """Rule 1: little temperature difference while the fan runs; rule 2: long-lasting setpoint error."""
     n = int(hours * 3600 / s.step)
-    d = rolling(df, s, n - 1, 0, lambda w: {"__e": F.avg(F.abs(F.col(supply) - F.col(setpoint))).over(w.rowsBetween(-(n - 1), 0))})
+    d = rolling(df, s.with_step(None), n - 1, 0, lambda w: {"__e": F.avg(F.abs(F.col(supply) - F.col(setpoint))).over(w.rowsBetween(-(n - 1), 0))})
     return d.withColumns({
         "rule_low_delta": false_if_null((F.col(supply) - F.col(ret) < min_delta) & (F.col(fan) > min_fan)),
         "rule_setpoint": false_if_null(F.col("__e") > max_error),

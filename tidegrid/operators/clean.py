@@ -118,7 +118,7 @@ def open_range(df: DataFrame, ts: str, start: str, end: str | None = None) -> Da
 
 def steps(df: DataFrame, s: Series, out: str = "step_s") -> DataFrame:
     """Seconds since the previous row."""
-    return rolling(df, s, 1, 0, lambda w: {out: (micros(s.ts) - F.lag(micros(s.ts)).over(w)) / F.lit(1e6)})
+    return rolling(df, s.with_step(None), 1, 0, lambda w: {out: (micros(s.ts) - F.lag(micros(s.ts)).over(w)) / F.lit(1e6)})
 
 
 def native_interval(df: DataFrame, s: Series) -> DataFrame:

@@ -5,23 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
 
 from tidegrid.functions import roles
 from tidegrid.functions.columns import correlation
 from tidegrid.functions.special import t_two_sided
 from tidegrid.plans.blocks import rolling
 from tidegrid.plans.quantiles import melt
-from tidegrid.plans.ranks import average_ranks
+from tidegrid.plans.ranks import average_ranks, value_counts, with_less
 from tidegrid.plans.series import Series, attach
+from tidegrid.session import durable
 
-# Aggregates per job, Kendall size guard, thresholds of the pair reports.
+# Aggregates per job, marks of derived features, thresholds of the pair reports.
 PAIRS_PER_JOB = 60
-KENDALL_ROWS = 5000
+DERIVED_MARKS = r"(?:_lag(?:_?[0-9]+)?|_rolling(?:_[a-z0-9]+)*|_(?:abs_)?rate(?:_of_change)?)+$"
 MIN_PAIRS_FOR_P = 3
 ALPHA = 0.05
 STRONG, COLLINEAR, WEAK = 0.7, 0.9, 0.3
@@ -69,35 +67,36 @@ def spearman_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], p
     return d.groupBy(*by).agg(F.when(norm > 0, s("rx", "ry") / norm).alias("r"), F.sum("n").alias("n"))
 
 
-def _tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    score = tx = ty = 0.0
-    for i in range(len(x) - 1):
-        sx, sy = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
-        score += float(sx @ sy)
-        tx += np.count_nonzero(sx)
-        ty += np.count_nonzero(sy)
-    return score / np.sqrt(tx * ty) if tx and ty else np.nan
+def kendall_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Kendall's tau-b on pairwise-complete rows, exact for any number of rows.
 
-
-def kendall_pairs(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Kendall tau-b, only for keys with at most 5000 rows, so a group handed to a task is small by construction."""
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    d = attach(df.select(*keys, *columns), size, list(keys)).filter(F.col("__rows") <= KENDALL_ROWS)
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(columns, 2)
-    ])
-    long = d.select(*keys, F.explode(cells).alias("p")).select(*keys, "p.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    The number of rows with a smaller x is an integer code of x. Two codes part at one bit: rows whose codes agree above that
+    bit are one group, and those with the bit set have the larger x. So for each bit, running counts by y inside the groups
+    give the rows of smaller and of larger y on the other side; all pairs of rows are met once in as many passes as a code
+    has bits, and no two rows are ever paired.
+    """
     by = [*keys, "variable_1", "variable_2"]
-    schema = long.select(*by).schema.add("r", DoubleType()).add("n", LongType())
-
-    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[by].iloc[:1].copy()
-        head["r"] = _tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        head["n"] = len(pdf)
-        return head
-
-    return long.groupBy(*by).applyInPandas(tau, schema)
+    counts = durable(pair_counts(df, keys, list(pairs or combinations(columns, 2))))
+    codes = with_less(value_counts(counts, by, "x", "n"), by, "x").select(*by, "x", F.col("less").alias("code"), F.col("n").alias("nx"), "total")
+    codes = durable(codes)
+    bits = int(codes.agg(F.max("total")).first()[0] or 0).bit_length()
+    d = counts.join(codes.select(*by, "x", "code"), [*by, "x"]).withColumn("bit", F.explode(F.array(*[F.lit(b) for b in range(max(bits, 1))])))
+    high = F.expr("shiftright(code, bit) & 1")
+    d = d.groupBy(*by, "bit", F.expr("shiftright(code, bit + 1)").alias("above"), F.col("y")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(high == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(high == 1, F.col("n")).otherwise(0)).alias("high"))
+    group = [*by, "bit", "above"]
+    d = durable(d)
+    sides = d.groupBy(*group).agg(F.sum("low").alias("all_low"), F.sum("high").alias("all_high")).filter("all_low > 0 AND all_high > 0")
+    d = with_less(d.join(sides.select(*group), group, "left_semi"), group, "y", also=("low",)).join(sides.select(*group, "all_low"), group)
+    # concordant minus discordant: low rows of smaller y less those of larger y
+    part = F.col("high").cast("double") * (2 * F.col("upto_low") - F.col("low") - F.col("all_low"))
+    score = d.groupBy(*by).agg(F.sum(part).alias("score"))
+    same = lambda c: F.sum(c.cast("double") * (c - 1) / 2)
+    ties_y = counts.groupBy(*by, "y").agg(F.sum("n").alias("ny")).groupBy(*by).agg(same(F.col("ny")).alias("ty"))
+    ties = codes.groupBy(*by).agg(F.max("total").alias("n"), same(F.col("nx")).alias("tx")).join(ties_y, by)
+    every = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    norm = F.sqrt(every - F.col("tx")) * F.sqrt(every - F.col("ty"))
+    return ties.join(score, by, "left").select(*by, F.when(norm > 0, F.coalesce("score", F.lit(0.0)) / norm).alias("r"), "n")
 
 
 def p_values(pairs: DataFrame) -> DataFrame:
@@ -134,18 +133,16 @@ def hygiene(df: DataFrame, columns: Sequence[str], min_coverage: float = 0.7) ->
 
 
 def tautology(v1: str = "variable_1", v2: str = "variable_2") -> Column:
-    """Name rules for pairs of features related by definition, as a column expression."""
+    """Whether two features are the same quantity by name: derived from one base, or bases that are one quantity by construction.
+
+    The base is what is left of a name without its trailing marks of lag, rolling window and rate.
+    """
     a, b = F.lower(v1), F.lower(v2)
-    has = lambda c, w: F.contains(c, F.lit(w))
-    out = F.lit(False)
-    for p, q in roles.TAUTOLOGIES:
-        out = out | (has(a, p) & has(b, q)) | (has(a, q) & has(b, p))
-    base = lambda c: F.split_part(F.replace(c, F.lit("_lag_"), F.lit("_")), F.lit("_lag"), F.lit(1))
-    roll = lambda c: F.split_part(c, F.lit("_rolling"), F.lit(1))
-    rate = lambda c: F.replace(c, F.lit("_rate_of_change"), F.lit(""))
-    for mark, cut in (("lag", base), ("rolling", roll), ("rate_of_change", rate)):
-        out = out | ((has(a, mark) | has(b, mark)) & (cut(a) == cut(b)))
-    return out
+    base_a, base_b = (F.regexp_replace(c, DERIVED_MARKS, "") for c in (a, b))
+    derived = (base_a == base_b) & ((base_a != a) | (base_b != b))
+    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in roles.TAUTOLOGIES])
+    crossed = lambda x, y, t: F.contains(x, t["p"]) & F.contains(y, t["q"])
+    return derived | F.exists(known, lambda t: crossed(base_a, base_b, t) | crossed(base_b, base_a, t))
 
 
 def pair_report(pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -182,7 +179,7 @@ def detrend(df: DataFrame, s: Series, column: str, mode: str = "none") -> DataFr
     return d
 
 
-def lag_correlation(df: DataFrame, s: Series, source: str, target: str, max_lag: int, step_hours: float, min_samples: int = 48, mode: str = "none", method: str = "pearson", two_sided: bool = True) -> DataFrame:
+def lag_correlation(df: DataFrame, s: Series, source: str, target: str, max_lag: int, step_hours: float, min_samples: int = 0, mode: str = "none", method: str = "pearson", two_sided: bool = True) -> DataFrame:
     """``keys, lag, lag_hours, r, n``: source shifted by ``lag`` rows (positive: source leads) against target.
 
     Both series are detrended and restricted to their common stamps first.

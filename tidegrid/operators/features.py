@@ -142,18 +142,18 @@ def thermal_power(df: DataFrame, delta: str, fan: str, out: str = "thermal_power
 
 def differences(df: DataFrame, s: Series, columns: dict[str, str]) -> DataFrame:
     """First differences ``{out: column}``; unknown ones are 0."""
-    return rolling(df, s, 1, 0, lambda w: {o: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)) for o, c in columns.items()})
+    return rolling(df, s.with_step(None), 1, 0, lambda w: {o: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)) for o, c in columns.items()})
 
 
 def rates(df: DataFrame, s: Series, columns: Sequence[str], suffix: str = "_rate", abs_suffix: str = "_abs_rate") -> DataFrame:
     """Change per row and its absolute value."""
     return rolling(
-        df, s, 1, 0, lambda w: {f"{c}{suffix}": F.col(c) - F.lag(c).over(w) for c in columns}
+        df, s.with_step(None), 1, 0, lambda w: {f"{c}{suffix}": F.col(c) - F.lag(c).over(w) for c in columns}
     ).withColumns({f"{c}{abs_suffix}": F.abs(F.col(f"{c}{suffix}")) for c in columns})
 
 
 def lags(df: DataFrame, s: Series, columns: Sequence[str], steps: Sequence[int] = LAGS) -> DataFrame:
-    return rolling(df, s, max(steps), 0, lambda w: {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in steps})
+    return rolling(df, s.with_step(None), max(steps), 0, lambda w: {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in steps})
 
 
 def feature_summary(df: DataFrame, original: Sequence[str]) -> DataFrame:

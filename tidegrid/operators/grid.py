@@ -81,7 +81,11 @@ def role_resample(df: DataFrame, s: Series, step_s: int, columns: Sequence[str],
     d = resample(df, s, step_s, {**{c: F.avg(c) for c in sensors}, "__n": F.count(F.lit(1))})
     d = regular_grid(d, s, step_s, sensors)
     if stepped:
-        d = asof(d, df.select(*s.keys, s.ts, *stepped), s, stepped)
+        # rows of one stamp: the last one by the tie columns counts
+        values = F.struct(*stepped)
+        last = F.max_by(values, F.struct(*s.tie)) if s.tie else F.last(values)
+        raw = df.groupBy(*s.keys, s.ts).agg(last.alias("__v")).select(*s.keys, s.ts, *[F.col(f"__v.{c}").alias(c) for c in stepped])
+        d = asof(d, raw, s, stepped)
     return d.select(*s.keys, s.ts, *columns)
 
 

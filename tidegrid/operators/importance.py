@@ -16,7 +16,7 @@ from tidegrid.plans.quantiles import exact_quantiles, melt
 from tidegrid.plans.series import attach
 from tidegrid.session import durable
 
-# Weights and bounds of the composite score, minimum rows for a rank correlation.
+# Weights and bounds of the composite score, rows above which a rank correlation is told.
 WEIGHTS = {"max_abs_corr": 0.3, "mutual_info": 0.35, "rf_importance": 0.35}
 KEEP_ABOVE, CONSIDER_ABOVE, TOO_MISSING, NO_VARIANCE = 0.5, 0.2, 50.0, 1e-10
 MIN_ROWS = 10
@@ -40,9 +40,10 @@ def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Rank correlation with its p value for every feature and target with more than ten rows."""
+    """Rank correlation with its p value for every feature and target; NULL for pairs of ten rows and fewer."""
     d = spearman_pairs(df, [], [], [(f, t) for f in features for t in targets])
-    d = p_values(d.filter(F.col("n") > MIN_ROWS))
+    d = p_values(d.withColumn("r", F.when(F.col("n") > MIN_ROWS, F.col("r"))))
+    d = d.withColumn("p_value", F.when(F.col("n") > MIN_ROWS, F.col("p_value")))
     return d.select(F.col("variable_1").alias("feature"), F.col("variable_2").alias("target"), "r", "p_value", "n")
 
 

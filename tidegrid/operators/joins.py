@@ -89,6 +89,11 @@ def in_set(rows: DataFrame, stamps: DataFrame, on: Sequence[str], out: str) -> D
     return rows.join(d, list(on), "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
+def common_index(df: DataFrame, ts: str, columns: Sequence[str]) -> DataFrame:
+    """Stamps at which all columns of one table have a value: a filter, for the columns share their rows."""
+    return df.select(ts, *columns).dropna(subset=list(columns))
+
+
 def holiday_mask(df: DataFrame, ts: str, holidays: DataFrame, date: str, occupied: str) -> DataFrame:
     """``is_holiday`` by date; ``occupied`` becomes 0 on holidays."""
     h = holidays.select(F.to_date(date).alias("__d"), F.lit(True).alias("is_holiday")).distinct()

@@ -194,7 +194,7 @@ def cross_column_gaps(df: DataFrame, s: Series, columns: Sequence[str], max_gap_
     long, ls = long_series(df, s, columns)
     t = F.col(s.ts)
     look = lambda w: {"__before": F.lag(t).over(w), "__next": F.lead(t).over(w), "__after": F.lead(t, 2).over(w)}
-    d = rolling(long, ls, 1, 2, look)
+    d = rolling(long, ls.with_step(None), 1, 2, look)
     last = lambda c: F.max_by(c, s.ts)
     ep = episodes(d, ls, F.col(VALUE).isNull(), [
         F.min_by("__before", s.ts).alias("row_before"), last("__next").alias("next_valid"), last("__after").alias("row_after")])
@@ -211,7 +211,7 @@ def boundary_rows(df: DataFrame, s: Series, columns: Sequence[str], max_gap_s: f
     edges = edges.filter(F.col(s.ts).isNotNull()).distinct().withColumn("__edge", F.lit(True))
     limit = int(max_gap_s * MICROS)
     at = micros(s.ts)
-    d = rolling(df, s, 1, 1, lambda w: {
+    d = rolling(df, s.with_step(None), 1, 1, lambda w: {
         "__jump": F.coalesce(at - F.lag(at).over(w) > limit, F.lit(False)) | F.coalesce(F.lead(at).over(w) - at > limit, F.lit(False))})
     d = d.join(edges, [*s.keys, s.ts], "left")
     return d.withColumn(out, F.coalesce("__edge", F.lit(False)) | F.col("__jump")).drop("__edge", "__jump")
@@ -282,11 +282,16 @@ def weather_fallback(df: DataFrame, s: Series, temp: str, humidity: str, monthly
     return d.select(*df.columns, "weather_filled")
 
 
-def quality_checks(df: DataFrame, s: Series, limits: Mapping[str, tuple[float, float]], max_step_h: float = 2.0, min_coverage: float = 90.0, max_missing: float = 10.0) -> DataFrame:
-    """``check, variable, measured, passed`` per key: duplicates, gaps, regular steps, coverage, ranges, constants, 6 sigma."""
+def quality_checks(df: DataFrame, s: Series, limits: Mapping[str, tuple[float, float]], max_step_h: float = 2.0, min_coverage: float = 90.0, max_missing: float = 10.0, min_rows: Mapping[str, int] | None = None) -> DataFrame:
+    """``check, variable, measured, passed`` per key: duplicates, gaps, regular steps, coverage, ranges, constants, 6 sigma.
+
+    ``min_rows`` names checks (constant, near_constant, six_sigma_pct) that columns of that many values and fewer pass.
+    """
+    few = lambda check: F.col("valid") <= (min_rows or {}).get(check, 0)
     columns = list(limits)
     at = micros(s.ts)
-    d = rolling(df, s, 1, 0, lambda w: {"__d": (at - F.lag(at).over(w)) / F.lit(float(MICROS))})
+    # holes and repeated stamps are what is looked for, so rows are reached by position
+    d = rolling(df, s.with_step(None), 1, 0, lambda w: {"__d": (at - F.lag(at).over(w)) / F.lit(float(MICROS))})
     counts = d.filter("__d IS NOT NULL").groupBy(*s.keys, "__d").agg(F.count(F.lit(1)).alias("c"))
     usual = counts.groupBy(*s.keys).agg(F.max_by("c", F.struct("c", -F.col("__d"))).alias("usual"), F.sum("c").alias("steps"))
     rows = d.groupBy(*s.keys).agg(
@@ -320,10 +325,10 @@ def quality_checks(df: DataFrame, s: Series, limits: Mapping[str, tuple[float, f
         col_check("missing_pct", miss, miss <= max_missing),
         col_check("lowest", F.col("lo"), F.col("lo") >= lim[0]),
         col_check("highest", F.col("hi"), F.col("hi") <= lim[1]),
-        col_check("constant", F.col("distinct"), ~((F.col("distinct") == 1) & (F.col("valid") > 100))),
-        col_check("near_constant", F.col("distinct"), ~((F.col("distinct") < 3) & (F.col("valid") > 1000))),
+        col_check("constant", F.col("distinct"), few("constant") | (F.col("distinct") != 1)),
+        col_check("near_constant", F.col("distinct"), few("near_constant") | (F.col("distinct") >= 3)),
         col_check("all_zero", F.col("zeros"), ~((F.col("zeros") == F.col("valid")) & (F.col("valid") > 0))),
-        col_check("six_sigma_pct", far_pct, (F.col("valid") <= 30) | (far_pct <= 1.0)),
+        col_check("six_sigma_pct", far_pct, few("six_sigma_pct") | (far_pct <= 1.0)),
     )).alias("r")).select(*s.keys, "r.*")
     return table_checks.unionByName(col_checks)
 

@@ -33,7 +33,6 @@ SEASON_LIMITS = {
 }
 DROP_ABOVE_PCT = 10.0
 DISCRETE_RATIO, DISCRETE_VALUES, CONTINUOUS_RATIO = 0.05, 10, 0.20
-MIN_REGIME_ROWS = 4
 FLAGS = ("physical", "spike", "stuck", "valid_state", "iqr", "iqr_regime")
 
 
@@ -103,9 +102,9 @@ def regime_id(df: DataFrame, keys: Sequence[str], regime: str, bins: int, out: s
 
 
 def regime_bounds(df: DataFrame, keys: Sequence[str], column: str, k: float) -> DataFrame:
-    """Fences per regime with at least four values."""
+    """Fences per regime with the number of its values, whatever that is."""
     d = df.select(*keys, "regime", F.col(column).cast("double").alias(VALUE)).filter("regime IS NOT NULL")
-    q = long_quantiles(d, [*keys, "regime"], [0.25, 0.75]).filter(F.col("n") >= MIN_REGIME_ROWS)
+    q = long_quantiles(d, [*keys, "regime"], [0.25, 0.75])
     return _fences(q, k).select(*keys, "regime", "lower", "upper", "n")
 
 

@@ -15,11 +15,10 @@ from tidegrid.plans.quantiles import VALUE, VARIABLE, exact_quantiles, long_quan
 from tidegrid.plans.series import MICROS, Series, attach, micros
 from tidegrid.session import durable
 
-# Split shares, smallest useful scaled variance, flat-line bounds, gates on how many rows a mask must hit.
+# Split shares, smallest useful scaled variance, flat-line bounds.
 TRAIN, VALIDATION = 0.70, 0.15
 MIN_SCALED_VARIANCE = 0.01
 FLAT_STD, LONG_FLAT_ROWS = 0.001, 96
-SHORT_FLAT_GATE, VARIANCE_GATE = 100, 50
 WEEK = 7 * 86_400
 
 
@@ -95,11 +94,13 @@ def _centred_std(c: str, w, n: int, full: bool = True) -> Column:
     return F.when(F.count(c).over(frame) == n, sd) if full else sd
 
 
-def _gated(df: DataFrame, s: Series, flags: Sequence[str], above: int) -> DataFrame:
-    """Switch a flag off for keys where it hits at most ``above`` rows."""
-    total = df.groupBy(*s.keys).agg(*[F.count_if(f).alias(f"__n_{f}") for f in flags])
+def _gated(df: DataFrame, s: Series, flags: Sequence[str], share: float) -> DataFrame:
+    """Switch a flag off for keys where it hits at most a share of their rows; 0 leaves every flag as it is."""
+    if not share:
+        return df
+    total = df.groupBy(*s.keys).agg(*[F.avg(F.col(f).cast("int")).alias(f"__n_{f}") for f in flags])
     d = attach(df, total, s.keys)
-    return d.withColumns({f: F.col(f) & (F.col(f"__n_{f}") > above) for f in flags}).drop(*[f"__n_{f}" for f in flags])
+    return d.withColumns({f: F.col(f) & (F.col(f"__n_{f}") > share) for f in flags}).drop(*[f"__n_{f}" for f in flags])
 
 
 def _any(df: DataFrame, flags: Sequence[str], out: str) -> DataFrame:
@@ -109,12 +110,12 @@ def _any(df: DataFrame, flags: Sequence[str], out: str) -> DataFrame:
     return df.withColumn(out, hit).drop(*flags)
 
 
-def flat_rows(df: DataFrame, s: Series, columns: Sequence[str], window: int = 12, std: float = 0.05, min_rows: int = 24, out: str = "is_flat") -> DataFrame:
-    """Rows where a sensor's centred deviation is below ``std``; columns with few such rows do not count."""
+def flat_rows(df: DataFrame, s: Series, columns: Sequence[str], window: int = 12, std: float = 0.05, min_share: float = 0.0, out: str = "is_flat") -> DataFrame:
+    """Rows where a sensor's centred deviation is below ``std``, of columns where more than ``min_share`` of the rows are so."""
     before, after = centred(window)
     flags = [f"__flat_{c}" for c in columns]
     d = rolling(df, s, before, after, lambda w: {f"__flat_{c}": false_if_null(_centred_std(c, w, window) < std) for c in columns})
-    return _any(_gated(d, s, flags, min_rows), flags, out)
+    return _any(_gated(d, s, flags, min_share), flags, out)
 
 
 def fit_scaler(train: DataFrame, keys: Sequence[str], columns: Sequence[str], kind: str = "robust") -> DataFrame:
@@ -171,14 +172,14 @@ def long_flat_runs(df: DataFrame, s: Series, columns: Sequence[str], rows: int =
     return _any(d, flags, out)
 
 
-def interpolated_rows(df: DataFrame, s: Series, masks: Sequence[str], columns: Sequence[str], window: int = 6, std: float = FLAT_STD, out: str = "is_filled") -> DataFrame:
-    """Any interpolation mask set; without masks, short flat stretches of columns that have many of them."""
+def interpolated_rows(df: DataFrame, s: Series, masks: Sequence[str], columns: Sequence[str], window: int = 6, std: float = FLAT_STD, out: str = "is_filled", min_share: float = 0.0) -> DataFrame:
+    """Any interpolation mask set; without masks, short flat stretches."""
     if masks:
         hit = F.lit(False)
         for m in masks:
             hit = hit | false_if_null(F.col(m).cast("int") > 0)
         return df.withColumn(out, hit)
-    return flat_rows(df, s, columns, window, std, SHORT_FLAT_GATE, out)
+    return flat_rows(df, s, columns, window, std, min_share, out)
 
 
 def out_of_range(df: DataFrame, keys: Sequence[str], columns: Sequence[str], limits: Mapping[str, tuple[float, float]] | None = None, out: str = "is_out_of_range") -> DataFrame:
@@ -198,8 +199,8 @@ def out_of_range(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lim
     return d.withColumn(out, hit).drop(*[f"__b_{c}" for c in columns])
 
 
-def high_variance(df: DataFrame, s: Series, columns: Sequence[str], window: int = 12, factor: float = 5.0, gate: int = VARIANCE_GATE, out: str = "is_noisy") -> DataFrame:
-    """Centred deviation far above the column's overall deviation, for columns where this happens often."""
+def high_variance(df: DataFrame, s: Series, columns: Sequence[str], window: int = 12, factor: float = 5.0, min_share: float = 0.0, out: str = "is_noisy") -> DataFrame:
+    """Centred deviation far above the column's overall deviation, of columns where more than ``min_share`` of the rows are so."""
     before, after = centred(window)
     total = df.groupBy(*s.keys).agg(*[F.stddev_samp(c).alias(f"__g_{c}") for c in columns])
     d = rolling(df, s, before, after, lambda w: {f"__s_{c}": _centred_std(c, w, window) for c in columns})
@@ -207,7 +208,7 @@ def high_variance(df: DataFrame, s: Series, columns: Sequence[str], window: int
     flags = [f"__h_{c}" for c in columns]
     d = d.withColumns({f"__h_{c}": false_if_null(F.col(f"__s_{c}") > factor * F.col(f"__g_{c}")) for c in columns})
     d = d.drop(*[f"__{p}_{c}" for c in columns for p in "sg"])
-    return _any(_gated(d, s, flags, gate), flags, out)
+    return _any(_gated(d, s, flags, min_share), flags, out)
 
 
 def transients(df: DataFrame, s: Series, setpoints: Sequence[str], fans: Sequence[str], setpoint_step: float = 0.5, fan_percent: float = 10.0, hold: int = 2, out: str = "is_transient") -> DataFrame:

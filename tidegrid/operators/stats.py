@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.columns import as_col, correlation, false_if_null, ladder, ladder_above, ratio
-from tidegrid.functions.special import kolmogorov_sf, normal_cdf, t_two_sided
+from tidegrid.functions.special import kolmogorov_sf, log_normal_cdf, normal_cdf, t_two_sided
 from tidegrid.plans.quantiles import VALUE, VARIABLE, long_quantiles, melt
 from tidegrid.plans.ranks import value_counts, with_less
 from tidegrid.plans.series import attach
@@ -21,7 +21,6 @@ AD_FIVE_PERCENT = 0.787
 EFFECTS = ((0.2, "Negligible"), (0.5, "Small"), (0.8, "Medium"))
 ALPHA = 0.05
 MIN_DAYS = 3
-DENSITY_ABOVE = 5000
 
 
 def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -56,11 +55,13 @@ def anderson_darling(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     m = long.groupBy(*by).agg(F.avg(VALUE).alias("mean"), F.stddev_samp(VALUE).alias("sd"))
     d = with_less(value_counts(long, by, VALUE), by, VALUE).join(m, by)
     z, n, less, total = ratio(F.col(VALUE) - F.col("mean"), F.col("sd")), F.col("n"), F.col("less"), F.col("total")
+    # doubles, for squares of ranks pass the range of a long
+    n, less, total = n.cast("double"), less.cast("double"), total.cast("double")
     upto = less + n
     # sums of (2i - 1) and of (2 (N - i) + 1) over the ranks a value holds
     low = upto * upto - less * less
     high = n * (2 * total + 1) - (upto * (upto + 1) - less * (less + 1))
-    term = low * F.log(normal_cdf(z)) + high * F.log(normal_cdf(-z))
+    term = low * log_normal_cdf(z) + high * log_normal_cdf(-z)
     out = d.groupBy(*by).agg(F.first("total").alias("n"), F.sum(term).alias("__s"))
     crit = AD_FIVE_PERCENT / (1 + 4 / F.col("n") - 25 / F.col("n") / F.col("n"))
     out = out.withColumns({"ad_stat": -F.col("n") - F.col("__s") / F.col("n"), "ad_critical": F.round(crit, 3)}).drop("__s")
@@ -124,11 +125,11 @@ def pair_metrics(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[C
     return g.select(*keys, F.explode(F.array(*[F.col(f"__{i}") for i in range(len(cells))])).alias("p")).select(*keys, "p.*")
 
 
-def density_grid(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 50, above: int = DENSITY_ABOVE) -> DataFrame:
-    """Counts on a ``bins`` x ``bins`` grid for keys with more complete pairs than ``above``."""
+def density_grid(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 50) -> DataFrame:
+    """Counts of complete pairs on a ``bins`` x ``bins`` grid between the extremes of each key."""
     d = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
-    ext = d.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n_pairs"))
-    d = attach(d, ext.filter(F.col("n_pairs") > above), list(keys)).filter("n_pairs IS NOT NULL")
+    ext = d.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    d = attach(d, ext, list(keys))
     cell = lambda v, a, b: F.coalesce(F.least(F.floor(ratio(F.col(v) - F.col(a), (F.col(b) - F.col(a)) / bins)), F.lit(bins - 1)), F.lit(0))
     return d.groupBy(*keys, cell("x", "x0", "x1").alias("x_bin"), cell("y", "y0", "y1").alias("y_bin")).agg(F.count(F.lit(1)).alias("count"))
 
@@ -165,7 +166,8 @@ def season_stats(df: DataFrame, keys: Sequence[str], season: str, columns: Seque
 def compare_groups(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, columns: Sequence[str], alpha: float = ALPHA, min_n: int = MIN_DAYS) -> DataFrame:
     """Welch t, Mann-Whitney U, Kolmogorov-Smirnov and Cohen's d between two groups of rows (daily means).
 
-    U and KS p values are the tie-corrected normal and the asymptotic ones.
+    U and KS p values are the tie-corrected normal and the asymptotic ones. A group with fewer than ``min_n`` rows on a side
+    keeps its row, with counts and NULL statistics.
     """
     by = [*keys, VARIABLE]
     long = melt(df.filter(F.col(group).isin(a, b)), [*keys, group], columns).filter(F.col(VALUE).isNotNull())
@@ -174,34 +176,37 @@ def compare_groups(df: DataFrame, keys: Sequence[str], group: str, a: str, b: st
     m = long.groupBy(*by).agg(
         F.count_if(ina).alias("n_a"), F.count_if(inb).alias("n_b"), F.avg(pick(ina)).alias("m_a"), F.avg(pick(inb)).alias("m_b"),
         F.var_samp(pick(ina)).alias("v_a"), F.var_samp(pick(inb)).alias("v_b"),
-    ).filter((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
+    )
     counts = long.groupBy(*by, VALUE).agg(F.count(F.lit(1)).alias("n"), F.count_if(ina).alias("ca"), F.count_if(inb).alias("cb"))
     ranked = with_less(counts, by, VALUE, also=("ca", "cb")).join(m.select(*by, "n_a", "n_b"), by)
-    n = F.col("n")
+    n = F.col("n").cast("double")
     r = ranked.groupBy(*by).agg(
         F.sum(F.col("ca") * (F.col("less") + (n + 1) / 2)).alias("rank_a"),
-        F.sum((n * n * n - n).cast("double")).alias("ties"),
-        F.max(F.abs(F.col("upto_ca") / F.col("n_a") - F.col("upto_cb") / F.col("n_b"))).alias("ks_stat"),
+        F.sum(n * n * n - n).alias("ties"),
+        F.max(F.abs(ratio(F.col("upto_ca"), F.col("n_a")) - ratio(F.col("upto_cb"), F.col("n_b")))).alias("ks_stat"),
     )
     d = m.join(r, by)
-    na, nb = F.col("n_a"), F.col("n_b")
-    sa, sb = F.col("v_a") / na, F.col("v_b") / nb
+    na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    enough = (na >= min_n) & (nb >= min_n)
+    sa, sb = ratio(F.col("v_a"), na), ratio(F.col("v_b"), nb)
     diff = F.col("m_a") - F.col("m_b")
-    dof = ratio((sa + sb) * (sa + sb), sa * sa / (na - 1) + sb * sb / (nb - 1))
+    dof = ratio((sa + sb) * (sa + sb), ratio(sa * sa, na - 1) + ratio(sb * sb, nb - 1))
     u = F.col("rank_a") - na * (na + 1) / 2
     total = na + nb
-    mu, sd = na * nb / 2, F.sqrt(na * nb / 12.0 * ((total + 1) - F.col("ties") / (total * (total - 1))))
+    mu, sd = na * nb / 2, F.sqrt(na * nb / 12.0 * ((total + 1) - ratio(F.col("ties"), total * (total - 1))))
     z = ratio(F.greatest(F.col("u_stat"), na * nb - F.col("u_stat")) - mu - 0.5, sd)
     pooled = F.sqrt((F.col("v_a") + F.col("v_b")) / 2)
     d = d.withColumns({"mean_diff": diff, "t_stat": ratio(diff, F.sqrt(sa + sb)), "dof": dof, "u_stat": u})
     d = d.withColumns({
         "t_p": t_two_sided(F.col("t_stat"), F.col("dof")), "u_p": F.least(F.lit(1.0), 2 * normal_cdf(-z)),
-        "ks_p": kolmogorov_sf(F.sqrt(na * nb / total) * F.col("ks_stat")),
-        "cohens_d": F.when(pooled != 0, diff / pooled).otherwise(0.0),
+        "ks_p": kolmogorov_sf(F.sqrt(ratio(na * nb, total)) * F.col("ks_stat")),
+        "cohens_d": F.when(pooled != 0, diff / pooled).when(pooled == 0, 0.0),
     })
+    told = ("mean_diff", "t_stat", "t_p", "u_stat", "u_p", "ks_stat", "ks_p", "cohens_d")
+    d = d.withColumns({c: F.when(enough, F.col(c)) for c in told})
     d = d.withColumns({
         **{f"{t}_significant": F.col(f"{t}_p") < alpha for t in ("t", "u", "ks")},
-        "effect_size": ladder(F.abs("cohens_d"), EFFECTS, "Large"),
+        "effect_size": F.when(F.col("cohens_d").isNotNull(), ladder(F.abs("cohens_d"), EFFECTS, "Large")),
     })
     return d.select(*by, "n_a", "n_b", "mean_diff", "t_stat", "t_p", "t_significant", "u_stat", "u_p", "u_significant", "ks_stat", "ks_p", "ks_significant", "cohens_d", "effect_size")
 
@@ -216,6 +221,6 @@ def kpi_board(df: DataFrame, keys: Sequence[str], season: str, columns: Sequence
 
 def significant_share(tests: DataFrame, keys: Sequence[str], flag: str = "t_significant") -> DataFrame:
     return tests.groupBy(*keys).agg(
-        F.count_if(flag).alias("n_significant"), F.count(F.lit(1)).alias("n_tests"), (100.0 * F.avg(false_if_null(F.col(flag)).cast("int"))).alias("significant_pct"))
+        F.count_if(flag).alias("n_significant"), F.count(flag).alias("n_tests"), (100.0 * F.avg(false_if_null(F.col(flag)).cast("int"))).alias("significant_pct"))
 
 

@@ -11,6 +11,9 @@ from tidegrid.plans.blocks import running
 from tidegrid.plans.series import BLOCK, Series
 from tidegrid.session import durable
 
+#: Distinct values that one bucket holds on average; the number of buckets follows the data.
+BUCKET_VALUES = 50_000
+
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct non-null values with their number of rows: the combine step before ranking."""
@@ -18,25 +21,23 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
 
 
-def with_less(counts: DataFrame, keys: Sequence[str], value: str, edges: int = 256, also: Sequence[str] = ()) -> DataFrame:
+def with_less(counts: DataFrame, keys: Sequence[str], value: str, rows: int = BUCKET_VALUES, also: Sequence[str] = ()) -> DataFrame:
     """Add ``less``, the number of rows with a smaller value, and ``total`` rows of the group.
 
     ``counts`` holds distinct values with ``n``.  Values are cut into buckets of
-    near-equal size by edges drawn with a hash of the value (so every evaluation
+    about ``rows`` by edges drawn with a hash of the value (so every evaluation
     draws the same ones), and counts are summed inside buckets and across them.
     ``also`` names further counts to accumulate as ``upto_<name>``.
     """
     keys = list(keys)
     # read several times below: stored once, so that every reader sees the same values
     counts = durable(counts)
-    size = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"), F.sum("n").alias("total"))
+    size = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     if not keys:
         counts, size, keys = counts.withColumn("__k", F.lit(0)), size.withColumn("__k", F.lit(0)), ["__k"]
-    drawn = counts.join(size, keys).filter(
-        F.pmod(F.xxhash64(value), F.greatest(F.lit(1), F.floor(F.col("__d") / edges))) == 0
-    )
+    drawn = counts.filter(F.pmod(F.xxhash64(value), F.lit(rows)) == 0)
     cut = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__edges"))
-    d = counts.join(size.drop("__d"), keys).join(cut, keys, "left")
+    d = counts.join(size, keys).join(cut, keys, "left")
     bucket = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value))), F.lit(0))
     d = d.withColumn(BLOCK, bucket.cast("bigint")).drop("__edges")
     d = running(d, Series(tuple(keys), value), {"__cum": ("sum", F.col("n")), **{f"upto_{c}": ("sum", F.col(c)) for c in also}})

@@ -235,9 +235,9 @@ c AS (SELECT event_type, 'duplicate_timestamps' AS "check", '*' AS variable, CAS
  UNION ALL SELECT event_type, 'coverage_pct', variable, 100.0 * valid / n, 100.0 * valid / n >= 90 FROM t
  UNION ALL SELECT event_type, 'missing_pct', variable, 100.0 * (n - valid) / n, 100.0 * (n - valid) / n <= 10 FROM t
  UNION ALL SELECT event_type, 'lowest', variable, lo, lo >= a FROM t UNION ALL SELECT event_type, 'highest', variable, hi, hi <= b FROM t
- UNION ALL SELECT event_type, 'constant', variable, nd, NOT (nd = 1 AND valid > 100) FROM t UNION ALL SELECT event_type, 'near_constant', variable, nd, NOT (nd < 3 AND valid > 1000) FROM t
+ UNION ALL SELECT event_type, 'constant', variable, nd, nd <> 1 FROM t UNION ALL SELECT event_type, 'near_constant', variable, nd, nd >= 3 FROM t
  UNION ALL SELECT event_type, 'all_zero', variable, zeros, NOT (zeros = valid AND valid > 0) FROM t
- UNION ALL SELECT event_type, 'six_sigma_pct', variable, 100.0 * far / valid, valid <= 30 OR 100.0 * far / valid <= 1 FROM t)
+ UNION ALL SELECT event_type, 'six_sigma_pct', variable, 100.0 * far / valid, coalesce(100.0 * far / valid <= 1, true) FROM t)
 """
 
 

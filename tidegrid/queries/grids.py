@@ -221,9 +221,7 @@ def d08(spark, sf):
 @query("d09_index_intersection", f"""
 WITH {PLANT_SQL} SELECT ts, tm, tout FROM plant WHERE tm IS NOT NULL AND tout IS NOT NULL""")
 def d09(spark, sf):
-    d = plant(spark, sf)
-    a, b = d.select("ts", "tm").dropna(), d.select("ts", "tout").dropna()
-    return a.join(b, "ts")
+    return joins.common_index(plant(spark, sf), "ts", ["tm", "tout"])
 
 
 @query("d10_holiday_mask", """

@@ -45,7 +45,7 @@ def g02_flags(spark, sf):
 
 REGIME = """e AS (SELECT event_type, quantile_cont(k, 0.2) AS e1, quantile_cont(k, 0.4) AS e2, quantile_cont(k, 0.6) AS e3, quantile_cont(k, 0.8) AS e4 FROM half GROUP BY 1),
 g AS (SELECT event_type, ts, v, k, CASE WHEN k IS NOT NULL THEN CAST(k > e1 AS INT) + CAST(k > e2 AS INT) + CAST(k > e3 AS INT) + CAST(k > e4 AS INT) END AS regime FROM half JOIN e USING (event_type)),
-rb AS (SELECT event_type, regime, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM g WHERE regime IS NOT NULL GROUP BY 1, 2 HAVING count(v) >= 4)"""
+rb AS (SELECT event_type, regime, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM g WHERE regime IS NOT NULL GROUP BY 1, 2)"""
 
 
 @query("g03_regime_iqr", f"""

@@ -50,12 +50,12 @@ def j02(spark, sf):
 
 
 @query("j03_kendall", f"""
-WITH {PLANT_SQL}, {_xy(list(combinations(ALL[:3], 2)))}, i AS (SELECT *, row_number() OVER (PARTITION BY variable_1, variable_2 ORDER BY x, y) AS id FROM xy),
+WITH {PLANT_SQL}, {_xy(PAIRS)}, i AS (SELECT *, row_number() OVER (PARTITION BY variable_1, variable_2 ORDER BY x, y) AS id FROM xy),
 s AS (SELECT a.variable_1, a.variable_2, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, count(*) FILTER (a.x <> b.x) AS tx, count(*) FILTER (a.y <> b.y) AS ty
  FROM i a JOIN i b ON a.variable_1 = b.variable_1 AND a.variable_2 = b.variable_2 AND a.id < b.id GROUP BY 1, 2), n AS (SELECT variable_1, variable_2, count(*) AS n FROM xy GROUP BY 1, 2)
 SELECT variable_1, variable_2, round(s / (sqrt(tx) * sqrt(ty)), 8) AS r, n FROM s JOIN n USING (variable_1, variable_2)""", digits=8)
 def j03(spark, sf):
-    return correlate.kendall_pairs(staged(plant(spark, sf)), [], ALL[:3])
+    return correlate.kendall_pairs(staged(plant(spark, sf)), [], ALL)
 
 
 @query("j04_p_values", f"WITH {PV} SELECT variable_1, variable_2, round(r, 6) AS r, n, round(p, 6) AS p_value FROM pv")
@@ -81,7 +81,7 @@ def j06(spark, sf):
 # names that trigger the tautology rules
 NAMES = {"tm": "thermal_load", "tr": "cooling_load", "tc": "temp_lag_1", "tout": "temp_lag_2", "fan": "delta_t"}
 _NM = "CASE {v} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in NAMES.items()) + " END"
-REPORT = f"{PV}, rp AS (SELECT {_NM.format(v='variable_1')} AS variable_1, {_NM.format(v='variable_2')} AS variable_2, r, n, p, abs(r) AS abs_r, (variable_1 = 'tm' AND variable_2 = 'tr') AS is_tautology, p <= 0.3 AS is_significant FROM pv)"
+REPORT = f"{PV}, rp AS (SELECT {_NM.format(v='variable_1')} AS variable_1, {_NM.format(v='variable_2')} AS variable_2, r, n, p, abs(r) AS abs_r, (variable_1 || variable_2 IN ('tmtr', 'tctout')) AS is_tautology, p <= 0.3 AS is_significant FROM pv)"
 
 
 def report(spark, sf):
@@ -212,7 +212,7 @@ def j16(spark, sf):
 
 @query("j17_forest_importance")
 def j17(spark, sf):
-    return importance.forest_importance(staged(plant(spark, sf)), ["tm", "tr", "tc", "fan"], "tout", trees=20, depth=5)
+    return importance.forest_importance(staged(plant(spark, sf)), ["tm", "tr", "tc", "fan"], "tout")
 
 
 COMP = f"""{FSTAT}, {BEST}, {MI}, rp AS (SELECT fs.*, max_abs_corr, best_target, mutual_info, 0.3 * max_abs_corr + 0.35 * mutual_info / max(mutual_info) OVER () AS composite_score FROM fs JOIN bt USING (feature) JOIN mi USING (feature)),

@@ -72,12 +72,11 @@ def _cstd(c, n, alias):
 
 
 @query("k05_flatline_rows", f"""
-WITH {FULL_SQL}, c AS (SELECT *, {_cstd('k', 4, 'sk')}, {_cstd('v', 4, 'sv')} FROM full_), f AS (SELECT *, coalesce(sk < 15, false) AS fk, coalesce(sv < 3, false) AS fv FROM c),
-n AS (SELECT event_type, count(*) FILTER (fk) > 24 AS gk, count(*) FILTER (fv) > 24 AS gv FROM f GROUP BY 1) SELECT event_type, ts, (fk AND gk) OR (fv AND gv) AS is_flat FROM f JOIN n USING (event_type)""")
+WITH {FULL_SQL}, c AS (SELECT *, {_cstd('k', 4, 'sk')}, {_cstd('v', 4, 'sv')} FROM full_), f AS (SELECT *, coalesce(sk < 15, false) AS fk, coalesce(sv < 3, false) AS fv FROM c) SELECT event_type, ts, fk OR fv AS is_flat FROM f""")
 def k05(spark, sf):
     d = staged(full(spark, sf))
-    a = sequence.flat_rows(d, HALF, ["k"], 4, 15.0, 24, "fk")
-    return sequence.flat_rows(a, HALF, ["v"], 4, 3.0, 24, "fv").select("event_type", "ts", (F.col("fk") | F.col("fv")).alias("is_flat"))
+    a = sequence.flat_rows(d, HALF, ["k"], 4, 15.0, out="fk")
+    return sequence.flat_rows(a, HALF, ["v"], 4, 3.0, out="fv").select("event_type", "ts", (F.col("fk") | F.col("fv")).alias("is_flat"))
 
 
 def _train(spark, sf):
@@ -131,8 +130,7 @@ def k09(spark, sf):
 
 
 @query("k10_interpolated_mask", f"""
-WITH {FULL_SQL}, c AS (SELECT *, {_cstd('v', 6, 'sv')} FROM full_), f AS (SELECT *, coalesce(sv < 12, false) AS fv FROM c), n AS (SELECT event_type, count(*) FILTER (fv) > 100 AS g FROM f GROUP BY 1)
-SELECT event_type, ts, fv AND g AS is_filled FROM f JOIN n USING (event_type)""")
+WITH {FULL_SQL}, c AS (SELECT *, {_cstd('v', 6, 'sv')} FROM full_), f AS (SELECT *, coalesce(sv < 12, false) AS fv FROM c) SELECT event_type, ts, fv AS is_filled FROM f""")
 def k10(spark, sf):
     return sequence.interpolated_rows(staged(full(spark, sf)), HALF, [], ["v"], 6, 12.0).select("event_type", "ts", "is_filled")
 
@@ -146,8 +144,7 @@ def k11(spark, sf):
 
 
 @query("k12_high_variance", f"""
-WITH {FULL_SQL}, c AS (SELECT *, {_cstd('v', 12, 'sv')} FROM full_), g AS (SELECT event_type, stddev_samp(v) AS sg FROM full_ GROUP BY 1), f AS (SELECT *, coalesce(sv > 1.5 * sg, false) AS fv FROM c JOIN g USING (event_type)),
-n AS (SELECT event_type, count(*) FILTER (fv) > 50 AS g FROM f GROUP BY 1) SELECT event_type, ts, fv AND g AS is_noisy FROM f JOIN n USING (event_type)""")
+WITH {FULL_SQL}, c AS (SELECT *, {_cstd('v', 12, 'sv')} FROM full_), g AS (SELECT event_type, stddev_samp(v) AS sg FROM full_ GROUP BY 1), f AS (SELECT *, coalesce(sv > 1.5 * sg, false) AS fv FROM c JOIN g USING (event_type)) SELECT event_type, ts, fv AS is_noisy FROM f""")
 def k12(spark, sf):
     return sequence.high_variance(staged(full(spark, sf)), HALF, ["v"], 12, 1.5).select("event_type", "ts", "is_noisy")
 
@@ -574,13 +571,13 @@ def _features(spark, sf):
 
 @query("m05_random_forest")
 def m05(spark, sf):
-    _, p = forecast.fit_all(_features(spark, sf), ["k", "hour", "dow"], "v", {"forest": forecast.models(trees=10, forest_depth=5)["forest"]})
+    _, p = forecast.fit_all(_features(spark, sf), ["k", "hour", "dow"], "v", {"forest": forecast.models()["forest"]})
     return forecast.evaluate(p)
 
 
 @query("m06_gradient_boosting")
 def m06(spark, sf):
-    _, p = forecast.fit_all(_features(spark, sf), ["k", "hour", "dow"], "v", {"boosting": forecast.models(rounds=5, boost_depth=3)["boosting"]})
+    _, p = forecast.fit_all(_features(spark, sf), ["k", "hour", "dow"], "v", {"boosting": forecast.models()["boosting"]})
     return forecast.evaluate(p)
 
 
@@ -611,11 +608,11 @@ def m09(spark, sf):
 def m10(spark, sf):
     feats = ["k", "hour", "dow"]
     d = _features(spark, sf)
-    fitted, _ = forecast.fit_all(d, feats, "v", {"forest": forecast.models(trees=10, forest_depth=5)["forest"]})
+    fitted, _ = forecast.fit_all(d, feats, "v", {"forest": forecast.models()["forest"]})
     return forecast.importances(fitted, d, feats)
 
 
 @query("m11_window_model_search")
 def m11(spark, sf):
     d = sequence.split_by_week(staged(half(spark, sf)), HALF)
-    return forecast.search(d, HALF, COLS, STEP, (2, 4), (2, 6))
+    return forecast.search(d, HALF, COLS, STEP)

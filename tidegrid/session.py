@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
+#: Stage tables written by this process and not removed yet.
+_STAGES: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only when the session names none (tests, local runs)."""
+    """The folder named by ``spark.checkpoint.dir`` or set as the checkpoint folder; a fresh local one only where the master is local."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidegrid-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -46,7 +53,19 @@ def durable(df: DataFrame) -> DataFrame:
 
     Cuts lineage like a reliable checkpoint and survives lost executors, and as a
     columnar table it keeps column pruning and exact sizes for later joins.
+    ``remove_stages`` deletes the tables once the results that read them are stored.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
+    _STAGES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_stages(spark: SparkSession) -> int:
+    """Delete all stage tables that this process wrote, and return their number. Results that are not stored yet can't be read afterwards."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    n = len(_STAGES)
+    while _STAGES:
+        path = hadoop.Path(_STAGES.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -12,23 +12,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.plans.blocks import running
+from tidegrid.plans.series import BLOCK, Series
+from tidegrid.session import durable
+
 # Separators by priority, the default, and the rule for the semicolon.
 SEPARATORS = (",", "\t", "|")
 DEFAULT_SEPARATOR = ","
 HEAD_LINES = 5
-BOM = "﻿"
+BOM = "\ufeff"
+
 
+def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``file, pos, value``: lines in file order (``pos`` orders lines inside a file).
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """``file, pos, value``: lines in file order (``pos`` orders lines inside a file)."""
-    df = spark.read.option("encoding", encoding).text(paths)
-    df = df.select(
+    A file whose lines are all valid UTF-8 is read so, any other one as Latin-1. Lines are stored, for they are read again.
+    """
+    df = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("__at"),
-        F.monotonically_increasing_id().alias("__id"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id")).alias("pos"),
         "value",
+        # the reader hands the bytes on as they are
+        F.is_valid_utf8("value").alias("valid"),
     )
-    return df.select("file", F.struct("__at", "__id").alias("pos"), "value")
+    df = durable(df)
+    good = durable(df.groupBy("file").agg(F.bool_and("valid").alias("utf8")))
+    return df.join(good, "file").select("file", "pos", F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).alias("value"))
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """Lines joined where a quoted field holds line ends: a record begins where the quotes before it are even in number."""
+    s = Series(("file",), "pos")
+    quotes = _count(F.col("value"), '"')
+    d = lines.withColumn(BLOCK, F.col("pos.at"))
+    d = running(d, s, {"__q": ("sum", quotes)}, keep_block=True)
+    begins = ((F.col("__q") - quotes) % 2 == 0).cast("int")
+    d = running(d, s, {"__record": ("sum", begins)})
+    parts = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    return d.groupBy("file", "__record").agg(parts.alias("p")).select("file", F.col("p")[0]["pos"].alias("pos"), F.array_join(F.col("p.value"), "\n").alias("value"))
 
 
 def _count(c: Column, sep: str) -> Column:
@@ -36,7 +57,7 @@ def _count(c: Column, sep: str) -> Column:
 
 
 def sniff(lines: DataFrame) -> DataFrame:
-    """``file, sep, skip, header``: one row per file from its first lines."""
+    """``file, sep, skip, header, header_pos``: one row per file from its first lines."""
     w = Window.partitionBy("file").orderBy("pos")
     head = lines.withColumn("value", F.ltrim(F.replace("value", F.lit(BOM), F.lit(""))))
     # the rank filter is pushed below the shuffle, so each task sends a few lines per file
@@ -47,8 +68,7 @@ def sniff(lines: DataFrame) -> DataFrame:
         hint.alias("hint"),
         F.min(F.when(first, _count(F.col("value"), ";"))).alias("semi"),
         *[F.min(F.when(first, _count(F.col("value"), s))).alias(f"n{i}") for i, s in enumerate(SEPARATORS)],
-        F.max(F.when(F.col("rn") == 1, F.col("value"))).alias("l1"),
-        F.max(F.when(F.col("rn") == 2, F.col("value"))).alias("l2"),
+        *[F.max(F.when(F.col("rn") == k, F.struct("value", "pos"))).alias(f"l{k}") for k in (1, 2)],
     )
     best = F.greatest(*[F.col(f"n{i}") for i in range(len(SEPARATORS))])
     pick = F.when(F.col("semi") > 2, ";")
@@ -59,31 +79,41 @@ def sniff(lines: DataFrame) -> DataFrame:
         "file",
         F.coalesce("hint", pick.otherwise(DEFAULT_SEPARATOR)).alias("sep"),
         hinted.cast("int").alias("skip"),
-        F.when(hinted, F.col("l2")).otherwise(F.col("l1")).alias("header"),
+        F.when(hinted, F.col("l2.value")).otherwise(F.col("l1.value")).alias("header"),
+        F.when(hinted, F.col("l2.pos")).otherwise(F.col("l1.pos")).alias("header_pos"),
+    )
+
+
+def _fields(value: Column, sep: Column) -> Column:
+    """Trimmed fields of a record; quotes around a field go, doubled ones inside become single."""
+    exact = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
+    pattern = F.concat(exact, F.lit('(?:\\s*"(?:[^"]|"")*+"[^'), exact, F.lit("]*|[^"), exact, F.lit("]*)"))
+    quoted = F.transform(
+        F.regexp_extract_all(F.concat(sep, value), pattern, F.lit(0)),
+        lambda m: F.replace(F.regexp_replace(F.trim(F.substring(m, 2, 1 << 30)), '^"|"$', ""), F.lit('""'), F.lit('"')),
     )
+    plain = F.transform(F.split(value, exact), lambda x: F.trim(x))
+    return F.when(F.contains(value, F.lit('"')), quoted).otherwise(plain)
 
 
 def parse(lines: DataFrame, dialects: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fields as trimmed STRING columns in the given order, header and hint lines removed."""
-    d = lines.withColumn("value", F.ltrim(F.replace("value", F.lit(BOM), F.lit("")))).join(dialects, "file")
-    d = d.filter(~F.lower("value").startswith("sep=") & (F.col("value") != F.col("header")) & (F.trim("value") != ""))
-    n = len(columns)
-    schema = ", ".join(f"c{i} string" for i in range(n))
-    quoted = F.contains("value", F.lit('"'))
-    rec = F
-    for sep in (DEFAULT_SEPARATOR, ";", "\t", "|"):
-        # the CSV parser only where quotes need it
-        plain = F.transform(F.array(F.split("value", f"\\Q{sep}\\E")), lambda a: F.struct(*[F.get(a, F.lit(i)).alias(f"c{i}") for i in range(n)]))
-        full = F.array(F.from_csv("value", schema, {"sep": sep, "quote": '"'}))
-        rec = rec.when((F.col("sep") == sep) & ~quoted, plain).when(F.col("sep") == sep, full)
-    # inline: one parse per line, whatever the number of columns read from it
-    d = d.select("file", "pos", F.inline(rec))
-    return d.select("file", "pos", *[F.nullif(F.trim(f"c{i}"), F.lit("")).alias(c) for i, c in enumerate(columns)])
-
-
-def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """Read exports of mixed dialects into STRING columns named by ``columns``."""
-    lines = read_lines(spark, paths, encoding)
+    """Fields as trimmed STRING columns found by header name, NULL where a file has no such column.
+
+    The hint and header lines go by their position, empty lines by their content. Column names are compared after trimming.
+    """
+    d = dialects.withColumn("__names", _fields(F.col("header"), F.col("sep")))
+    d = d.withColumns({f"__p{i}": F.array_position("__names", F.lit(c)).cast("int") for i, c in enumerate(columns)})
+    # one row a file, stored: its exact size decides whether it is broadcast
+    d = durable(d.select("file", "sep", "header_pos", *[f"__p{i}" for i in range(len(columns))]))
+    d = lines.join(d, "file").filter((F.col("pos") > F.col("header_pos")) & (F.trim("value") != ""))
+    d = d.withColumn("__f", _fields(F.col("value"), F.col("sep")))
+    field = lambda i: F.when(F.col(f"__p{i}") > 0, F.get("__f", F.col(f"__p{i}") - 1))
+    return d.select("file", "pos", *[F.nullif(field(i), F.lit("")).alias(c) for i, c in enumerate(columns)])
+
+
+def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Read exports of mixed dialects and encodings into the STRING columns named by ``columns``."""
+    lines = durable(whole_records(read_lines(spark, paths)))
     return parse(lines, sniff(lines), columns)
 
 
