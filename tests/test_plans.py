@@ -63,7 +63,7 @@ def test_runs(spark, regular):
     np.testing.assert_array_equal(ep.end_time, e["max"])
     np.testing.assert_array_equal(ep.n_rows, e["count"])
     n = 4
-    kept = blocks.rolling(sdf, s, n - 1, n - 1, lambda w: {"p": blocks.run_at_least(F.col("v") > -0.8, n, w)}, rows=5)
+    kept = blocks.rolling(sdf, s, n - 1, n - 1, *blocks.run_stages(s, {"p": (F.col("v") > -0.8, n)}), rows=5)
     kept = kept.toPandas().sort_values(["k", "ts"])
     size = exp.groupby(["k", "run"]).f.transform("size")
     np.testing.assert_array_equal(kept.p, exp.f & (size >= n))

@@ -1,12 +1,9 @@
-"""Streaming forms agree with the batch operators."""
+"""The streaming form agrees with the batch operator."""
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidegrid.operators import anomaly
-from tidegrid.operators.anomaly import Detection
-from tidegrid.plans.series import Series
 from tidegrid.streaming import monitor
 
 
@@ -17,25 +14,6 @@ def run(df, name, mode="append"):
     return df.sparkSession.table(name)
 
 
-def test_threshold_stream_matches_batch(spark, tmp_path):
-    r = np.random.default_rng(5)
-    n = 200
-    pdf = pd.DataFrame({"k": np.repeat(["a", "b"], n), "ts": np.tile(pd.date_range("2024-01-01", periods=n, freq="30min"), 2), "score": r.gamma(2, 10, 2 * n)})
-    pdf = pdf.drop(index=range(50, 60))
-    d = spark.createDataFrame(pdf)
-    for i, (lo, hi) in enumerate((("2024-01-01", "2024-01-03"), ("2024-01-03", "2025-01-01"))):
-        d.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part={i}"))
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
-    p = Detection(grace=5)
-    got = run(monitor.threshold_stream(stream, "k", "ts", "score", 30.0, 12.0, p), "thr").toPandas().sort_values(["k", "ts"])
-    s = Series(("k",), "ts")
-    anchor = spark.createDataFrame([("a", 30.0, 12.0), ("b", 30.0, 12.0)], "k string, anchor double, train_std double")
-    batch = anomaly.flag_scores(anomaly.dynamic_threshold(d, s, anchor, "score", p.span, p.k, p.reset_hours), s, "score", "threshold", p.grace)
-    exp = batch.toPandas().sort_values(["k", "ts"])
-    np.testing.assert_allclose(got.threshold, exp.threshold, rtol=1e-9)
-    np.testing.assert_array_equal(got.flag, exp.flag)
-
-
 def test_resample_stream(spark, tmp_path):
     pdf = pd.DataFrame({"k": "a", "ts": pd.date_range("2024-01-01", periods=60, freq="10min"), "v": np.arange(60.0)})
     d = spark.createDataFrame(pdf)

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from tidegrid.functions.columns import as_col, false_if_null, ratio
 from tidegrid.operators.features import EWM_SCRATCH, ewm_block_rows, ewm_columns, ewm_reach
 from tidegrid.operators.joins import values_one_period_back
-from tidegrid.plans.blocks import POSITION, positions, rolling, run_at_least
+from tidegrid.plans.blocks import POSITION, positions, rolling, run_stages
 from tidegrid.plans.quantiles import VALUE, long_quantiles, melt
 from tidegrid.plans.series import BLOCK, MICROS, Series, attach, micros
 
@@ -58,6 +58,10 @@ class Reconstruction:
     mean: np.ndarray
     directions: np.ndarray
 
+    def first(self, k: int) -> "Reconstruction":
+        """The model of the ``k`` strongest directions."""
+        return Reconstruction(self.mean, self.directions[:, :k])
+
     def apply(self, df: DataFrame, window: str = "window", out: str = "rebuilt") -> DataFrame:
         mean, p = self.mean, self.directions
 
@@ -71,9 +75,11 @@ class Reconstruction:
         return df.withColumn(out, rebuild(window))
 
 
-def fit_reconstruction(train: DataFrame, k: int, size: int, window: str = "window") -> Reconstruction:
-    """Fit on clean training windows; only sums over the data are moved, never windows."""
+def fit_reconstruction(train: DataFrame, k: int, size: int, window: str = "window") -> Reconstruction | None:
+    """Fit on clean training windows; only sums over the data are moved, never windows. None without windows."""
     means = train.agg(*[F.avg(F.get(window, i)).alias(f"m{i}") for i in range(size)]).first()
+    if means[0] is None:
+        return None
     mean = np.array([float(v) for v in means])
     centred = train.select(F.array(*[F.get(window, i) - F.lit(float(mean[i])) for i in range(size)]).alias("x"))
     vec = centred.select(array_to_vector("x").alias("x"))
@@ -173,7 +179,7 @@ def flag_scores(df: DataFrame, s: Series, score: str = "smoothed", threshold: st
 def persistent(df: DataFrame, s: Series, flags: dict[str, tuple[str, int]]) -> DataFrame:
     """``{out: (flag, n)}``: keep flags in runs of at least ``n`` rows."""
     reach = max(n for _, n in flags.values()) - 1
-    return rolling(df, s, reach, reach, lambda w: {o: run_at_least(F.col(f), n, w) for o, (f, n) in flags.items()})
+    return rolling(df, s, reach, reach, *run_stages(s, {o: (F.col(f), n) for o, (f, n) in flags.items()}))
 
 
 def split_rates(df: DataFrame, s: Series, anchor: DataFrame, split: str = "split", p: Detection = Detection(), score: str = "score") -> DataFrame:

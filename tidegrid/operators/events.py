@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.columns import false_if_null
 from tidegrid.operators.joins import in_set, near_boundary
-from tidegrid.plans.blocks import bridge, episodes, positions, rolling, run_at_least, running
+from tidegrid.plans.blocks import bridge, episodes, positions, rolling, run_stages, running
 from tidegrid.plans.series import MICROS, Series, micros
 
 # Order of severities, weights of the candidate score, shortest step in hours.
@@ -39,7 +39,7 @@ def event_rows(df: DataFrame, s: Series, flag: str, step_h: float, min_len: int
     d = rolling(
         df.withColumn("__f", false_if_null(F.col(flag))), s, reach + merge_rows + 1, reach,
         lambda w: {"__b": bridge(F.col("__f"), bridge_len, w)},
-        lambda w: {"__k": run_at_least(F.col("__b"), min_len, w)},
+        *run_stages(s, {"__k": (F.col("__b"), min_len)}),
         earlier, keep_block=True,
     )
     near = false_if_null(at - F.col("__p.t") <= int(merge_hours * 3600 * MICROS))

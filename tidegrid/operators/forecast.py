@@ -105,8 +105,8 @@ def importances(fitted: dict, df: DataFrame, features: Sequence[str]) -> DataFra
 def search(df: DataFrame, s: Series, columns: Sequence[str], step_s: int, lengths: Sequence[int] = LENGTHS, sizes: Sequence[int] = BOTTLENECKS, split: str = "split") -> DataFrame:
     """Validation error of the linear autoencoder over window lengths and bottlenecks, best first.
 
-    Windows are prepared once per length and kept for all bottlenecks; a
-    bottleneck must be smaller than the window.
+    Windows are prepared once per length and fitted once for the largest bottleneck: the directions of a smaller one are its
+    first. A bottleneck must be smaller than the window; a length without training windows has NULL errors.
     """
     ks = Series((*s.keys, split), s.ts, s.step, s.tie, s.span)
     rows = None
@@ -114,10 +114,12 @@ def search(df: DataFrame, s: Series, columns: Sequence[str], step_s: int, length
         size = n * len(columns)
         windows = durable(sliding_windows(df, ks, columns, n, step_s))
         train, val = windows.filter(F.col(split) == "train"), windows.filter(F.col(split) == "val")
-        for k in (k for k in sizes if k < size):
-            model = fit_reconstruction(train, k, size)
-            scored = model.apply(val).withColumn("score", window_score("window", "rebuilt"))
+        own = sorted(k for k in sizes if k < size)
+        model = fit_reconstruction(train, own[-1], size) if own else None
+        for k in own:
+            scored = val.withColumn("rebuilt", F.lit(None).cast("array<double>")) if model is None else model.first(k).apply(val)
+            scored = scored.withColumn("score", window_score("window", "rebuilt"))
             r = scored.groupBy().agg(F.avg("score").alias("val_mae"), F.count(F.lit(1)).alias("n_windows"))
             r = r.select(F.lit(n).alias("length"), F.lit(k).alias("bottleneck"), "val_mae", "n_windows")
             rows = r if rows is None else rows.unionByName(r)
-    return rows.orderBy("val_mae", "length", "bottleneck")
+    return rows.orderBy(F.col("val_mae").asc_nulls_last(), "length", "bottleneck")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.columns import ladder, ladder_above, ratio
-from tidegrid.plans.blocks import episodes, rolling, run_at_least, run_starts
+from tidegrid.plans.blocks import episodes, rolling, run_stages, run_starts
 from tidegrid.plans.quantiles import VALUE, VARIABLE, melt
 from tidegrid.plans.series import MICROS, Series, attach, micros
 
@@ -146,8 +146,8 @@ def shutdown_flag(df: DataFrame, s: Series, columns: Sequence[str], fraction: fl
     d, off = _shutdown_rows(df, columns, fraction)
     if s.step:
         n = ceil(min_hours * 3600 / s.step) + 1
-        d = rolling(d, s, n - 1, n - 1, lambda w: {out: run_at_least(off, n, w).cast("int")})
-        return d.drop("__nulls")
+        d = rolling(d, s, n - 1, n - 1, *run_stages(s, {out: (off, n)}))
+        return d.withColumn(out, F.col(out).cast("int")).drop("__nulls")
     runs = run_starts(d, s, off, "__run")
     keep = runs.groupBy(*s.keys, "__run").agg(F.max(s.ts).alias("__end"))
     keep = keep.filter(hours("__run", "__end") >= min_hours).select(*s.keys, "__run", F.lit(1).alias(out))
@@ -219,7 +219,7 @@ def boundary_rows(df: DataFrame, s: Series, columns: Sequence[str], max_gap_s: f
 
 def long_null_runs(df: DataFrame, s: Series, columns: Sequence[str], limit: int, suffix: str = "_long_gap") -> DataFrame:
     """Per column: whether the row lies in a NULL run of at least ``limit`` rows."""
-    return rolling(df, s, limit - 1, limit - 1, lambda w: {f"{c}{suffix}": run_at_least(F.isnull(c), limit, w) for c in columns})
+    return rolling(df, s, limit - 1, limit - 1, *run_stages(s, {f"{c}{suffix}": (F.isnull(c), limit) for c in columns}))
 
 
 def removed_episodes(removed: Mapping[str, DataFrame], s: Series, step_s: int) -> DataFrame:

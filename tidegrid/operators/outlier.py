@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.columns import as_col, false_if_null, ratio
 from tidegrid.operators.missing import long_series
-from tidegrid.plans.blocks import rolling, run_at_least
+from tidegrid.plans.blocks import rolling, run_stages
 from tidegrid.plans.quantiles import VALUE, VARIABLE, exact_quantiles, long_quantiles, melt
 from tidegrid.plans.series import Series, attach
 from tidegrid.session import durable
@@ -156,7 +156,7 @@ def stuck(df: DataFrame, s: Series, columns: Sequence[str], rows: int = 10, tole
     flat = lambda w: {"__flat": false_if_null(F.abs(F.col(VALUE) - F.lag(VALUE).over(w)) <= tolerance)}
     return rolling(
         long.filter(F.col(VALUE).isNotNull()), ls.with_step(None), rows, rows - 1, flat,
-        lambda w: {"stuck": run_at_least(F.col("__flat"), rows, w)},
+        *run_stages(ls, {"stuck": (F.col("__flat"), rows)}),
     ).drop("__flat")
 
 
@@ -186,14 +186,11 @@ def flag_table(df: DataFrame, s: Series, rules: Mapping[str, Rules]) -> DataFram
     k = per(lambda r: r.spike_k)
 
     def local(w):
-        return {
-            **{f"__std{n}": F.stddev_samp("__d").over(w.rowsBetween(-(n - 1), 0)) for n in windows},
-            **{f"__stuck{n}": run_at_least(F.col("__flat"), n, w) for n in stuck_rows},
-        }
+        return {f"__std{n}": F.stddev_samp("__d").over(w.rowsBetween(-(n - 1), 0)) for n in windows}
 
     d = rolling(
         known, ls.with_step(None), reach, max([0, *[n - 1 for n in stuck_rows]]), _change,
-        lambda w: {"__flat": false_if_null(F.col("__d") <= tol)}, local,
+        lambda w: {"__flat": false_if_null(F.col("__d") <= tol)}, local, *run_stages(ls, {f"__stuck{n}": (F.col("__flat"), n) for n in stuck_rows}),
     )
     # read by the statistics, the fences and the flags
     d = durable(d)

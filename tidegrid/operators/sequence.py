@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.columns import false_if_null
 from tidegrid.operators.outlier import beyond, iqr_bounds
 from tidegrid.operators.profiles import centred
-from tidegrid.plans.blocks import rolling, run_at_least
+from tidegrid.plans.blocks import rolling, run_stages
 from tidegrid.plans.quantiles import VALUE, VARIABLE, exact_quantiles, long_quantiles, melt
 from tidegrid.plans.series import MICROS, Series, attach, micros
 from tidegrid.session import durable
@@ -167,7 +167,7 @@ def long_flat_runs(df: DataFrame, s: Series, columns: Sequence[str], rows: int =
     d = rolling(
         df, s, before + rows - 1, after + rows - 1,
         lambda w: {f"__f_{c}": false_if_null(_centred_std(c, w, rows) < std) for c in columns},
-        lambda w: {f"__lf_{c}": run_at_least(F.col(f"__f_{c}"), rows, w) for c in columns},
+        *run_stages(s, {f"__lf_{c}": (F.col(f"__f_{c}"), rows) for c in columns}),
     ).drop(*[f"__f_{c}" for c in columns])
     return _any(d, flags, out)
 

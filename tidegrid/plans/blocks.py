@@ -31,6 +31,7 @@ from tidegrid.plans.series import (
 )
 
 POSITION = "__position"
+RUN_ROW = "__run_row"
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
 
@@ -84,7 +85,7 @@ def rolling(
     w = s.window()
     for stage in stages:
         d = d.withColumns(dict(stage(w)))
-    d = d.filter(OWNED).drop(OWNED)
+    d = d.filter(OWNED).drop(OWNED, *[c for c in d.columns if c.startswith(RUN_ROW)])
     return d if keep_block else d.drop(BLOCK)
 
 
@@ -197,23 +198,28 @@ def episodes(
     )
 
 
-def run_at_least(flag: Column, n: int, w: WindowSpec) -> Column:
-    """Whether a row lies in a run of ``flag`` of at least ``n`` rows.
+def run_stages(s: Series, flags: Mapping[str, tuple[Column, int]]) -> tuple[Stage, Stage, Stage]:
+    """Stages for ``rolling`` that tell ``{out: (flag, n)}``: whether a row lies in a run of ``flag`` of at least ``n`` rows.
 
-    Only ``n - 1`` rows to each side decide, so the frame is bounded: pass it to
-    ``rolling`` with a reach of ``n - 1``.  ``flag`` must be non-null.
+    Only ``n - 1`` rows to each side decide, so pass that reach. A run is measured by the numbers of the last false row
+    before and the next one after, so the state of a row does not grow with ``n``. Flags must be non-null.
     """
-    if n <= 1:
-        return flag
-    left = _reach(F.reverse(F.collect_list(flag).over(w.rowsBetween(-(n - 1), 0))))
-    right = _reach(F.collect_list(flag).over(w.rowsBetween(0, n - 1)))
-    return flag & (left + right - 1 >= n)
-
-
-def _reach(flags: Column) -> Column:
-    """Number of leading true values of a short array."""
-    at = F.array_position(flags, F.lit(False))
-    return F.when(at > 0, at - 1).otherwise(F.size(flags))
+    part = Window.partitionBy(*s.keys, BLOCK)
+    ahead = part.orderBy(RUN_ROW).rowsBetween(Window.unboundedPreceding, 0)
+    back = part.orderBy(F.desc(RUN_ROW)).rowsBetween(Window.unboundedPreceding, 0)
+
+    def edges(_: WindowSpec) -> dict[str, Column]:
+        out = {}
+        for k, (flag, _n) in enumerate(flags.values()):
+            off = F.when(~flag, F.col(RUN_ROW))
+            out[f"{RUN_ROW}_from_{k}"] = F.coalesce(F.max(off).over(ahead), F.lit(0))
+            out[f"{RUN_ROW}_to_{k}"] = F.coalesce(F.min(off).over(back), F.max(RUN_ROW).over(back) + 1)
+        return out
+
+    def long_enough(_: WindowSpec) -> dict[str, Column]:
+        return {o: flag & (F.col(f"{RUN_ROW}_to_{k}") - F.col(f"{RUN_ROW}_from_{k}") > n) for k, (o, (flag, n)) in enumerate(flags.items())}
+
+    return lambda w: {RUN_ROW: F.row_number().over(w)}, edges, long_enough
 
 
 def bridge(flag: Column, n: int, w: WindowSpec) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import anomaly, events, forecast, joins, missing, sequence
+from tidegrid.operators import anomaly, events, forecast, impute, joins, missing, sequence
 from tidegrid.operators.anomaly import Detection
 from tidegrid.plans.blocks import POSITION, positions
 from tidegrid.plans.series import Series
@@ -614,5 +614,6 @@ def m10(spark, sf):
 
 @query("m11_window_model_search")
 def m11(spark, sf):
-    d = sequence.split_by_week(staged(half(spark, sf)), HALF)
+    d = impute.interpolate_time(staged(half(spark, sf)), HALF, COLS, 8)
+    d = sequence.split_by_week(staged(d.select("event_type", "ts", *COLS)), HALF)
     return forecast.search(d, HALF, COLS, STEP)

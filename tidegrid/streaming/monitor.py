@@ -1,60 +1,14 @@
-"""The resample and the causal threshold on unbounded input."""
+"""The resample on unbounded input."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from math import sqrt
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tidegrid.operators.anomaly import Detection
 
 
 def resample_stream(stream: DataFrame, keys: Sequence[str], ts: str, step_s: int, aggs: Mapping[str, Column], lateness: str = "10 minutes") -> DataFrame:
     """Aggregates per bin; a bin is emitted once the watermark passes its end, later rows are dropped."""
     d = stream.withWatermark(ts, lateness).groupBy(*keys, F.window(ts, f"{step_s} seconds").alias("__w"))
     return d.agg(*[a.alias(n) for n, a in aggs.items()]).select(*keys, F.col("__w.start").alias(ts), *aggs)
-
-
-def threshold_stream(scores: DataFrame, key: str, ts: str, score: str, anchor: float, train_std: float, p: Detection = Detection()) -> DataFrame:
-    """Causal exponential threshold per series with its state kept between batches.
-
-    The state is six numbers per series.  Rows of a batch are taken in time
-    order; rows older than the last one seen are dropped, as a causal threshold
-    cannot take them back.  ``run`` counts consecutive flags, so persistence of
-    ``n`` windows is ``run >= n`` from the ``n``-th window on.
-    """
-    a = 2.0 / (p.span + 1)
-    reset = p.reset_hours * 3600
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, spread, w2, last, run = state.get if state.exists else (0, 0.0, 0.0, 1.0, None, 0)
-        rows = pd.concat(list(frames)).sort_values(ts)
-        out = []
-        for t, x in zip(rows[ts], rows[score]):
-            at = pd.Timestamp(t).timestamp()
-            if last is not None and at <= last:
-                continue
-            if last is None or at - last > reset:
-                threshold, mean, spread, w2 = anchor, x, 0.0, 1.0
-            else:
-                sd = sqrt(spread / (1 - w2)) if w2 < 1 else train_std
-                threshold = mean + p.k * sd
-                d = x - mean
-                mean, spread = mean + a * d, (1 - a) * (spread + a * d * d)
-                w2 = (1 - a) ** 2 * w2 + a * a
-            n += 1
-            flag = bool(x > threshold and n > p.grace)
-            run = run + 1 if flag else 0
-            last = at
-            out.append((k[0], t, float(x), float(threshold), flag, run))
-        state.update((n, float(mean), float(spread), float(w2), last, run))
-        yield pd.DataFrame(out, columns=[key, ts, score, "threshold", "flag", "run"])
-
-    kind = dict(scores.dtypes)
-    schema = f"`{key}` {kind[key]}, `{ts}` {kind[ts]}, `{score}` double, threshold double, flag boolean, run int"
-    state = "n long, mean double, spread double, w2 double, last double, run int"
-    return scores.select(key, ts, score).groupBy(key).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
