@@ -19,6 +19,19 @@ def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of a table as one value, so that columns added beside it never clash with them."""
+    return F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+
+
+def with_text(docs: DataFrame, text: Column, changed: Column) -> Column:
+    """The row with another text where ``changed`` holds; ``n_chars``, if there is one, follows the text."""
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return F.when(changed, row).otherwise(F.col("row")).alias("row")
+
+
 def words_of(text: Column) -> Column:
     """Words between runs of blank, tab, line feed, vertical tab, form feed and carriage return."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))

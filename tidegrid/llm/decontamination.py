@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import as_row
+
 #: Edits allowed as a share of an item's characters.
 RATE = 0.08
 #: Items go to the tasks in blocks of about so many bytes; each block is one pass over the documents.
@@ -141,8 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any benchmark item; all columns are kept, rows are judged one by one by their text."""
-    names = docs.columns
     # texts are found by a digest, for document ids may be missing or repeated
-    d = docs.withColumn("_digest", F.xxhash64(F.col("text")))
-    bad = contaminated(docs.select(F.xxhash64(F.col("text")).alias("doc_id"), "text"), benchmark, rate, block_bytes)
-    return d.join(bad.select(F.col("doc_id").alias("_digest")).distinct(), "_digest", "left_anti").select(*names)
+    own = F.xxhash64("text")
+    bad = contaminated(docs.select(own.alias("doc_id"), "text"), benchmark, rate, block_bytes).select(F.col("doc_id").alias("digest")).distinct()
+    return docs.select(as_row(docs), own.alias("digest")).join(bad, "digest", "left_anti").select("row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import joined, mix, odd_constants, pieces, token_hashes, word_ranges
+from tidegrid.llm.common import as_row, joined, mix, odd_constants, pieces, token_hashes, word_ranges
 from tidegrid.session import durable
 
 WORDS, SIMILARITY = 5, 0.8
@@ -333,10 +333,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY, counted: bool = False) -> DataFrame:
     """One row of each class, that of the least document id (a missing one comes last), with all its columns."""
-    names = docs.columns
     c = classes(docs.select("doc_id", "text"), least, counted)
     best = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest"))
     kept = c.groupBy("label").agg(F.min_by("digest", best()).alias("digest")).select("digest")
-    rows = docs.select(F.struct(*[F.col(n) for n in names]).alias("row"), digest().alias("digest"))
+    rows = docs.select(as_row(docs), digest().alias("digest"))
     rows = rows.groupBy("digest").agg(F.min_by("row", F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"))).alias("row"))
     return rows.join(durable(kept), "digest", "left_semi").select("row.*")

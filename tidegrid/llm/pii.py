@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import text_of
+from tidegrid.llm.common import as_row, text_of, with_text
 from tidegrid.session import durable
 
 #: Kinds of spans in the order of the result; the first four are found by fixed rules, the rest are added by the method.
@@ -213,17 +213,14 @@ def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Other columns are left as they are, except that ``n_chars`` follows a text that changes.
     """
-    names = docs.columns
     if model is None:
         model = fit(durable(docs.select(candidates(text_of()).alias("spans"))))
-    d = docs.withColumn("_spans", candidates(F.col("text")))
-    d = d.withColumn("_spans", F.when(F.size("_spans") > 0, F.array_sort(F.transform(chosen(F.col("_spans"), model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))))
+    d = docs.select(as_row(docs), candidates(F.col("text")).alias("spans"), "text")
+    order = F.array_sort(F.transform(chosen(F.col("spans"), model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    d = d.withColumn("spans", F.when(F.size("spans") > 0, order))
     step = lambda s, c: F.when(c["start"] < s["at"], s).otherwise(
         F.struct(c["end"].alias("at"), F.concat(s["out"], F.col("text").substr(s["at"] + 1, c["start"] - s["at"]), F.lit("<"), c["kind"], F.lit(">")).alias("out"))
     )
-    made = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
-    d = d.withColumn("_made", F.when(F.size("_spans") > 0, made))
-    d = d.withColumn("text", F.coalesce("_made", "text"))
-    if "n_chars" in names:
-        d = d.withColumn("n_chars", F.when(F.col("_made").isNotNull(), F.length("_made").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*names)
+    made = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
+    d = d.withColumn("made", F.when(F.size("spans") > 0, made))
+    return d.select(with_text(docs, F.col("made"), F.col("made").isNotNull())).select("row.*")

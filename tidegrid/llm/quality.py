@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import text_of, words_of
+from tidegrid.llm.common import as_row, text_of, with_text, words_of
 from tidegrid.session import durable
 
 #: A line above this many distinct texts of a host is removed there.
@@ -129,12 +129,8 @@ def cleaned(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED) ->
 
     Only documents that change are looked up by their digest; a missing text counts as an empty one and is rejected.
     """
-    names = docs.columns
-    changed = judged(docs, limit, depleted).filter(~F.col("kept") | (F.size("removed") > 0)).groupBy("digest").agg(F.first("kept").alias("_kept"), F.first("removed").alias("_removed"))
-    d = docs.withColumn("_digest", digest()).join(durable(changed).withColumnRenamed("digest", "_digest"), "_digest", "left")
-    d = d.filter(F.coalesce(F.col("_kept"), F.lit(True)))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_removed", F.xxhash64(normalised(x))), F.lit(False))), "\n")
-    d = d.withColumn("text", F.when(F.size("_removed") > 0, left).otherwise(F.col("text")))
-    if "n_chars" in names:
-        d = d.withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*names)
+    changed = judged(docs, limit, depleted).filter(~F.col("kept") | (F.size("removed") > 0)).groupBy("digest").agg(F.first("kept").alias("kept"), F.first("removed").alias("removed"))
+    d = docs.select(as_row(docs), digest().alias("digest")).join(durable(changed), "digest", "left")
+    d = d.filter(F.coalesce(F.col("kept"), F.lit(True)))
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x)))), "\n")
+    return d.select(with_text(docs, left, F.size("removed") > 0)).select("row.*")

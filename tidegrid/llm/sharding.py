@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegrid.llm.common import as_row
 from tidegrid.session import durable
 
 #: Modulus of the per-shard hash; products of two residues fit a signed long.
@@ -56,8 +57,8 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard"
     A shard of twice the weight wins twice as many keys; one of weight 0 wins none. A draw depends on the key and on that
     shard alone, so a new shard only takes keys into itself, and a removed one only gives its own away.
     """
-    d = df.withColumn("_res", _residue_column(key))
-    return d.withColumn(out, winner(_residues("_res"), checked(weights))["shard"]).drop("_res")
+    d = df.select(as_row(df), _residue_column(key).alias("res"))
+    return d.select("row.*", winner(_residues("res"), checked(weights))["shard"].alias(out))
 
 
 def with_slots(df: DataFrame, group: str, order: Column, out: str = "slot") -> DataFrame:
