@@ -196,26 +196,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def open_members(members: DataFrame, labels: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
-    """Members of buckets of three and more rows that hold several components, in blocks of about BLOCK rows.
+    """Members of buckets of three and more rows that hold several components, as (bucket, i, j, uid, label, side, sketch).
 
-    Columns: bucket, i, j, uid, label, own, sketch; a task compares the rows of block i with those of block j. With
-    ``whole`` all pairs of blocks are made, otherwise only each block with itself.
+    Without ``whole`` each block of about BLOCK rows is compared with itself (side 2). With it, rows outside the bucket's
+    largest component (side 0, in blocks i) are compared with all its rows (side 1, in blocks j); a bucket that is one
+    large component and a few other rows thus costs about its own size.
     """
     m = members.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("label", "uid").alias("label"))
-    left = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 2 AND lo <> hi")
-    m = m.join(left.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    m = m.withColumn("own", F.pmod(F.xxhash64("uid", "bucket"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if whole else F.col("own"))
-    return m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "label", "own").join(sketches, "uid")
+    sizes = m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    left = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("n > 2 AND parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    left = left.select("bucket", F.col("top.label").alias("top"), blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("top.n")).alias("others"))
+    m = m.join(left, "bucket")
+    block = lambda n: F.pmod(F.xxhash64("uid", "bucket"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    if whole:
+        one = m.filter("label <> top").select("bucket", block("others").alias("i"), F.explode(every("rows")).alias("j"), "uid", "label", F.lit(0).alias("side"))
+        m = one.unionByName(m.select("bucket", F.explode(every("others")).alias("i"), block("rows").alias("j"), "uid", "label", F.lit(1).alias("side")))
+    else:
+        m = m.select("bucket", block("rows").alias("i"), block("rows").alias("j"), "uid", "label", F.lit(2).alias("side"))
+    return m.join(sketches, "uid").select("bucket", "i", "j", "uid", "label", "side", "sketch")
 
 
 def _agreeing(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of block i, the rows of block j in other components whose signatures agree with it, and how much."""
-    uid, label, own = (t.column(c).to_numpy() for c in ("uid", "label", "own"))
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    """For each row of the one side, the rows of the other in other components whose signatures agree with it, and how much."""
+    uid, label, side = (t.column(c).to_numpy() for c in ("uid", "label", "side"))
     s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(uid), -1)
-    for x in np.flatnonzero(own == i):
-        near = np.flatnonzero((uid > uid[x] if i == j else own == j) & (label != label[x]))
+    for x in np.flatnonzero(side != 1):
+        near = np.flatnonzero((side == 1 if side[x] == 0 else uid > uid[x]) & (label != label[x]))
         share = (s[near] == s[x]).mean(axis=1)
         hit = share >= AGREEMENT
         if hit.any():
@@ -285,8 +293,8 @@ def remaining_links(members: DataFrame, labels: DataFrame, sketches: DataFrame,
                         kept.append((uid[x], uid[y]))
         return pa.table({"a": pa.array([min(p) for p in kept], type=pa.int64()), "b": pa.array([max(p) for p in kept], type=pa.int64())})
 
-    schema = "bucket long, i int, j int, uid long, label long, own int, sketch binary"
-    m = open_members(members, labels, sketches, whole=True).select("bucket", "i", "j", "uid", "label", "own", "sketch")
+    schema = "bucket long, i int, j int, uid long, label long, side int, sketch binary"
+    m = open_members(members, labels, sketches, whole=True)
     m = durable(m.groupBy("bucket", "i", "j").applyInArrow(partners, schema))
     known = durable(texts.join(m.select("uid").distinct(), "uid", "left_semi").mapInArrow(sets, "uid long, shingles binary"))
     return m.join(known, "uid").groupBy("bucket", "i", "j").applyInArrow(exact, "a long, b long").distinct()
