@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ DEPTH = 6
 SIGNS, SHORT, OPENING, STEP = 64, 4, 64, 8
 #: The blank that ends a word, and stands before its first byte.
 BLANK = 32
-#: Documents are counted in runs of about so many bytes, each with a dictionary of its own words.
-CHUNK_BYTES = 32 << 20
+#: Documents are counted in runs, each with a dictionary of its own words; a run ends at so many bytes or words, which bounds a task's memory.
+CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 450_000
 #: Words whose byte contexts are looked up together.
 WORD_BLOCK = 100_000
 HELD_OUT = (7, 2)
@@ -69,7 +70,7 @@ def counted(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """A stored table of two kinds of rows: documents (their units as numbers with counts), and the units of each chunk with their training counts.
 
     A unit is a token with the sign of its document's opening. Columns: chunk, doc_id, held_out, n_tokens, ids (differences)
-    and times (32-bit numbers; the document), number, word, n (in the training documents of the chunk). Chunks belong to the
+    and times (32-bit numbers, deflated; the document), number, word, n (in the training documents of the chunk). Chunks belong to the
     stored rows. Units of a chunk are at most its bytes.
     """
     schema = "chunk long, doc_id long, held_out boolean, n_tokens long, ids binary, times binary, number int, word binary, n long"
@@ -78,7 +79,7 @@ def counted(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, size = TaskContext.get().partitionId(), 0, 0
         numbers: dict[bytes, int] = {}
-        train: Counter = Counter()
+        train: list[int] = []
         out: list[tuple] = []
 
         def documents() -> pa.RecordBatch:
@@ -93,26 +94,29 @@ def counted(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 own = words[a : a + 50_000]
                 m = len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, part << 32 | k)), *[pa.nulls(m, t) for t in types.types[1:6]], pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(own, type=pa.binary()), pa.array([train[w] for w in own], type=pa.int64())],
+                    [pa.array(np.full(m, part << 32 | k)), *[pa.nulls(m, t) for t in types.types[1:6]], pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(own, type=pa.binary()), pa.array(train[a : a + m], type=pa.int64())],
                     schema=types,
                 )
 
-        for batch in batches:
+        rows = (b.slice(a, 200) for b in batches for a in range(0, b.num_rows, 200))
+        for batch in rows:
             for doc, held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 bag = Counter(units(tokens(text), ranks))
-                if not held:
-                    train.update(bag)
                 ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in bag), dtype=np.uint32, count=len(bag))
+                train += [0] * (len(numbers) - len(train))
+                if not held:
+                    for number, n in zip(ids.tolist(), bag.values(), strict=True):
+                        train[number] += n
                 times = np.fromiter(bag.values(), dtype=np.uint32, count=len(bag))
                 order = np.argsort(ids)
-                out.append((part << 32 | k, doc, held, int(times.sum()), np.diff(ids[order], prepend=np.uint32(0)).tobytes(), times[order].tobytes()))
+                out.append((part << 32 | k, doc, held, int(times.sum()), *(zlib.compress(x.tobytes(), 1) for x in (np.diff(ids[order], prepend=np.uint32(0)), times[order]))))
                 size += len(text or "")
                 if len(out) >= 500:
                     yield documents()
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or len(numbers) >= CHUNK_WORDS:
                     yield documents()
                     yield from dictionary()
-                    numbers, train, k, size = {}, Counter(), k + 1, 0
+                    numbers, train, k, size = {}, [], k + 1, 0
         yield documents()
         yield from dictionary()
 
@@ -310,7 +314,7 @@ def scored(docs: DataFrame) -> DataFrame:
         base = np.log10(c + 1) - least
         out = []
         for ids, times in zip(d.column("ids").to_pylist(), d.column("times").to_pylist(), strict=True):
-            i, n = np.cumsum(np.frombuffer(ids, dtype=np.uint32)), np.frombuffer(times, dtype=np.uint32).astype(np.float64)
+            i, n = np.cumsum(np.frombuffer(zlib.decompress(ids), dtype=np.uint32)), np.frombuffer(zlib.decompress(times), dtype=np.uint32).astype(np.float64)
             s = float(n @ score[i])
             out.append((int(n @ (c[i] > 0)), float(n @ base[i]), s, -s * math.log2(10) / float(n @ size[i])))
         known, base_score, own, bits = zip(*out, strict=True)
