@@ -23,6 +23,9 @@ HEADLINE = (
     "j02_spearman", "j09_lag_correlation", "k01_sliding_windows", "l06_dynamic_threshold", "l14_severity", "l17_events", "m04_linear_regression",
 )
 
+#: Seconds after which each query is timed once only.
+BUDGET_S = 300
+
 
 def main(names: list[str]) -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -41,7 +44,13 @@ def main(names: list[str]) -> None:
 
     names = names or list(HEADLINE)
     once(names[0])
-    times = {n: round(statistics.median(once(n) for _ in range(runs)), 3) for n in names}
+    times, began = {}, time.perf_counter()
+    for n in names:
+        own = [once(n)]
+        # further runs as long as the whole stays within its time
+        while len(own) < runs and time.perf_counter() - began < BUDGET_S:
+            own.append(once(n))
+        times[n] = round(statistics.median(own), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
     spark.stop()
 
