@@ -23,9 +23,9 @@ SIGNS, SHORT, OPENING, STEP = 64, 4, 64, 8
 #: The blank that ends a word, and stands before its first byte.
 BLANK = 32
 #: Documents are counted in runs, each with a dictionary of its own words; a run ends at so many bytes or words, which bounds a task's memory.
-CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 450_000
+CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 800_000
 #: Words whose byte contexts are looked up together.
-WORD_BLOCK = 100_000
+WORD_BLOCK = 250_000
 HELD_OUT = (7, 2)
 
 
