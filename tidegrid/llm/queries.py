@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, decontamination, language_model, minhash, packing, pii, quality, quality_model, sharding, warc
+from tidegrid.llm import chat, decontamination, minhash, packing, pii, quality, quality_model, sharding, text_tree, warc
 from tidegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,8 +121,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op6_context_tree_weighting")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    """The log probability of every document under a word model and a weighted context tree."""
-    return language_model.scored(table(spark, sf, "documents"))
+    """The log probability of every document under a word model and a weighted context tree of its running text."""
+    return text_tree.scored(table(spark, sf, "documents"))
 
 
 #: Control strings in SQL, as in ``chat``.
