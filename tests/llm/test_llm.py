@@ -564,6 +564,19 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert out[200] == rows[80][1] and out[300] == rows[82][1]
 
 
+def test_lines_above_the_limit_go_from_every_document(spark):
+    rng = np.random.default_rng(14)
+    banner = "all rights reserved , do not copy"
+    rows = [(k, f"{banner}\n{prose(80, rng)}", "h") for k in range(12)] + [(50 + k, f"{banner}\n" * 40 + f"{prose(4, rng)}", "h") for k in range(12)]
+    rows += [(200 + k, f"a line at the limit\n{prose(80, rng)}", "g") for k in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdict = {r.doc_id: r for r in quality.judged(d, limit=20).collect()}
+    assert all(len(verdict[k].removed) == 1 for k in (*range(12), *range(50, 62)))
+    assert all(verdict[k].kept for k in range(12)) and not any(verdict[k].kept for k in range(50, 62))
+    out = {r.doc_id: r.text for r in quality.cleaned(d, limit=20).collect()}
+    assert out == {i: t if i >= 200 else t.split("\n")[1] for i, t, _ in rows if not 50 <= i < 62}
+
+
 def test_pipeline_stages_keep_columns(spark, odd, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = str(tmp_path)

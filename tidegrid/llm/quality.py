@@ -100,18 +100,16 @@ def frequent_lines(measured: DataFrame, limit: int = LIMIT) -> DataFrame:
 def judged(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED) -> DataFrame:
     """Base counts and verdict of each row, a stored table: doc_id, digest, the counts, removed (line hashes), kept.
 
-    A line above the limit is removed from the documents of its host, except from about ``limit`` of its n texts, drawn by
-    the text's digest alone, so that what copies share is left in some of them. A document is rejected if it fails a base
-    rule or more than ``depleted`` of its characters are in removed lines. A missing host is a host of its own.
+    A line above the limit is removed from every document of its host. A document is rejected if it fails a base rule or more
+    than ``depleted`` of its characters are in removed lines. A missing host is a host of its own.
     """
     host = F.coalesce(F.col("source"), F.lit(""))
     m = durable(measures(docs.withColumns({"_host": host, "_digest": digest(), "_uid": F.monotonically_increasing_id()}), "_uid", "doc_id", "_host", "_digest")
                 .withColumnsRenamed({"_uid": "uid", "_host": "host", "_digest": "digest"}))
     often = durable(frequent_lines(m, limit))
-    share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / 4294967296.0
     hits = (
-        m.select("uid", "host", share.alias("share"), F.explode("lines").alias("x")).select("uid", "host", "share", "x.line", "x.size")
-        .join(often, ["host", "line"]).filter(F.col("share") >= F.lit(float(limit)) / F.col("n"))
+        m.select("uid", "host", F.explode("lines").alias("x")).select("uid", "host", "x.line", "x.size")
+        .join(often, ["host", "line"])
         .groupBy("uid").agg(F.sum("size").alias("gone"), F.collect_set("line").alias("removed"))
     )
     d = m.join(hits, "uid", "left")
