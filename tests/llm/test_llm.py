@@ -148,6 +148,24 @@ def test_buckets_with_several_components_are_compared_in_blocks(spark, monkeypat
     assert minhash.remaining_links(members, labels, sketches, other, 0.8).count() == 0
 
 
+def test_the_gate_of_buckets_loses_less_than_banding():
+    gate = math.ceil(minhash.AGREEMENT * minhash.BANDS * minhash.WIDTH)
+    n = minhash.BANDS * minhash.WIDTH
+    lost = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(gate))
+    assert lost < (1 - 0.8**minhash.WIDTH) ** minhash.BANDS
+
+
+def test_pairs_of_weaker_signatures_are_verified(spark):
+    # the pairs (0, 1) and (0, 2) agree in 150 of 216 coordinates, (1, 2) in 84
+    one, far = bytes(range(216)), [bytes((x + 1) % 256 if a <= k < a + 66 else x for k, x in enumerate(range(216))) for a in (0, 66)]
+    text = " ".join(f"w{k}" for k in range(100))
+    sketches = spark.createDataFrame([(0, one), (1, far[0]), (2, far[1])], "uid long, sketch binary")
+    texts = spark.createDataFrame([(k, f"{text} x{k}") for k in range(3)], "uid long, text string")
+    members = spark.createDataFrame([(7, k) for k in range(3)], "bucket long, uid long")
+    labels = spark.createDataFrame([(5, 5)], "uid long, label long")
+    assert {(r.a, r.b) for r in minhash.remaining_links(members, labels, sketches, texts, 0.8).collect()} == {(0, 1), (0, 2)}
+
+
 def test_components_of_long_paths(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 90), (90, 95)]
     got = {r.uid: r.label for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}

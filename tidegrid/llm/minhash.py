@@ -16,8 +16,8 @@ from tidegrid.session import durable
 WORDS, SIMILARITY = 5, 0.8
 #: 36 bands of 6 coordinates: a pair of similarity 0.8 shares no band with probability 2e-5, one of 0.3 shares one with probability 0.03.
 BANDS, WIDTH = 36, 6
-#: Signature agreement from which pairs inside a large bucket are verified: a pair of similarity 0.8 agrees less with probability 0.002.
-AGREEMENT = 0.72
+#: Signature agreement from which pairs inside a large bucket are verified: a pair of similarity 0.8 agrees less with probability 7e-7, far below that of sharing no band.
+AGREEMENT = 0.66
 #: Rows of a bucket that meet in one task when its pairs are compared.
 BLOCK = 256
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
