@@ -534,6 +534,16 @@ def test_added_spans_and_masks(spark):
     assert (out[99].text, out[98].text, out[97].n_chars) == ("nothing here", None, 4)
 
 
+def test_overlapping_spans_are_masked_in_whole(spark):
+    texts = ["at 10.0.0.1@example.com now", "x 4111 1111 1111 1111@b.cd y", "+1 555 123 4567.1.2.3 z", "a@b.c d@e.f", "none"]
+    model = pii.Model((0.0,) * len(pii.FEATURES), -10.0, {})
+    got = {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert got[0] == "at <email> now" and got[3] == "<email> <email>" and got[4] == "none"
+    for k, t in enumerate(texts):
+        inside = {x for _, a, b in base_spans(t) for x in range(a, b)}
+        assert re.sub("<[a-z]+>", "", got[k]) == "".join(c for x, c in enumerate(t) if x not in inside)
+
+
 def test_estimation_finds_reliable_labelers():
     rng = np.random.default_rng(6)
     true = rng.random(20000) < 0.4

@@ -209,7 +209,8 @@ def detected(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Documents with every span replaced by its kind in brackets, as ``<email>``; where spans overlap, the first one counts.
+    """Documents with every span replaced by its kind in brackets, as ``<email>``; spans that overlap are one range of the kind of
+    the first of them, the longest one where several begin together.
 
     Other columns are left as they are, except that ``n_chars`` follows a text that changes.
     """
@@ -217,9 +218,15 @@ def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
         model = fit(durable(docs.select(candidates(text_of()).alias("spans"))))
     d = docs.select(as_row(docs), candidates(F.col("text")).alias("spans"), "text")
     order = F.array_sort(F.transform(chosen(F.col("spans"), model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    order = F.array_sort(order, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(0))
     d = d.withColumn("spans", F.when(F.size("spans") > 0, order))
-    step = lambda s, c: F.when(c["start"] < s["at"], s).otherwise(
-        F.struct(c["end"].alias("at"), F.concat(s["out"], F.col("text").substr(s["at"] + 1, c["start"] - s["at"]), F.lit("<"), c["kind"], F.lit(">")).alias("out"))
+    last = lambda s: F.element_at(s, -1)
+    merge = lambda s, c: F.when((F.size(s) > 0) & (c["start"] < F.get(s, F.size(s) - 1)["end"]), F.concat(
+        F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(last(s)["start"].alias("start"), F.greatest(last(s)["end"], c["end"]).alias("end"), last(s)["kind"].alias("kind")))
+    )).otherwise(F.concat(s, F.array(c)))
+    d = d.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<start:int,end:int,kind:string>>"), merge))
+    step = lambda s, c: F.struct(
+        c["end"].alias("at"), F.concat(s["out"], F.col("text").substr(s["at"] + 1, c["start"] - s["at"]), F.lit("<"), c["kind"], F.lit(">")).alias("out")
     )
     made = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
     d = d.withColumn("made", F.when(F.size("spans") > 0, made))
