@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, decontamination, minhash, packing, pii, quality, quality_model, sharding, text_tree, warc
+from tidegrid.llm import chat, decontamination, golay, minhash, packing, pii, quality, quality_model, sharding, strassen, text_tree, warc, whitening
 from tidegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality.judged(table(spark, sf, "documents")).drop("digest", "removed")
+
+
+@query("op11_strassen_hard_negatives", """
+WITH e AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.uid, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_dot_product(a.x, c.x) AS BIGINT) AS score
+      FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.uid <> c.uid),
+p AS (SELECT uid, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.uid, positive_id ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s USING (uid) WHERE NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all vectors."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = strassen.quantised(table(spark, sf, "embeddings"), wrong)
+    return strassen.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op12_golay_simhash")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """The fingerprint of every document and its component of near fingerprints."""
+    return golay.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op13_qdwh_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector on the whitened leading components."""
+    return whitening.whitened(table(spark, sf, "embeddings"))
