@@ -238,11 +238,16 @@ def bucket_links(members: DataFrame) -> DataFrame:
     return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def sized(members: DataFrame) -> DataFrame:
-    """A stored table of the buckets that hold several rows: bucket, fp, n (rows of the bucket)."""
+def parted(members: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links of the buckets of at most ``large`` rows, and a stored table (bucket, fp) of the rows of larger ones (None if there are none).
+
+    Buckets are counted before their rows are brought together, so no task receives a large one.
+    """
     d = members.select(F.xxhash64("above", "key").alias("bucket"), "fp")
-    n = d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return durable(d.join(n, "bucket"))
+    over = durable(d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("bucket"))
+    if not over.limit(1).count():
+        return bucket_links(d), None
+    return bucket_links(d.join(over, "bucket", "left_anti")), durable(d.join(over, "bucket", "left_semi"))
 
 
 def midpoint_links(rows: DataFrame) -> DataFrame:
@@ -258,14 +263,12 @@ def all_links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
     Buckets of Golay keys hold up to ``large`` rows. Larger ones are cut by exact pieces into smaller buckets; fingerprints of
     those that stay larger are looked up by their midpoints, at a cost in proportion to their number. Nothing is left out.
     """
-    first = sized(keyed(distinct, golay_keys))
-    found = [bucket_links(first.filter(F.col("n") <= large))]
-    rest = first.filter(F.col("n") > large)
-    if rest.limit(1).count():
-        second = sized(keyed(rest, piece_keys, "bucket"))
-        found.append(bucket_links(second.filter(F.col("n") <= large)))
-        clumps = second.filter(F.col("n") > large)
-        if clumps.limit(1).count():
+    links, rest = parted(keyed(distinct, golay_keys), large)
+    found = [links]
+    if rest is not None:
+        links, clumps = parted(keyed(rest, piece_keys, "bucket"), large)
+        found.append(links)
+        if clumps is not None:
             found.append(midpoint_links(clumps.select("fp").distinct()))
     links = found[0]
     for more in found[1:]:
