@@ -1,5 +1,7 @@
 """Operators against pandas or plain loops on small frames."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -430,3 +432,112 @@ def test_constant_and_empty_columns_do_not_fail(spark):
         f.collect()
     kept = sequence.scaled_variance(d, sequence.fit_scaler(d, ["k"], ["v"]), ["k"], ["v"]).first()
     assert kept.scaled_variance is None and kept.keep is False
+
+
+def csv_brute(text, sep, most):
+    """Records as lists of trimmed fields, by a reader that goes through the text once; a quote opens only where a field begins."""
+    lines, out, at = text.split("\n"), [], 0
+
+    def ends_inside(line, inside):
+        begins, k = not inside, 0
+        while k < len(line):
+            c = line[k]
+            if inside and c == '"':
+                if line[k + 1 : k + 2] == '"':
+                    k += 1
+                else:
+                    inside = False
+            elif not inside and begins and c == '"':
+                inside = True
+            begins = not inside and c == sep
+            k += 1
+        return inside
+
+    while at < len(lines):
+        inside, n = ends_inside(lines[at], False), 1
+        while inside and n < most and at + n < len(lines):
+            inside, n = ends_inside(lines[at + n], True), n + 1
+        n = 1 if inside else n
+        record, fields, k = "\n".join(lines[at : at + n]), [], 0
+        while k <= len(record):
+            field = ""
+            if record[k : k + 1] == '"':
+                found = re.match(r'"((?:[^"]|"")*+)"', record[k:])
+                if found:
+                    field, k = found[1].replace('""', '"'), k + found.end()
+            end = record.find(sep, k)
+            end = len(record) if end < 0 else end
+            fields.append((field + record[k:end]).strip(" "))
+            k = end + 1
+        if record.strip(" "):
+            out.append((tuple(fields), inside))
+        at += n
+    return out
+
+
+def test_a_stray_quote_loses_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,pipe 5" long\n2,y\n3,z\n4,w\n')
+    (tmp_path / "b.csv").write_text('a,b\n1,"never closed\n2,y\n3,z\n4,"x\ny"\n5,"p ""q"" r"s\n6, "t\n7,""\n')
+    for most in (1000, 2):
+        records, dialects = csv.read_records(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], most)
+        got = {(r.file[-5], r.a): r.b for r in csv.parse(records, dialects, ["a", "b"]).collect()}
+        assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"1": 'pipe 5" long', "2": "y", "3": "z", "4": "w"}
+        if most == 2:
+            assert {k[1]: v for k, v in got.items() if k[0] == "b"} == {"1": '"never closed', "2": "y", "3": "z", "4": "x\ny", "5": 'p "q" rs', "6": '"t', "7": None}
+            assert [r.value for r in csv.unclosed_quotes(records).collect()] == ['1,"never closed']
+
+
+@pytest.mark.parametrize("split", [None, 700])
+def test_records_equal_a_sequential_reader(spark, tmp_path, split):
+    """Files of random quotes, separators and line ends, whole and in many splits."""
+    rng = np.random.default_rng(21)
+    texts = {}
+    for k in range(6):
+        body = "".join(rng.choice(list('ab",,\n "') + ['""', '"\n'], 400 + 200 * k))
+        texts[f"f{k}"] = "a,b,c\na,b,c\na,b,c\na,b,c\na,b,c\n" + body.replace("\r", "")
+        (tmp_path / f"f{k}.csv").write_text(texts[f"f{k}"], newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for most in (3,) if split else (3, 1000):
+            records, dialects = csv.read_records(spark, str(tmp_path), most)
+            d = records.join(dialects.select("file", "sep"), "file")
+            got = {}
+            for r in d.select("file", "pos", "unclosed", csv._fields(F.col("value"), F.col("sep")).alias("f"), F.trim("value").alias("v")).orderBy("file", "pos").collect():
+                if r.v:
+                    got.setdefault(r.file.rsplit("/", 1)[1][:-4], []).append((tuple(r.f), r.unclosed))
+            for name, text in texts.items():
+                assert got[name] == csv_brute(text.removesuffix("\n"), ",", most), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_long_quoted_fields_do_not_overflow(spark, tmp_path):
+    text = "x" * 200000 + '""' * 100000
+    (tmp_path / "a.csv").write_text(f'a,b\n1,"{text}"\n2,{text}\n')
+    got = {r.a: r.b for r in csv.read_export(spark, str(tmp_path / "a.csv"), ["a", "b"]).collect()}
+    assert got == {"1": text.replace('""', '"'), "2": text}
+
+
+def test_sinks_are_whole_and_repeatable(spark, tmp_path):
+    path, runs = str(tmp_path / "t"), str(tmp_path / "runs")
+    d = spark.createDataFrame([(1, 1.234), (2, 2.5)], "n int, v double")
+    sinks.write_table(d, path)
+    broken = d.withColumn("v", F.when(F.col("n") == 2, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_table(broken, path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 1.234), (2, 2.5)]
+    sinks.write_table(d.limit(1), path, digits=1)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, 1.2)]
+    record = lambda rows, v: sinks.run_record(rows, v, {"L": 8})
+    for version in ("01", "1", "01"):
+        sinks.log_run(record(d, version), runs)
+    with pytest.raises(Exception, match="lost"):
+        sinks.log_run(record(broken, "2"), runs)
+    sinks.log_run(record(d, "2"), runs)
+    got = sinks.read_runs(spark, runs)
+    assert sorted((r.version, r.n) for r in got.collect()) == [(v, n) for v in ("01", "1", "2") for n in (1, 2)]
+    assert set(got.columns) == {"version", "config", "n", "v", "logged_at"}

@@ -9,11 +9,14 @@ from tidegrid.functions.columns import between_dates, clean_number, to_local, to
 from tidegrid.operators import clean, grid
 from tidegrid.queries.inputs import EVENTS_SQL, HALF, HALF_SQL, RAW, STEP, USERS, events, half
 from tidegrid.queries.registry import query
+from tidegrid.session import durable, stage_path
 from tidegrid.sources import csv, sinks
 
 # separator of each synthetic export, and whether it starts with a hint line
 DIALECTS = {"click": (";", 0), "view": (",", 0), "purchase": ("|", 0), "signup": (";", 1), "error": (",", 1)}
-COLUMNS = ["Time", "Temp. Mandata", "Mod. V. Mandata", "User"]
+COLUMNS = ["Id", "Time", "Temp. Mandata", "Mod. V. Mandata", "User"]
+#: Events in one export file.
+FILE_EVENTS = 50_000
 
 
 def _by_type(values: dict, other=None):
@@ -23,27 +26,43 @@ def _by_type(values: dict, other=None):
     return col.otherwise(F.lit(other))
 
 
-def export_lines(spark, sf):
-    """Events written as export lines, one file per event type, each in its own dialect."""
+def note(own: str = "event_id"):
+    """Texts of a column that needs care: a quote inside, a quoted line break, quoted quotes and separators, a quoted line with a blank line.
+
+    The first lines of a file, which show its dialect, are plain.
+    """
+    k = F.when(F.pmod(F.col(own), F.lit(FILE_EVENTS)) >= 200, F.pmod(F.col(own), F.lit(11)))
+    text = F.when(k == 3, 'pipe 5" long').when(k == 4, "two\nlines").when(k == 5, 'a ""b"", c; d|e').when(k == 6, 'x\n\n"",y\nz').otherwise("plain")
+    return F.when(k.between(4, 6), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+
+
+def written(lines):
+    """A folder with one text file for each value of ``file``, its lines by ``pos``; the folder is a stage that can be removed."""
+    path = stage_path(lines.sparkSession)
+    lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def exports(spark, sf):
+    """Events written as export files, each of one event type and in its dialect; their number grows with the events."""
     ev = events(spark, sf).withColumn("sep", _by_type({t: d[0] for t, d in DIALECTS.items()}))
     ev = ev.withColumn("hint", _by_type({t: d[1] for t, d in DIALECTS.items()}))
+    ev = ev.withColumn("file", F.concat_ws("-", "event_type", F.floor(F.col("event_id") / FILE_EVENTS)))
     unit = F.concat(F.round("value", 1).cast("string"), F.lit(" °C"))
     fields = F.array(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), unit,
-        F.concat(F.col("k").cast("int").cast("string"), F.lit(" %")), F.col("user_id").cast("string"),
-    )
-    line = ev.withColumn("fields", fields).select(
-        F.col("event_type").alias("file"), (F.col("event_id") + 10).alias("pos"), F.expr("array_join(fields, sep)").alias("value")
-    )
-    files = ev.select("event_type", "sep", "hint").distinct()
-    header = F.array(*[F.lit(f" {c} ") for c in COLUMNS])
-    head = files.withColumn("h", header).select(
-        F.col("event_type").alias("file"), F.lit(2).cast("bigint").alias("pos"), F.expr("array_join(h, sep)").alias("value")
+        F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), unit,
+        F.concat(F.col("k").cast("int").cast("string"), F.lit(" %")), F.col("user_id").cast("string"), note(),
     )
-    hint = files.filter("hint = 1").select(
-        F.col("event_type").alias("file"), F.lit(1).cast("bigint").alias("pos"), F.concat(F.lit("﻿sep="), "sep").alias("value")
-    )
-    return hint.union(head).union(line)
+    line = ev.withColumn("fields", fields).select("file", (F.col("event_id") + 10).alias("pos"), F.expr("array_join(fields, sep)").alias("value"))
+    files = ev.select("file", "sep", "hint").distinct()
+    header = F.array(*[F.lit(f" {c} ") for c in (*COLUMNS, "Note")])
+    head = files.withColumn("h", header).select("file", F.lit(2).cast("bigint").alias("pos"), F.expr("array_join(h, sep)").alias("value"))
+    hint = files.filter("hint = 1").select("file", F.lit(1).cast("bigint").alias("pos"), F.concat(F.lit("﻿sep="), "sep").alias("value"))
+    return written(hint.union(head).union(line))
+
+
+def event_type_of(file: str = "file"):
+    return F.regexp_extract(file, "file=([a-z]+)-", 1)
 
 
 @query("a01_delimiter_detection", """
@@ -51,36 +70,42 @@ SELECT DISTINCT event_type AS file,
   CASE event_type WHEN 'click' THEN ';' WHEN 'view' THEN ',' WHEN 'purchase' THEN '|' WHEN 'signup' THEN ';' ELSE ',' END AS sep,
   CASE WHEN event_type IN ('signup', 'error') THEN 1 ELSE 0 END AS skip FROM events""")
 def a01(spark, sf):
-    return csv.sniff(export_lines(spark, sf)).select("file", "sep", "skip")
+    d = csv.sniff(durable(csv.read_lines(spark, exports(spark, sf))))
+    return d.select(event_type_of().alias("file"), "sep", "skip").distinct()
 
 
 @query("a02_csv_load", f"""
 WITH {EVENTS_SQL} SELECT event_type AS file, event_id, date_trunc('second', ts) AS ts,
   CAST(round(CAST(value AS DECIMAL(18,2)), 1) AS DOUBLE) AS temp, k AS fan, user_id FROM ev""")
 def a02(spark, sf):
-    lines = export_lines(spark, sf)
-    d = csv.parse(lines, csv.sniff(lines), COLUMNS)
+    d = csv.read_export(spark, exports(spark, sf), COLUMNS)
     return d.select(
-        "file", (F.col("pos") - 10).alias("event_id"), F.col("Time").try_cast("timestamp_ntz").alias("ts"),
+        event_type_of().alias("file"), F.col("Id").cast("bigint").alias("event_id"), F.col("Time").try_cast("timestamp_ntz").alias("ts"),
         clean_number("`Temp. Mandata`").alias("temp"), clean_number("`Mod. V. Mandata`").alias("fan"),
         F.col("User").cast("bigint").alias("user_id"),
     )
 
 
+@query("a02_quoted_records", """
+SELECT event_type AS file, event_id, CASE CASE WHEN event_id % 50000 >= 200 THEN event_id % 11 END WHEN 3 THEN 'pipe 5" long' WHEN 4 THEN 'two' || chr(10) || 'lines' WHEN 5 THEN 'a "b", c; d|e'
+  WHEN 6 THEN 'x' || chr(10) || chr(10) || '",y' || chr(10) || 'z' ELSE 'plain' END AS note FROM events""")
+def a02_quoted(spark, sf):
+    """Records with quotes inside fields, and quoted separators, quotes and line ends."""
+    d = csv.read_export(spark, exports(spark, sf), ["Id", "Note"])
+    return d.select(event_type_of().alias("file"), F.col("Id").cast("bigint").alias("event_id"), F.col("Note").alias("note"))
+
+
 @query("a03_decimal_comma", f"""
 WITH {EVENTS_SQL} SELECT event_id, value, k FROM ev""")
 def a03(spark, sf):
-    ev = events(spark, sf)
+    ev = events(spark, sf).withColumn("file", F.concat(F.lit("x-"), F.floor(F.col("event_id") / FILE_EVENTS)))
     comma = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")), F.lit('"'))
     body = ev.select(
-        F.lit("x").alias("file"), (F.col("event_id") + 10).alias("pos"),
+        "file", (F.col("event_id") + 10).alias("pos"),
         F.concat_ws(";", F.col("event_id").cast("string"), comma("value"), comma("k"), F.lit("")).alias("value"),
     )
-    head = ev.groupBy().agg(
-        F.lit("x").alias("file"), F.lit(1).cast("bigint").alias("pos"), F.lit("﻿id;value;k;").alias("value")
-    )
-    lines = head.union(body)
-    d = csv.parse(lines, csv.sniff(lines), ["id", "value", "k"])
+    head = ev.select("file").distinct().select("file", F.lit(1).cast("bigint").alias("pos"), F.lit("﻿id;value;k;").alias("value"))
+    d = csv.read_export(spark, written(head.union(body)), ["id", "value", "k"])
     return d.select(F.col("id").cast("bigint").alias("event_id"), clean_number("value").alias("value"), clean_number("k").alias("k"))
 
 
@@ -96,7 +121,9 @@ def a06(spark, sf):
 WITH {HALF_SQL} SELECT event_type, ts, CAST(round(CAST(v AS DECIMAL(18,6)), 1) AS DOUBLE) AS v,
   CAST(round(CAST(k AS DECIMAL(18,6)), 1) AS DOUBLE) AS k FROM half""")
 def a07(spark, sf):
-    return sinks.rounded(half(spark, sf), 1)
+    path = stage_path(spark)
+    sinks.write_full_and_rounded(half(spark, sf), path, 1)
+    return spark.read.parquet(f"{path}/rounded")
 
 
 @query("a08_run_summary", f"""
@@ -104,7 +131,10 @@ WITH {HALF_SQL} SELECT event_type, '{{"rows":' || count(*) || ',"missing":' || c
 FROM half GROUP BY 1""")
 def a08(spark, sf):
     g = half(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.isnull("v")).alias("missing"))
-    return g.select("event_type", F.to_json(F.struct("rows", "missing")).alias("summary"))
+    path = stage_path(spark)
+    sinks.write_summary(g, path)
+    back = spark.read.schema("event_type string, rows long, missing long").json(path)
+    return back.select("event_type", F.to_json(F.struct("rows", "missing")).alias("summary"))
 
 
 @query("a09_run_registry", f"""
@@ -112,7 +142,11 @@ WITH {HALF_SQL} SELECT 'v1' AS version, '{{"step": 1800}}' AS config, event_type
 FROM half GROUP BY event_type""", digits=8)
 def a09(spark, sf):
     m = half(spark, sf).groupBy("event_type").agg(F.avg("v").alias("mean_v"), F.count("v").alias("n"))
-    return sinks.run_record(m, "v1", {"step": STEP})
+    path, record = stage_path(spark), sinks.run_record(m, "v1", {"step": STEP})
+    # a run that is logged again is there once
+    for _ in range(2):
+        sinks.log_run(record, path)
+    return sinks.read_runs(spark, path).drop("logged_at")
 
 
 @query("b01_unit_cleaning", """

@@ -48,6 +48,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``remove_stages`` deletes."""
+    _STAGES.append(f"{shared_folder(spark).rstrip('/')}/tidegrid-{uuid.uuid4().hex}")
+    return _STAGES[-1]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Store an intermediate table in the shared folder and read it back.
 
@@ -55,8 +61,7 @@ def durable(df: DataFrame) -> DataFrame:
     columnar table it keeps column pruning and exact sizes for later joins.
     ``remove_stages`` deletes the tables once the results that read them are stored.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
-    _STAGES.append(path)
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
