@@ -103,3 +103,15 @@ def test_average_ranks(spark, keys):
     m = pdf.merge(got, on=[*keys, "v"])
     assert len(m) == n
     np.testing.assert_allclose(m.r, m["rank"])
+
+
+def test_ranks_over_many_buckets(spark):
+    """A group of most rows is cut by value like any other; each row finds its bucket among many."""
+    d = spark.range(40_000).selectExpr("id % 10 < 1 AS g", "cast((id * 7919) % 20011 AS double) AS v").withColumn("g", F.col("g").cast("int"))
+    got = ranks.with_less(ranks.value_counts(d, ["g"], "v"), ["g"], "v", rows=100).toPandas()
+    pdf = d.toPandas()
+    for g, part in pdf.groupby("g"):
+        own = got[got.g == g].sort_values("v")
+        sizes = part.groupby("v").size()
+        assert list(own.v) == list(sizes.index) and list(own.n) == list(sizes)
+        assert list(own.less) == list(sizes.cumsum() - sizes) and (own.total == len(part)).all()

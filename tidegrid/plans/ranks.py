@@ -24,24 +24,18 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
 def with_less(counts: DataFrame, keys: Sequence[str], value: str, rows: int = BUCKET_VALUES, also: Sequence[str] = ()) -> DataFrame:
     """Add ``less``, the number of rows with a smaller value, and ``total`` rows of the group.
 
-    ``counts`` holds distinct values with ``n``.  Values are cut into buckets of
-    about ``rows`` by edges drawn with a hash of the value (so every evaluation
-    draws the same ones), and counts are summed inside buckets and across them.
-    ``also`` names further counts to accumulate as ``upto_<name>``.
+    ``counts`` holds distinct values with ``n``.  Values are range partitioned by sampled splitters into buckets of about
+    ``rows``, whatever the sizes of the groups: a row finds its bucket by binary search.  Counts are summed inside
+    buckets and across them.  ``also`` names further counts to accumulate as ``upto_<name>``.
     """
     keys = list(keys)
-    # read several times below: stored once, so that every reader sees the same values
     counts = durable(counts)
-    size = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    if not keys:
-        counts, size, keys = counts.withColumn("__k", F.lit(0)), size.withColumn("__k", F.lit(0)), ["__k"]
-    drawn = counts.filter(F.pmod(F.xxhash64(value), F.lit(rows)) == 0)
-    cut = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__edges"))
-    d = counts.join(size, keys).join(cut, keys, "left")
-    bucket = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value))), F.lit(0))
-    d = d.withColumn(BLOCK, bucket.cast("bigint")).drop("__edges")
-    d = running(d, Series(tuple(keys), value), {"__cum": ("sum", F.col("n")), **{f"upto_{c}": ("sum", F.col(c)) for c in also}})
-    return d.withColumn("less", F.col("__cum") - F.col("n")).drop("__cum", "__k")
+    buckets = max(1, -(-counts.count() // rows))
+    # stored with its bucket, so that every reader sees the same splitters
+    d = durable(counts.repartitionByRange(buckets, *keys, value).withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+    d = running(d, Series(tuple(keys), value), {"__upto": ("sum", F.col("n")), **{f"upto_{c}": ("sum", F.col(c)) for c in also}}, {"__from": ("sum", F.col("n"))})
+    d = d.withColumns({"less": F.col("__upto") - F.col("n"), "total": F.col("__upto") + F.col("__from") - F.col("n")})
+    return d.drop("__upto", "__from")
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
