@@ -626,3 +626,16 @@ def test_word_hashes_tell_words_apart():
     first, last = common.word_ranges(data)
     h = common.token_hashes(data, first, last)
     assert len(h) == 3 and h[0] == h[2] and h[0] != h[1]
+
+
+def test_long_white_space_is_encoded(spark):
+    """Runs of white space beyond what the fast library's pattern takes have the ids of the contract's library."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.public_tokenizer()[0])
+    texts = ["a" + run + "b" for run in (" " * 1_100_000, "\n" * 1_100_000, " \n" * 550_000)]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for k, t in enumerate(texts):
+        own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
+        ids = np.concatenate([np.frombuffer(bytes(r.ids), dtype="<u2") for r in own])
+        assert ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]

@@ -28,8 +28,9 @@ MOST_PARTS = 4_000_000
 def encoder(json_path: str, ranks_path: str, pattern: str):
     """Ids of a text by the vocabulary of ``json_path``.
 
-    The same merges as ranks in another library give the same ids four times as fast; a text with the special token's
-    string goes to the first library, which reads it as that token.
+    The same merges as ranks in another library give the same ids four times as fast. A text with the special token's
+    string goes to the first library, which reads it as that token, and so does one whose white space runs on for longer
+    (about a million characters) than the other library's pattern can go back.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -42,9 +43,12 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     fast, whole = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(json_path)
 
     def ids(text: str) -> np.ndarray:
-        if SPECIAL in text:
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return fast.encode_to_numpy(text)
+        if SPECIAL not in text:
+            try:
+                return fast.encode_to_numpy(text)
+            except ValueError:
+                pass
+        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return ids
 
@@ -119,4 +123,9 @@ def public_tokenizer() -> tuple[str, str, str]:
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Pieces (see ``packed``) of all rows of (doc_id, text) by the installed vocabulary.
+
+    A missing text is an empty one, which is its end token alone; a missing doc_id is kept as such. Repeated rows are packed as
+    often as they occur. Texts are of any length and cut freely; other columns are not read. An empty table has no pieces.
+    """
     return packed(tokenised(docs, *public_tokenizer()), window)
