@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -639,3 +640,14 @@ def test_long_white_space_is_encoded(spark):
         own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
         ids = np.concatenate([np.frombuffer(bytes(r.ids), dtype="<u2") for r in own])
         assert ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("unit", ["<script>", "<!--", "<title>", "<p", "<head>x</head ", "<style>a</style>"])
+def test_long_pages_of_unclosed_tags_take_linear_time(spark, unit):
+    """A megabyte of openings that never close; a text before and behind stays."""
+    html = "<b>before</b> " + unit * (1_000_000 // len(unit)) + " &amp; behind"
+    d = spark.createDataFrame([(html, "u")], "html string, url string")
+    began = time.perf_counter()
+    row = warc.derivatives(warc.responses(d, "2024-01-01T00:00:00Z")).filter("type = 'conversion'").first()
+    assert time.perf_counter() - began < 30
+    assert row.content.startswith("before") and row.content.endswith("& behind")

@@ -34,16 +34,47 @@ def responses(pages: DataFrame, date: str, keep: tuple[str, ...] = ()) -> DataFr
     return pages.select(*keep, record_id(F.lit("response"), url, html).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"), F.concat(head, html).alias("block"))
 
 
+def once(c: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(c), then), 1)
+
+
+def upto_last_close(t: Column, name: str) -> Column:
+    """Length of the text up to its last closing tag of the name; 0 without one. No element can begin behind it."""
+    return F.when(F.contains(F.lower(t), F.lit(f"</{name}")), F.length(F.regexp_extract(t, rf"(?is)^.*</{name}\s*>", 0))).otherwise(F.lit(0))
+
+
+def without(name: str):
+    """A step that drops the elements of a name. Only the part before the last closing tag is searched, so opening tags that are never closed cost nothing."""
+    pattern = rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>"
+    cut = lambda t, n: F.when(n == 0, t).otherwise(F.concat(F.regexp_replace(F.substr(t, F.lit(1), n), pattern, ""), F.substr(t, n + 1)))
+    return lambda t: once(upto_last_close(t, name), lambda n: cut(t, n))
+
+
+def replaced(t: Column, mark: str, pattern: str, by: str) -> Column:
+    """Matches of a pattern that ends in ``mark`` replaced, in the part up to the last mark."""
+    tail = lambda rest: F.concat(F.regexp_replace(F.substr(t, F.lit(1), F.length(t) - F.length(rest)), pattern, by), rest)
+    return F.when(F.contains(t, F.lit(mark)), once(F.substring_index(t, mark, -1), tail)).otherwise(t)
+
+
 def plain_text(html: Column) -> Column:
-    """Text of an HTML page: comments, scripts and the like dropped, block elements as line ends, references read, blanks collapsed."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in DROPPED:
-        t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[!/?a-zA-Z][^>]*>", "")
-    t = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, t)
-    t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    """Text of an HTML page: comments, scripts and the like dropped, block elements as line ends, references read, blanks collapsed.
+
+    A step is taken only where its mark occurs. Time is in proportion to the page's length, also where tags or comments are
+    opened many times and never closed.
+    """
+    steps = [lambda t: F.when(F.contains(t, F.lit("<!--")), replaced(t, "-->", r"(?s)<!--.*?-->", "")).otherwise(t)]
+    steps += [without(name) for name in DROPPED]
+    steps.append(lambda t: replaced(t, ">", rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"))
+    steps.append(lambda t: replaced(t, ">", r"<[!/?a-zA-Z][^>]*>", ""))
+    steps.append(lambda t: F.when(F.contains(t, F.lit("&")), reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, t)).otherwise(t))
+    steps.append(lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f\x0B]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", ""))
+    return reduce(once, steps, html)
+
+
+def title_of(html: Column) -> Column:
+    inside = once(upto_last_close(html, "title"), lambda n: F.when(n == 0, F.lit("")).otherwise(F.regexp_extract(F.substr(html, F.lit(1), n), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+    return F.trim(F.regexp_replace(inside, r"\s+", " "))
 
 
 def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -62,7 +93,7 @@ def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     d = d.withColumn("head", F.when(at > 0, F.col("block").substr(F.lit(1), at - 1)).otherwise(F.col("block")))
     d = d.withColumn("payload", F.when(at > 0, F.col("block").substr(at + 4, F.length("block"))).otherwise(F.lit("")))
     d = d.withColumn("kind", F.lower(F.regexp_extract("head", r"(?i)\ncontent-type:[ \t]*([^;\s]*)", 1)))
-    title = F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"\s+", " "))
+    title = title_of(F.col("payload"))
     is_text = F.col("kind").isin("text/html", "text/plain")
     d = d.withColumns({"source_block_digest": digest(F.col("block")), "source_payload_digest": digest(F.col("payload"))})
     fields = F.concat(
