@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import as_row, text_of, with_text, words_of
 from tidegrid.session import durable
 
-#: A line above this many distinct texts of a host is removed there.
-LIMIT = 50
-#: A document that loses more than this share of its words is depleted.
-DEPLETED = 0.7
+#: A line above this share of a host's distinct texts, and above so many of them, is removed there.
+SHARE, FLOOR = 0.01, 5
+#: A document that loses more than this share of the characters of its lines is depleted.
+DEPLETED = 0.3
 MIN_WORDS = 50
 
 
@@ -87,26 +87,29 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def frequent_lines(measured: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Lines that stand in more than ``limit`` distinct texts of a host: host, line, n.
+def frequent_lines(measured: DataFrame, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
+    """Lines above the limit of their host: host, line, texts, documents.
 
-    Copies of one text count once. All aggregates combine before they shuffle, so a line of a third of all documents is
-    one row a task.
+    The limit is ``share`` of the host's distinct texts, ``floor`` at least. Copies of one text are one document for it, or a
+    group of copies would remove itself; ``documents`` counts them all. All aggregates combine before they shuffle, so a
+    line of a third of all documents is one row a task.
     """
-    rows = measured.select("host", "digest", F.explode(F.array_distinct("lines.line")).alias("line"))
-    return rows.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    per_text = measured.select("host", "digest", F.explode(F.array_distinct("lines.line")).alias("line")).groupBy("host", "digest", "line").agg(F.count(F.lit(1)).alias("n"))
+    lines = per_text.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("documents")).filter(F.col("texts") > floor)
+    hosts = durable(measured.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size")))
+    return lines.join(hosts, "host").filter(F.col("texts") > F.lit(float(share)) * F.col("size")).drop("size")
 
 
-def judged(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED) -> DataFrame:
+def judged(docs: DataFrame, share: float = SHARE, floor: int = FLOOR, depleted: float = DEPLETED) -> DataFrame:
     """Base counts and verdict of each row, a stored table: doc_id, digest, the counts, removed (line hashes), kept.
 
-    A line above the limit is removed from every document of its host. A document is rejected if it fails a base rule or more
-    than ``depleted`` of its characters are in removed lines. A missing host is a host of its own.
+    A line above its host's limit is removed from every document of the host. A document is rejected if it fails a base rule
+    or more than ``depleted`` of its characters are in removed lines. A missing host is a host of its own.
     """
     host = F.coalesce(F.col("source"), F.lit(""))
     m = durable(measures(docs.withColumns({"_host": host, "_digest": digest(), "_uid": F.monotonically_increasing_id()}), "_uid", "doc_id", "_host", "_digest")
                 .withColumnsRenamed({"_uid": "uid", "_host": "host", "_digest": "digest"}))
-    often = durable(frequent_lines(m, limit))
+    often = durable(frequent_lines(m, share, floor))
     hits = (
         m.select("uid", "host", F.explode("lines").alias("x")).select("uid", "host", "x.line", "x.size")
         .join(often, ["host", "line"])
@@ -122,12 +125,12 @@ def judged(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED) -> D
     )
 
 
-def cleaned(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED) -> DataFrame:
+def cleaned(docs: DataFrame, share: float = SHARE, floor: int = FLOOR, depleted: float = DEPLETED) -> DataFrame:
     """Documents that are kept, without their removed lines; ``n_chars`` follows the text, other columns are left as they are.
 
     Only documents that change are looked up by their digest; a missing text counts as an empty one and is rejected.
     """
-    changed = judged(docs, limit, depleted).filter(~F.col("kept") | (F.size("removed") > 0)).groupBy("digest").agg(F.first("kept").alias("kept"), F.first("removed").alias("removed"))
+    changed = judged(docs, share, floor, depleted).filter(~F.col("kept") | (F.size("removed") > 0)).groupBy("digest").agg(F.first("kept").alias("kept"), F.first("removed").alias("removed"))
     d = docs.select(as_row(docs), digest().alias("digest")).join(durable(changed), "digest", "left")
     d = d.filter(F.coalesce(F.col("kept"), F.lit(True)))
     left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x)))), "\n")

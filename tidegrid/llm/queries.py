@@ -171,15 +171,17 @@ rep AS (SELECT uid, count(DISTINCT i + k) AS n FROM g2, range(0, 3) r(k) GROUP B
 l AS (SELECT uid, host, digest, length(line) AS size,
              trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]{{2,}}|[\\x09-\\x0D]', ' ', 'g')) AS line
       FROM (SELECT uid, host, digest, unnest(lines) AS line FROM w)),
-o AS (SELECT host, line, count(DISTINCT digest) AS n FROM l GROUP BY 1, 2 HAVING count(DISTINCT digest) > {quality.LIMIT}),
-gone AS (SELECT uid, sum(size) AS gone FROM l JOIN o USING (host, line) WHERE ('0x' || substr(digest, 1, 8))::BIGINT / 4294967296.0 >= {float(quality.LIMIT)} / n GROUP BY 1),
+h AS (SELECT host, count(DISTINCT digest) AS texts FROM w GROUP BY 1),
+o AS (SELECT host, line FROM l JOIN h USING (host) GROUP BY host, line, texts
+      HAVING count(DISTINCT digest) > {quality.FLOOR} AND count(DISTINCT digest) > CAST({quality.SHARE} AS DOUBLE) * texts),
+gone AS (SELECT uid, sum(size) AS gone FROM l JOIN o USING (host, line) GROUP BY 1),
 whole AS (SELECT uid, sum(size) AS whole FROM l GROUP BY 1),
 b AS (SELECT w.uid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone, 0) AS gone, coalesce(whole, 0) AS whole
       FROM w LEFT JOIN rep USING (uid) LEFT JOIN gone USING (uid) LEFT JOIN whole USING (uid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= {quality.DEPLETED} * whole AS kept FROM f""")
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= CAST({quality.DEPLETED} AS DOUBLE) * whole AS kept FROM f""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality.judged(table(spark, sf, "documents")).drop("digest", "removed")
