@@ -541,3 +541,27 @@ def test_sinks_are_whole_and_repeatable(spark, tmp_path):
     got = sinks.read_runs(spark, runs)
     assert sorted((r.version, r.n) for r in got.collect()) == [(v, n) for v in ("01", "1", "2") for n in (1, 2)]
     assert set(got.columns) == {"version", "config", "n", "v", "logged_at"}
+
+
+def test_density_equals_the_exact_sum(spark):
+    """Cells and moments against the sum over all values, with ties, a far value, and columns without a bandwidth."""
+    rng = np.random.default_rng(31)
+    v = np.concatenate([rng.normal(size=3000), rng.exponential(3, 2000), np.repeat(1.5, 300), [40.0]])
+    d = spark.createDataFrame(pd.DataFrame({"k": 1, "v": v, "w": 2.0}))
+    got = stats.kde(d, ["k"], ["v"]).orderBy("point").toPandas()
+    h = v.std(ddof=1) * len(v) ** -0.2
+    exact = np.exp(-((got.x.to_numpy()[:, None] - v) ** 2) / (2 * h * h)).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+    np.testing.assert_allclose(got.density, exact, rtol=1e-9, atol=1e-15)
+    assert stats.kde(d, ["k"], ["w"]).filter("density IS NOT NULL").count() == 0
+
+
+def test_setpoint_of_a_season():
+    names = ["Set Point Mandata", "setpoint heating", "Set Points Compensata", "T Raffreddamento"]
+    assert features.season_setpoint("summer", names) is None
+    assert features.season_setpoint("Summer", [*names, "Setpoint Raffreddamento"]) == "Setpoint Raffreddamento"
+    assert [features.season_setpoint("winter", names[:n]) for n in (3, 2, 1, 0)] == ["Set Points Compensata", "setpoint heating", "Set Point Mandata", None]
+    assert features.season_setpoint("winter", ["Setpoint X"]) == "Setpoint X" and features.season_setpoint("spring", names) is None
+
+
+def test_missing_setpoint_gives_no_error(spark):
+    assert features.setpoint_error(spark.range(2).withColumn("m", F.lit(20.0)), "m", None).filter("setpoint_error IS NULL").count() == 2

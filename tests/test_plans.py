@@ -115,3 +115,16 @@ def test_ranks_over_many_buckets(spark):
         sizes = part.groupby("v").size()
         assert list(own.v) == list(sizes.index) and list(own.n) == list(sizes)
         assert list(own.less) == list(sizes.cumsum() - sizes) and (own.total == len(part)).all()
+
+
+def test_quantiles_count_a_row_once(spark):
+    """Many overlapping ranks, ties and tiny groups against numpy; the counting step copies no row."""
+    rng = np.random.default_rng(41)
+    pdf = pd.DataFrame({"g": rng.choice(5, 6000, p=[0.6, 0.2, 0.1, 0.0995, 0.0005]), "value": np.round(rng.normal(size=6000), 2)})
+    probs = [0, 0.01, 0.05, 0.25, 0.5, 0.5001, 0.75, 0.95, 0.99, 1]
+    got = quantiles.long_quantiles(spark.createDataFrame(pdf), ["g"], probs)
+    for r in got.collect():
+        own = pdf[pdf.g == r.g].value
+        assert r.n == len(own)
+        np.testing.assert_allclose(r.q, np.quantile(own, probs), rtol=1e-12, atol=1e-12)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1

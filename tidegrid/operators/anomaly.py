@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tidegrid.functions.columns import as_col, false_if_null, ratio
 from tidegrid.operators.features import EWM_SCRATCH, ewm_block_rows, ewm_columns, ewm_reach
-from tidegrid.operators.joins import values_one_period_back
+from tidegrid.operators.joins import one_period_back
 from tidegrid.plans.blocks import POSITION, positions, rolling, run_stages
 from tidegrid.plans.quantiles import VALUE, long_quantiles, melt
 from tidegrid.plans.series import BLOCK, MICROS, Series, attach, micros
@@ -248,18 +248,18 @@ def label_faults(df: DataFrame, s: Series, flag: str, score: str, supply: str, r
     """
     change = lambda c, w: F.coalesce(F.abs(F.col(c) - F.lag(c).over(w)), F.lit(0.0))
     d = rolling(df, s.with_step(None), 1, 0, lambda w: {"__ds": change(supply, w), "__dr": change(ret, w)})
-    d = values_one_period_back(d, s, period_s, tol_s, {"__prev": F.col(score), "__hit": F.col(flag)})
-    cur, prev = F.col(score) + 1e-9, array_median(F.col("__prev")) + 1e-9
+    d = one_period_back(d, s, period_s, tol_s, {"__prev": F.percentile(score, 0.5), "__high": F.max(score), "__hit": F.max(flag)})
+    cur, prev = F.col(score) + 1e-9, F.col("__prev") + 1e-9
     times = ratio(F.greatest(cur, prev), F.least(cur, prev))
-    high = F.exists("__prev", lambda e: e >= cur / (1 + ratio_tol))
-    seen = F.exists("__hit", lambda h: h)
+    high = F.col("__high") >= cur / (1 + ratio_tol)
+    seen = F.col("__hit")
     f = F.col(flag)
     periodic = f & false_if_null((times <= 1 + ratio_tol) & (seen | high))
     broken = false_if_null(F.abs(F.col(supply) - F.col(coil)) >= DIVERGENCE) | ((F.col("__ds") >= RAMP) & (F.col("__dr") <= RESPONSE))
     d = d.withColumns({"is_periodic": periodic, "breaks_physics": broken})
     label = F.when(f & F.col("is_periodic") & ~F.col("breaks_physics"), "Operational peak").when(f, "Potential fault").otherwise("Normal")
     d = d.withColumn("label", label)
-    return d.withColumn("kept", f & ~F.col("is_periodic") if strict else f).drop("__ds", "__dr", "__prev", "__hit")
+    return d.withColumn("kept", f & ~F.col("is_periodic") if strict else f).drop("__ds", "__dr", "__prev", "__high", "__hit")
 
 
 def physics_rules(df: DataFrame, s: Series, supply: str, ret: str, setpoint: str, fan: str, min_delta: float = 0.5, min_fan: float = 30.0, max_error: float = 1.5, hours: float = 4.0) -> DataFrame:

@@ -107,19 +107,27 @@ def rolling_means(df: DataFrame, s: Series, column: str, windows: dict[str, int]
     return rolling(df, s, n - 1, 0, lambda w: {o: F.avg(column).over(w.rowsBetween(-(k - 1), 0)) for o, k in windows.items()})
 
 
+# Words of a setpoint's name by season, in order of priority.
+SETPOINT_WORDS = {
+    "summer": (("raffrescamento", "raffreddamento", "cooling"),),
+    "winter": (("compensat",), ("riscaldamento", "heating"), ("mandata",), ("",)),
+}
+
+
 def season_setpoint(season: str, columns: Sequence[str]) -> str | None:
-    """Setpoint column used in a season: the compensated one in winter, the supply one in summer, else the first."""
+    """Setpoint column used in a season, the first that holds a word of the highest priority: cooling alone in summer; in winter the compensated one, heating, supply, or any."""
     names = [c for c in columns if "set point" in c.lower() or "setpoint" in c.lower()]
-    wanted = ("compensat", "riscaldamento", "heating", "mandata") if season.lower() == "winter" else ("raffrescamento", "cooling", "mandata")
-    for word in wanted:
+    for words in SETPOINT_WORDS.get(season.lower(), ()):
         for c in names:
-            if word in c.lower():
+            if any(w in c.lower() for w in words):
                 return c
-    return names[0] if names else None
+    return None
 
 
-def setpoint_error(df: DataFrame, measured: str, setpoint: str, deadband: float = DEADBAND, out: str = "setpoint_error") -> DataFrame:
-    """Measured minus setpoint; errors inside the deadband (and unknown ones) become 0."""
+def setpoint_error(df: DataFrame, measured: str, setpoint: str | None, deadband: float = DEADBAND, out: str = "setpoint_error") -> DataFrame:
+    """Measured minus setpoint; errors inside the deadband (and unknown ones) become 0. Without a setpoint for the season all are NULL."""
+    if setpoint is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
     e = F.col(measured) - F.col(setpoint)
     return df.withColumn(out, F.when(F.abs(e) > deadband, e).otherwise(0.0) if deadband > 0 else e)
 

@@ -102,11 +102,11 @@ def holiday_mask(df: DataFrame, ts: str, holidays: DataFrame, date: str, occupie
     return d.withColumn(occupied, F.when(F.col("is_holiday"), 0).otherwise(F.col(occupied)))
 
 
-def values_one_period_back(df: DataFrame, s: Series, period_s: int, tol_s: int, columns: dict[str, Column]) -> DataFrame:
-    """Arrays of the values seen ``period ± tol`` seconds earlier (a bounded time frame, no self join)."""
+def one_period_back(df: DataFrame, s: Series, period_s: int, tol_s: int, aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregates of the rows seen ``period ± tol`` seconds earlier: a bounded time frame, no self join and no list of its values in a row."""
     def frame(w):
         at = F.floor(micros(s.ts) / MICROS)
         r = w.orderBy(at).rangeBetween(-(period_s + tol_s), -(period_s - tol_s))
-        return {n: F.collect_list(c).over(r) for n, c in columns.items()}
+        return {n: c.over(r) for n, c in aggregates.items()}
 
     return rolling(df, s, period_s + tol_s, 0, frame, in_seconds=True)

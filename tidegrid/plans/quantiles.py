@@ -1,9 +1,10 @@
 """Exact quantiles without sorting or collecting a group in one place.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.  Here
-a sketch first brackets each wanted rank; a second pass counts what lies below
-the bracket and keeps only the distinct values inside it (about 0.1 % of the
-group), from which the exact order statistics are read.
+a sketch first brackets each wanted rank; a second pass counts what lies between
+the brackets of all ranks and keeps only the distinct values inside them (about
+0.1 % of the group), from which the exact order statistics are read.  A row is
+counted once, however many ranks are wanted.
 """
 
 from __future__ import annotations
@@ -40,17 +41,20 @@ def long_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float],
         one = edges.select(F.struct("__e", "n")).scalar()
         d = long.withColumn("__s", one).select(VALUE, "__s.__e", "__s.n")
     m = len(probs)
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("__p"),
-                 F.col("__e")[i].alias("__lo"), F.col("__e")[m + i].alias("__hi"))
-        for i, p in enumerate(probs)
-    ])
-    d = d.withColumn("__r", F.explode(ranks)).select(*keys, "n", VALUE, "__r.*")
-    side = F.when(F.col(VALUE) < F.col("__lo"), 0).when(F.col(VALUE) <= F.col("__hi"), 1).otherwise(2)
-    d = d.withColumn("__side", side).withColumn("__in", F.when(F.col("__side") == 1, F.col(VALUE)))
-    d = d.groupBy(*keys, "n", "__i", "__p", "__side", "__in").agg(
-        F.count(F.lit(1)).alias("__c"), F.min(VALUE).alias("__mn"), F.max(VALUE).alias("__mx")
-    )
+    lo, hi, v = (lambda i: F.col("__e")[i]), (lambda i: F.col("__e")[m + i]), F.col(VALUE)
+    # one row in, one row out: a value inside a bracket is counted by itself, all others by the brackets around them
+    inside, place = F.lit(False), F.lit(0)
+    for i in range(m):
+        inside = inside | v.between(lo(i), hi(i))
+        place = place + (v >= lo(i)).cast("int") + (v > hi(i)).cast("int")
+    d = d.withColumn("__in", F.when(inside, v)).withColumn("__place", F.when(~inside, place))
+    d = d.groupBy(*keys, "n", "__e", "__place", "__in").agg(F.count(F.lit(1)).alias("__c"), F.min(VALUE).alias("__mn"), F.max(VALUE).alias("__mx"))
+    # what is left is small: each rank reads it with its own bracket
+    ranks = F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("__p"), lo(i).alias("__lo"), hi(i).alias("__hi")) for i, p in enumerate(probs)])
+    d = d.withColumn("__r", F.explode(ranks)).select(*keys, "n", "__in", "__c", "__mn", "__mx", "__r.*")
+    side = F.when(F.col("__mx") < F.col("__lo"), 0).when(F.col("__mn") > F.col("__hi"), 2).otherwise(1)
+    d = d.withColumn("__side", side).withColumn("__in", F.when(F.col("__side") == 1, F.col("__in")))
+    d = d.groupBy(*keys, "n", "__i", "__p", "__side", "__in").agg(F.sum("__c").alias("__c"), F.min("__mn").alias("__mn"), F.max("__mx").alias("__mx"))
     w = Window.partitionBy(*keys, "__i").orderBy("__side", "__in")
     d = d.withColumn("__cum", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     h = (F.col("n") - 1) * F.col("__p")

@@ -78,7 +78,7 @@ def h08(spark, sf):
 
 @query("h09_setpoint_error", f"WITH {HALF_SQL} SELECT event_type, ts, round(CASE WHEN abs(v - k) > 3 THEN v - k ELSE 0 END, 6) AS setpoint_error FROM half")
 def h09(spark, sf):
-    d = half(spark, sf).withColumnsRenamed({"v": "Temperatura Mandata", "k": "Set Points Temperatura Mandata"})
+    d = half(spark, sf).withColumnsRenamed({"v": "Temperatura Mandata", "k": "Set Points Raffreddamento"})
     sp = features.season_setpoint("summer", d.columns)
     return features.setpoint_error(d, "Temperatura Mandata", sp, 3.0).select("event_type", "ts", "setpoint_error")
 

@@ -238,7 +238,5 @@ def d10(spark, sf):
 WITH {HALF_SQL} SELECT a.event_type, a.ts, count(b.v) AS n_prev, round(quantile_cont(b.v, 0.5), 7) AS median_prev FROM half a LEFT JOIN half b
   ON a.event_type = b.event_type AND b.ts BETWEEN a.ts - INTERVAL '25 hours' AND a.ts - INTERVAL '23 hours' GROUP BY 1, 2""", digits=7)
 def d11(spark, sf):
-    from tidegrid.operators.anomaly import array_median
-
-    d = joins.values_one_period_back(half(spark, sf), HALF, 86_400, 3600, {"prev": F.col("v")})
-    return d.select("event_type", "ts", F.size("prev").cast("bigint").alias("n_prev"), array_median(F.col("prev")).alias("median_prev"))
+    d = joins.one_period_back(half(spark, sf), HALF, 86_400, 3600, {"n_prev": F.count("v"), "median_prev": F.percentile("v", 0.5)})
+    return d.select("event_type", "ts", "n_prev", "median_prev")
