@@ -92,13 +92,14 @@ def whole_records(lines: DataFrame, dialects: DataFrame, most: int = RECORD_LINE
     d = durable(d.withColumn(POSITION, F.col("__n") - 1))
     d = rolling(d, s, 0, 1, lambda w: {"__upto": F.lead("__upto").over(w)}, keep_block=True)
     within = F.coalesce(F.col("__upto") - F.col("__n") < most, F.lit(False))
-    d = d.withColumns({"unclosed": F.col("__open") & ~within, "__open": F.col("__open") & within})
+    # stored, as each running fold below reads its input twice
+    d = durable(d.withColumns({"unclosed": F.col("__open") & ~within, "__open": F.col("__open") & within}))
     # functions of two states: constant, identity or exchange. The state is the last constant, exchanged as often as asked since
     d = running(d, s, {"__turns": ("sum", (F.col("__open") & ~F.col("__stay")).cast("long"))}, keep_block=True)
     fixed = F.when(F.col("__open") == F.col("__stay"), F.struct("__n", F.col("__open").alias("to"), F.col("__turns").alias("turns")))
     d = running(d, s, {"__fixed": ("max", fixed)})
     turned = (F.col("__turns") - F.coalesce(F.col("__fixed.turns"), F.lit(0))) % 2 == 1
-    d = d.withColumn("__inside", F.coalesce(F.col("__fixed.to"), F.lit(False)) != turned)
+    d = durable(d.withColumn("__inside", F.coalesce(F.col("__fixed.to"), F.lit(False)) != turned))
     d = rolling(d, s, 1, 0, lambda w: {"__begins": ~F.coalesce(F.lag("__inside").over(w), F.lit(False))}, keep_block=True)
     d = running(d, s, {"__record": ("sum", F.col("__begins").cast("long"))})
     parts = F.array_sort(F.collect_list(F.struct("pos", "value", "unclosed", "__begins")))
