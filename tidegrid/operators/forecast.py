@@ -45,11 +45,11 @@ def standardise(df: DataFrame, keys: Sequence[str], features: Sequence[str], spl
     return scale(df, params, keys, features)
 
 
-def models(trees: int = 100, forest_depth: int = 15, leaf: int = 5, rounds: int = 100, boost_depth: int = 6, rate: float = 0.1, subsample: float = 0.8, seed: int = 42) -> dict:
+def models(trees: int = 100, forest_depth: int = 15, leaf: int = 5, rounds: int = 100, boost_depth: int = 6, rate: float = 0.1, subsample: float = 0.8, seed: int = 42, bootstrap: bool = True) -> dict:
     common = {"featuresCol": "x", "labelCol": "y"}
     return {
         "linear": LinearRegression(**common, regParam=0.0),
-        "forest": RandomForestRegressor(**common, numTrees=trees, maxDepth=forest_depth, minInstancesPerNode=leaf, seed=seed),
+        "forest": RandomForestRegressor(**common, numTrees=trees, maxDepth=forest_depth, minInstancesPerNode=leaf, seed=seed, bootstrap=bootstrap),
         "boosting": GBTRegressor(**common, maxIter=rounds, maxDepth=boost_depth, stepSize=rate, subsamplingRate=subsample, seed=seed),
     }
 

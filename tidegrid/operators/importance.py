@@ -76,11 +76,11 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     return j.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
-def forest_importance(df: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
-    """Random-forest importance after median imputation."""
+def forest_importance(df: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 10, seed: int = 42, bootstrap: bool = True) -> DataFrame:
+    """Random-forest importance after median imputation; without ``bootstrap`` every tree learns from every row."""
     d = median_impute(df.dropna(subset=[target]), [], features)
     x = VectorAssembler(inputCols=list(features), outputCol="x").transform(d).select("x", F.col(target).alias("y"))
-    model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed).fit(x)
+    model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap).fit(x)
     imp = model.featureImportances
     rows = [(f, float(imp[i])) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, rf_importance double")

@@ -215,6 +215,17 @@ def j17(spark, sf):
     return importance.forest_importance(staged(plant(spark, sf)), ["tm", "tr", "tc", "fan"], "tout")
 
 
+CLOCK = ["hour", "dow"]
+CLOCK_SQL = f"{PLANT_SQL}, pc AS (SELECT tout, hour(ts)::DOUBLE AS hour, (isodow(ts) - 1)::DOUBLE AS dow FROM plant WHERE tout IS NOT NULL), {sqltails.two_level_tree('pc', CLOCK, 'tout', 'true')}, {sqltails.tree_importance(CLOCK)}"
+
+
+@query("j17_single_tree_importance", f"WITH {CLOCK_SQL} SELECT feature, round(importance, 6) AS rf_importance FROM imp")
+def j17_single(spark, sf):
+    """One tree of depth two over all rows, whose splits SQL can search as well."""
+    d = staged(plant(spark, sf)).withColumns({"hour": F.hour("ts").cast("double"), "dow": F.weekday("ts").cast("double")})
+    return importance.forest_importance(d, CLOCK, "tout", trees=1, depth=2, bootstrap=False)
+
+
 COMP = f"""{FSTAT}, {BEST}, {MI}, rp AS (SELECT fs.*, max_abs_corr, best_target, mutual_info, 0.3 * max_abs_corr + 0.35 * mutual_info / max(mutual_info) OVER () AS composite_score FROM fs JOIN bt USING (feature) JOIN mi USING (feature)),
 rc AS (SELECT *, CASE WHEN missing_pct > 50 THEN 'REMOVE - High Missing Data' WHEN variance < 1e-10 THEN 'REMOVE - No Variation' WHEN composite_score > 0.5 THEN 'KEEP - High Importance' WHEN composite_score > 0.2 THEN 'CONSIDER - Medium Importance' ELSE 'REMOVE - Low Importance' END AS recommendation FROM rp)"""
 

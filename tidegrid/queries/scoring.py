@@ -8,6 +8,7 @@ from tidegrid.operators import anomaly, events, forecast, impute, joins, missing
 from tidegrid.operators.anomaly import Detection
 from tidegrid.plans.blocks import POSITION, positions
 from tidegrid.plans.series import Series
+from tidegrid.queries import sqltails
 from tidegrid.queries.featuring import FULL_SQL, full
 from tidegrid.queries.inputs import HALF, HALF_SQL, STEP, half, staged
 from tidegrid.queries.registry import query
@@ -234,6 +235,22 @@ def l01(spark, sf):
     return r.groupBy("event_type", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_mae"))
 
 
+# windows of one row of two features: the strongest direction has the angle atan2(2 cov, var - var) / 2
+AXIS = f"""{HALF_SQL}, {SPLIT.format(src='half')}, w1 AS (SELECT h.event_type, h.ts, h.v, h.k, sp.split FROM half h JOIN sp ON sp.event_type = h.event_type AND sp.ts = h.ts WHERE h.v IS NOT NULL AND h.k IS NOT NULL),
+ax AS (SELECT avg(v) AS mv, avg(k) AS mk, atan2(2 * covar_pop(v, k), var_pop(v) - var_pop(k)) / 2 AS angle FROM w1 WHERE split = 'train'),
+pj AS (SELECT w1.*, mv, mk, angle, (v - mv) * cos(angle) + (k - mk) * sin(angle) AS z FROM w1, ax),
+rb AS (SELECT event_type, ts, split, (abs(v - mv - z * cos(angle)) + abs(k - mk - z * sin(angle))) / 2 AS score FROM pj)"""
+
+
+@query("l01_axis_reconstruction", f"WITH {AXIS} SELECT event_type, ts, split, round(score, 6) AS score FROM rb")
+def l01_axis(spark, sf):
+    """Windows of one row, rebuilt along the strongest direction of the training windows."""
+    d = sequence.split_by_week(staged(half(spark, sf)), HALF)
+    w = sequence.sliding_windows(d, Series(("event_type", "split"), "ts", STEP), COLS, 1, STEP)
+    r = anomaly.fit_reconstruction(w.filter("split = 'train'"), 1, 2).apply(w)
+    return r.select("event_type", "ts", "split", anomaly.window_score("window", "rebuilt").alias("score"))
+
+
 def _rebuilt(spark, sf):
     """Windows with their own mean as the simplest reconstruction."""
     w = sequence.plain_windows(staged(full(spark, sf)), HALF, COLS, 4)
@@ -575,6 +592,37 @@ def m05(spark, sf):
     return forecast.evaluate(p)
 
 
+CLOCK = ["hour", "dow"]
+_TRAIN = "split = 'train'"
+MC = f"""{HALF_SQL}, mh AS (SELECT event_type, ts, hour(ts)::DOUBLE AS hour, (isodow(ts) - 1)::DOUBLE AS dow, v FROM half WHERE v IS NOT NULL AND k IS NOT NULL),
+mi AS (SELECT *, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM mh),
+mt AS (SELECT event_type, ts, hour, dow, v, CASE WHEN i < floor(n * 0.70) THEN 'train' WHEN i < floor(n * 0.70) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM mi)"""
+MTREE = f"{MC}, {sqltails.two_level_tree('mt', CLOCK, 'v', _TRAIN)}"
+
+
+@query("m05_single_tree", f"""
+WITH {MTREE}, m AS (SELECT half_, leaf, avg(v) AS prediction FROM leafed WHERE split = 'train' GROUP BY 1, 2)
+SELECT event_type, ts, split, round(prediction, 6) AS prediction FROM leafed JOIN m USING (half_, leaf)""")
+def m05_single(spark, sf):
+    """One tree of depth two over all training rows, whose splits SQL can search as well."""
+    forest = forecast.models(trees=1, forest_depth=2, bootstrap=False)["forest"]
+    _, p = forecast.fit_all(_features(spark, sf), CLOCK, "v", {"forest": forest})
+    return p.select("event_type", "ts", "split", "prediction")
+
+
+@query("m06_two_rounds", f"""
+WITH {MC}, t1 AS (SELECT * FROM mt WHERE {_TRAIN}), {sqltails.best_split('one', 't1', CLOCK, 'v')}, s1 AS (SELECT mt.*, {sqltails.side(CLOCK)} AS a FROM mt, one),
+p1 AS (SELECT s1.*, m FROM s1 JOIN (SELECT a, avg(v) AS m FROM s1 WHERE {_TRAIN} GROUP BY 1) USING (a)), t2 AS (SELECT *, 2 * (v - m) AS rest FROM p1 WHERE {_TRAIN}),
+{sqltails.best_split('two', 't2', CLOCK, 'rest')}, s2 AS (SELECT p1.*, {sqltails.side(CLOCK)} AS b FROM p1, two),
+p2 AS (SELECT s2.*, step FROM s2 JOIN (SELECT b, avg(2 * (v - m)) AS step FROM s2 WHERE {_TRAIN} GROUP BY 1) USING (b))
+SELECT event_type, ts, split, round(m + 0.1 * step, 6) AS prediction FROM p2""")
+def m06_two(spark, sf):
+    """Two rounds of boosted stumps over all training rows: the second learns from twice the first one's residuals."""
+    boosting = forecast.models(rounds=2, boost_depth=1, subsample=1.0)["boosting"]
+    _, p = forecast.fit_all(_features(spark, sf), CLOCK, "v", {"boosting": boosting})
+    return p.select("event_type", "ts", "split", "prediction")
+
+
 @query("m06_gradient_boosting")
 def m06(spark, sf):
     _, p = forecast.fit_all(_features(spark, sf), ["k", "hour", "dow"], "v", {"boosting": forecast.models()["boosting"]})
@@ -612,6 +660,19 @@ def m10(spark, sf):
     return forecast.importances(fitted, d, feats)
 
 
+@query("m10_single_tree_importance", f"WITH {MTREE}, {sqltails.tree_importance(CLOCK)} SELECT 'forest' AS model, feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY imp.importance DESC, feature) AS rank FROM imp")
+def m10_single(spark, sf):
+    d = _features(spark, sf)
+    fitted, _ = forecast.fit_all(d, CLOCK, "v", {"forest": forecast.models(trees=1, forest_depth=2, bootstrap=False)["forest"]})
+    return forecast.importances(fitted, d, CLOCK)
+
+
+@query("m11_axis_search", f"WITH {AXIS} SELECT 1 AS length, 1 AS bottleneck, round(avg(score), 6) AS val_mae, count(*) AS n_windows FROM rb WHERE split = 'val'")
+def m11_axis(spark, sf):
+    """The search over one length and one bottleneck, whose direction has a closed form."""
+    return forecast.search(sequence.split_by_week(staged(half(spark, sf)), HALF), HALF, COLS, STEP, [1], [1])
+
+
 @query("m11_window_model_search")
 def m11(spark, sf):
     d = impute.interpolate_time(staged(half(spark, sf)), HALF, COLS, 8)
