@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import remainder
+from tidegrid.llm.common import pieces, remainder
 from tidegrid.llm.language_model import HELD_OUT, log_estimate, log_gamma, tokens
 from tidegrid.session import durable
 
@@ -32,10 +32,19 @@ def running(words: list[bytes]) -> bytes:
     return b" ".join(words) + b" "
 
 
+def owners(start: np.ndarray, a: int, b: int) -> np.ndarray:
+    """For the positions from ``a`` to before ``b`` the index of the text each lies in."""
+    first, last = np.searchsorted(start, [a, b - 1], side="right") - 1
+    edges = np.clip(np.append(start[first : last + 1], b), a, b)
+    return np.repeat(np.arange(first, last + 1), np.diff(edges))
+
+
 def keys(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each byte of each text a 56-bit key, and the text's index: the DEPTH bytes before it, the nearest one highest, above the byte itself."""
     pad = b" " * DEPTH
     data = np.frombuffer(pad.join([b"", *texts]), dtype=np.uint8)
+    # the eight bytes from each position on as one number
+    ahead = np.ndarray(max(len(data) - DEPTH, 0), dtype="<i8", buffer=data.tobytes() + bytes(2), strides=(1,))
     size = np.fromiter((DEPTH + len(t) for t in texts), dtype=np.int64, count=len(texts))
     start = np.cumsum(size) - size
     told = np.ones(len(data), dtype=bool)
@@ -43,11 +52,9 @@ def keys(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         told[start + k] = False
     for a in range(DEPTH, len(data), SLICE):
         b = min(len(data), a + SLICE)
-        key = data[a:b].astype(np.int64)
-        for k in range(1, DEPTH + 1):
-            key |= data[a - k : b - k].astype(np.int64) << (8 * (DEPTH + 1 - k))
+        key = (ahead[a - DEPTH : b - DEPTH] & (1 << 8 * DEPTH) - 1) << 8 | data[a:b]
         keep = told[a:b]
-        yield key[keep], (np.searchsorted(start, np.arange(a, b), side="right") - 1)[keep]
+        yield key[keep], owners(start, a, b)[keep]
 
 
 def bucket_of(key: np.ndarray) -> np.ndarray:
@@ -66,10 +73,42 @@ def unpacked(b: bytes) -> np.ndarray:
 
 def merged(key: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
-    k, inverse = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *key]), return_inverse=True)
+    k, inverse = distinct(np.concatenate([np.empty(0, dtype=np.int64), *key]))
     return k, np.bincount(inverse, weights=np.concatenate([np.empty(0), *n]), minlength=len(k))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and where each value stands among them; quick on a few sorted runs."""
+    order = np.argsort(x, kind="stable")
+    run = x[order]
+    new = np.diff(run, prepend=-1) != 0
+    inverse = np.empty(len(x), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return run[new], inverse
+
+
+def counted(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how many of each have ``counts`` set: one sort of the keys with that bit below them."""
+    x = np.sort(key << 1 | counts)
+    first = np.flatnonzero(np.diff(x >> 1, prepend=-1))
+    return x[first] >> 1, np.add.reduceat(x & 1, first) if len(x) else x
+
+
+class Words:
+    """The tokens of texts (the end of each included) as codes of distinct words."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes, coded = [], []
+        for a, b in pieces(texts):
+            lists = [[*t.split(), b""] for t in texts[a:b]]
+            sizes += map(len, lists)
+            coded.append(pa.array([w for x in lists for w in x], type=pa.large_binary()).dictionary_encode())
+        self.size = np.array(sizes)
+        whole = pa.chunked_array(coded).unify_dictionaries()
+        self.words: list[bytes] = whole.chunk(0).dictionary.to_pylist()
+        self.code = np.concatenate([np.asarray(c.indices) for c in whole.chunks])
+
+
 def bucketed(words: list[bytes]) -> dict[int, list[bytes]]:
     """Words by bucket, in order."""
     out: dict[int, list[bytes]] = {}
@@ -92,7 +131,7 @@ def stored(docs: DataFrame) -> DataFrame:
         texts, held = [t for _, _, t in own], np.array([h for _, h, _ in own])
         parts: tuple[list, list] = ([], [])
         for key, doc in keys(texts):
-            k, m = merged([key], [~held[doc]])
+            k, m = counted(key, ~held[doc])
             parts[0].append(k)
             parts[1].append(m)
         key, n = merged(*parts)
@@ -101,10 +140,9 @@ def stored(docs: DataFrame) -> DataFrame:
         cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
         for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
             yield chunk, PAIRS, None, None, int(bucket[a]), packed(np.diff(key[a:b], prepend=0)), packed(n[a:b])
-        bag: Counter = Counter()
-        for _, h, t in own:
-            (bag.update if not h else lambda w: bag.update(dict.fromkeys(w, 0)))([*t.split(), b""])
-        for k, w in bucketed(list(bag)).items():
+        told = Words(texts)
+        bag = dict(zip(told.words, np.bincount(told.code, weights=np.repeat(~held, told.size), minlength=len(told.words)).tolist(), strict=True))
+        for k, w in bucketed(told.words).items():
             yield chunk, WORDS, None, None, k, zlib.compress(b" ".join(w), 1), packed(np.array([bag[x] for x in w]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +198,7 @@ class Subtree:
         self.rows = [(key, n, None)]
         for _ in range(DEPTH - 2):
             k, m, _ = self.rows[-1]
-            short, up = np.unique((k >> 16) << 8 | k & 255, return_inverse=True)
+            short, up = distinct((k >> 16) << 8 | k & 255)
             self.rows.append((short, np.bincount(up, weights=m, minlength=len(short)), up))
 
     def nodes(self, position: int) -> list[tuple[np.ndarray, ...]]:
@@ -305,24 +343,25 @@ def scored(docs: DataFrame) -> DataFrame:
         kind, bucket, body = (w.column(c).to_pylist() for c in ("kind", "bucket", "body"))
         score = np.concatenate([np.frombuffer(b, dtype=np.float32) for _, b in sorted((k, b) for x, k, b in zip(kind, bucket, body, strict=True) if x == PAIRS)])
         counts = {k: unpacked(b) for x, k, b in zip(kind, bucket, body, strict=True) if x == WORDS}
-        seen = []
-        sums = np.zeros(len(texts))
+        codes, found = [], []
         for key, _ in keys(texts):
-            seen.append(np.unique(key))
-        distinct = np.unique(np.concatenate(seen))
-        for key, doc in keys(texts):
-            near, inverse = np.unique(key, return_inverse=True)
-            sums += np.bincount(doc, weights=score[np.searchsorted(distinct, near)].astype(np.float64)[inverse], minlength=len(texts))
-        bags = [Counter([*t.split(), b""]) for t in texts]
-        c = {x: n for k, own_words in bucketed(list(set().union(*bags))).items() for x, n in zip(own_words, counts[k].tolist(), strict=True)}
-        out = []
-        for bag, t, s in zip(bags, texts, sums.tolist(), strict=True):
-            n = np.fromiter(bag.values(), dtype=np.int64, count=len(bag))
-            known = np.fromiter((c[x] for x in bag), dtype=np.int64, count=len(bag))
-            out.append((int(n.sum()), int(n @ (known > 0)), float(n @ (np.log10(known + 1) - least)), s, -s * math.log2(10) / len(t)))
-        n_tokens, n_known, base, tree, bits = zip(*out, strict=True)
+            coded = pa.array(key).dictionary_encode()
+            codes.append(np.asarray(coded.indices))
+            found.append(np.asarray(coded.dictionary))
+        pairs, _ = distinct(np.concatenate(found))
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        start, at, sums = np.cumsum(size) - size, 0, np.zeros(len(texts))
+        for code, key in zip(codes, found, strict=True):
+            own_score = score[np.searchsorted(pairs, key)].astype(np.float64)[code]
+            sums += np.bincount(owners(start, at, at + len(code)), weights=own_score, minlength=len(texts))
+            at += len(code)
+        words = Words(texts)
+        c = {x: n for k, own_words in bucketed(words.words).items() for x, n in zip(own_words, counts[k].tolist(), strict=True)}
+        known = np.fromiter((c[x] for x in words.words), dtype=np.int64, count=len(words.words))[words.code]
+        doc = np.repeat(np.arange(len(texts)), words.size)
+        n_known, base = (np.bincount(doc, weights=x, minlength=len(texts)) for x in (known > 0, np.log10(known + 1) - least))
         long_, double = (lambda x: pa.array(x, type=pa.int64())), (lambda x: pa.array(x, type=pa.float64()))
-        return pa.table({"doc_id": d.column("doc_id"), "held_out": d.column("held_out"), "n_tokens": long_(n_tokens), "n_known": long_(n_known), "train_tokens": long_([n_train] * len(d)), "base_score": double(base), "score": double(tree), "bits_per_byte": double(bits)})
+        return pa.table({"doc_id": d.column("doc_id"), "held_out": d.column("held_out"), "n_tokens": long_(words.size), "n_known": long_(n_known.astype(np.int64)), "train_tokens": long_([n_train] * len(d)), "base_score": double(base), "score": double(sums), "bits_per_byte": double(-sums * math.log2(10) / size)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return own.groupBy("home").cogroup(dictionary.groupBy("chunk")).applyInArrow(told, schema)
