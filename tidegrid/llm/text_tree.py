@@ -348,18 +348,22 @@ def scored(docs: DataFrame) -> DataFrame:
             coded = pa.array(key).dictionary_encode()
             codes.append(np.asarray(coded.indices))
             found.append(np.asarray(coded.dictionary))
-        pairs, _ = distinct(np.concatenate(found))
+        pairs = np.sort(np.concatenate(found))
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         start, at, sums = np.cumsum(size) - size, 0, np.zeros(len(texts))
         for code, key in zip(codes, found, strict=True):
-            own_score = score[np.searchsorted(pairs, key)].astype(np.float64)[code]
+            order = np.argsort(key)
+            of_key = np.empty(len(key))
+            of_key[order] = score[np.searchsorted(pairs, key[order])]
+            own_score = of_key[code]
             sums += np.bincount(owners(start, at, at + len(code)), weights=own_score, minlength=len(texts))
             at += len(code)
         words = Words(texts)
         c = {x: n for k, own_words in bucketed(words.words).items() for x, n in zip(own_words, counts[k].tolist(), strict=True)}
-        known = np.fromiter((c[x] for x in words.words), dtype=np.int64, count=len(words.words))[words.code]
+        count = np.fromiter((c[x] for x in words.words), dtype=np.int64, count=len(words.words))
         doc = np.repeat(np.arange(len(texts)), words.size)
-        n_known, base = (np.bincount(doc, weights=x, minlength=len(texts)) for x in (known > 0, np.log10(known + 1) - least))
+        n_known, base = (np.bincount(doc, weights=x, minlength=len(texts)) for x in ((count > 0)[words.code], (np.log10(count + 1) - least)[words.code]))
         long_, double = (lambda x: pa.array(x, type=pa.int64())), (lambda x: pa.array(x, type=pa.float64()))
         return pa.table({"doc_id": d.column("doc_id"), "held_out": d.column("held_out"), "n_tokens": long_(words.size), "n_known": long_(n_known.astype(np.int64)), "train_tokens": long_([n_train] * len(d)), "base_score": double(base), "score": double(sums), "bits_per_byte": double(-sums * math.log2(10) / size)})
 
