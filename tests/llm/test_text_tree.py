@@ -49,10 +49,11 @@ def brute_force(rows):
         yield total
 
 
-@pytest.mark.parametrize("chunk, part", [(1500, 97), (1 << 24, 1 << 21)])
-def test_scores_of_running_text_equal_brute_force(spark, monkeypatch, chunk, part):
+@pytest.mark.parametrize("chunk, part, hot", [(1500, 97, 1 << 20), (1 << 24, 1 << 21, 1 << 20), (1500, 97, 8), (4000, 1 << 21, 60)])
+def test_scores_of_running_text_equal_brute_force(spark, monkeypatch, chunk, part, hot):
     monkeypatch.setattr(text_tree, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(text_tree, "SLICE", part)
+    monkeypatch.setattr(text_tree, "HOT_PAIRS", hot)
     rng = np.random.default_rng(4)
     words = ["the", "cat", "sat", "on", "a", "mat", "ünd", "Über", "x" * 30]
     rows = [(k, "  ".join(rng.choice(words, rng.integers(0, 40)))) for k in range(60)] + [(None, None), (None, ""), (3, "the\ncat\tTHE \x00 \U0001F600"), (9, " ")]
@@ -80,3 +81,21 @@ def test_order_of_words_counts_in_the_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert text_tree.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_contexts_are_split_until_their_cells_are_small(spark, monkeypatch):
+    # "the " stands before half of all words, so its subtree is hot at several depths
+    monkeypatch.setattr(text_tree, "HOT_PAIRS", 40)
+    rows = [(k, " ".join(f"the {chr(97 + k % 26)}{j % 9}{chr(97 + j % 26)}" for j in range(40))) for k in range(60)]
+    stored = text_tree.stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    pairs = stored.filter(stored.kind == text_tree.PAIRS)
+    hot = text_tree.hot_contexts(pairs)
+    assert set(hot) >= {2, 3, 4} and any(c == int.from_bytes(b" eht") for c in hot[4])
+    total: Counter = Counter()
+    for r in text_tree.in_cells(pairs, hot).collect():
+        key = np.cumsum(text_tree.unpacked(r.body))
+        assert (text_tree.cells(key, hot)[1] == r.bucket).all()
+        total[r.depth, r.bucket] += len(key)
+    assert sum(total.values()) == sum(r.size for r in pairs.collect())
+    bound = max(40, sum(total.values()) // 1024)
+    assert all(n <= bound for (depth, _), n in total.items() if depth < text_tree.DEPTH)

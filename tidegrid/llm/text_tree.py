@@ -23,6 +23,9 @@ DEPTH = 6
 CHUNK_BYTES, SLICE = 16 << 20, 1 << 21
 #: Buckets of words by their hash.
 WORD_BUCKETS = 1024
+#: A context is hot if its stored pairs are more than both this number and this share of all: its pairs are split by one byte more.
+#: So hot contexts are at most 1 / HOT_SHARE at each depth, and no task must hold more of the pairs than that.
+HOT_PAIRS, HOT_SHARE = 1 << 20, 1 / 1024
 #: Kinds of stored rows.
 DOCUMENT, PAIRS, WORDS = 0, 1, 2
 
@@ -57,9 +60,18 @@ def keys(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield key[keep], owners(start, a, b)[keep]
 
 
-def bucket_of(key: np.ndarray) -> np.ndarray:
-    """The two nearest bytes: all pairs below them are one subtree."""
-    return key >> (8 * (DEPTH - 1))
+def context(key: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` bytes nearest to the byte of each key."""
+    return key >> 8 * (DEPTH - depth + 1)
+
+
+def cells(key: np.ndarray, hot: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each key the depth at which its subtree is cut off (the least one whose context is not hot) and the least context below that."""
+    depth = np.full(len(key), 2)
+    for d, known in hot.items():
+        depth[np.isin(context(key, d), known)] = d + 1
+    shift = 8 * (DEPTH - depth)
+    return depth, key >> 8 >> shift << shift
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -122,7 +134,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
     Pairs and words have their counts in the training documents of the chunk; those of held-out documents alone have 0.
     """
-    types = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("bucket", pa.int64()), ("body", pa.binary()), ("n", pa.binary())])
+    types = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("bucket", pa.int64()), ("size", pa.int64()), ("body", pa.binary()), ("n", pa.binary())])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types.types)], schema=types)
@@ -135,15 +147,15 @@ def stored(docs: DataFrame) -> DataFrame:
             parts[0].append(k)
             parts[1].append(m)
         key, n = merged(*parts)
-        yield from ((chunk, DOCUMENT, i, h, None, zlib.compress(t, 1), None) for i, h, t in own)
-        bucket = bucket_of(key)
+        yield from ((chunk, DOCUMENT, i, h, None, None, zlib.compress(t, 1), None) for i, h, t in own)
+        bucket = context(key, 2)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
         for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
-            yield chunk, PAIRS, None, None, int(bucket[a]), packed(np.diff(key[a:b], prepend=0)), packed(n[a:b])
+            yield chunk, PAIRS, None, None, int(bucket[a]), b - a, packed(np.diff(key[a:b], prepend=0)), packed(n[a:b])
         told = Words(texts)
         bag = dict(zip(told.words, np.bincount(told.code, weights=np.repeat(~held, told.size), minlength=len(told.words)).tolist(), strict=True))
         for k, w in bucketed(told.words).items():
-            yield chunk, WORDS, None, None, k, zlib.compress(b" ".join(w), 1), packed(np.array([bag[x] for x in w]))
+            yield chunk, WORDS, None, None, k, None, zlib.compress(b" ".join(w), 1), packed(np.array([bag[x] for x in w]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, size = TaskContext.get().partitionId(), 0, 0
@@ -170,7 +182,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
     n, r = HELD_OUT
     d = docs.select("doc_id", (remainder(F.col("doc_id"), n) == r).alias("held_out"), "text")
-    return durable(d.mapInArrow(run, "chunk long, kind int, doc_id long, held_out boolean, bucket long, body binary, n binary"))
+    return durable(d.mapInArrow(run, "chunk long, kind int, doc_id long, held_out boolean, bucket long, size long, body binary, n binary"))
 
 
 _WHOLE = 4096
@@ -188,15 +200,15 @@ def estimates(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Subtree:
-    """Weighted nodes of the contexts from DEPTH down to 2 bytes over whole subtrees of sorted distinct keys.
+    """Weighted nodes of the contexts from DEPTH down to ``root`` bytes over whole subtrees of sorted distinct keys.
 
     A node is a context with the first bits of the byte. At each depth the distinct (context, byte) rows lie in order, so the nodes
     of every bit position are runs of rows.
     """
 
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        self.rows = [(key, n, None)]
-        for _ in range(DEPTH - 2):
+    def __init__(self, key: np.ndarray, n: np.ndarray, root: int):
+        self.root, self.rows = root, [(key, n, None)]
+        for _ in range(DEPTH - root):
             k, m, _ = self.rows[-1]
             short, up = distinct((k >> 16) << 8 | k & 255)
             self.rows.append((short, np.bincount(up, weights=m, minlength=len(short)), up))
@@ -217,18 +229,22 @@ class Subtree:
             out.append((bit, node, first, zero, one, own, weighted))
         return out
 
-    def scores(self, top: tuple[tuple[np.ndarray, ...], ...]) -> np.ndarray:
-        """log10 probability of the byte of each key. ``top``: tables of weight, zeros and ones of the nodes of one byte and of none."""
+    def scores(self, top: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """log10 probability of the byte of each key. ``top``: for each depth from 0 on, hot contexts in order and their nodes' weights, zeros and ones."""
         total = np.zeros(len(self.rows[0][0]))
+        k = self.rows[-1][0]
+        above = [np.searchsorted(top[d][0], k >> 8 * (self.root - d + 1)) for d in range(self.root)]
         for position in range(8):
             levels = self.nodes(position)
-            k = self.rows[-1][0]
-            at = (k >> 16, 1 << position | (k & 255) >> (8 - position))
+            node = 1 << position | (k & 255) >> (8 - position)
             mixed, rest = np.zeros(len(k)), np.ones(len(k))
             bit = levels[-1][0]
-            for (weight, zeros, ones), where in zip(top[::-1], ((0, at[1]), at), strict=True):
-                a, b, w = zeros[where], ones[where], weight[where]
-                mixed, rest = mixed + rest * w * (np.where(bit == 1, b, a) + 0.5) / (a + b + 1.0), rest * (1 - w)
+            parts = []
+            for (_, weight, zeros, ones), row in zip(top, above):
+                a, b = zeros[row, node], ones[row, node]
+                parts.append((weight[row, node], (np.where(bit == 1, b, a) + 0.5) / (a + b + 1.0)))
+            for w, p in parts:
+                mixed, rest = mixed + rest * w * p, rest * (1 - w)
             for depth in range(len(levels) - 1, -1, -1):
                 bit, node, _, a, b, own, weighted = levels[depth]
                 w = 0.5 * np.exp(np.minimum(math.log(2), own - weighted)) if depth else np.ones(len(own))
@@ -241,65 +257,136 @@ class Subtree:
         return total
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """The (chunk, bucket, body) rows of a task, and its distinct keys with their counts."""
-    rows, key, n, held = [], [], [], 0
-    for b in batches:
-        for chunk, bucket, body, count in zip(*(b.column(c).to_pylist() for c in ("chunk", "bucket", "body", "n")), strict=True):
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], Subtree]]:
+    """Runs of whole cells of one depth from rows in order, of about SLICE stored pairs: their (chunk, bucket, body) rows, and the subtrees of their distinct keys."""
+    rows, key, n = [], [], []
+    size = held = 0
+    last = (-1, -1)
+
+    def closed() -> tuple[list[tuple], Subtree]:
+        return rows, Subtree(*merged(key, n), last[0])
+
+    for batch in batches:
+        for depth, bucket, chunk, body, count in zip(*(batch.column(c).to_pylist() for c in ("depth", "bucket", "chunk", "body", "n")), strict=True):
+            if rows and (depth, bucket) != last and (depth != last[0] or size > SLICE // 2):
+                yield closed()
+                rows, key, n, size, held = [], [], [], 0, 0
+            last = depth, bucket
             rows.append((chunk, bucket, body))
             key.append(np.cumsum(unpacked(body)))
             n.append(unpacked(count))
-            held += len(key[-1])
+            size, held = size + len(key[-1]), held + len(key[-1])
             if held > 2 * SLICE + 2 * len(key[0]):
                 k, m = merged(key, n)
                 key, n, held = [k], [m], len(k)
-    return (rows, *merged(key, n))
-
-
-def top_tables(pairs: DataFrame) -> tuple[tuple[np.ndarray, ...], ...]:
-    """Weights and counts of the nodes of contexts of one byte and of none: at most 256 x 256 rows, whatever the corpus."""
+    if rows:
+        yield closed()
+
+
+def hot_contexts(pairs: DataFrame) -> dict[int, np.ndarray]:
+    """Hot contexts by depth from 2 on, in order; those of the full depth can't be split. At most 1 / HOT_SHARE a depth, whatever the corpus."""
+    total = pairs.agg(F.sum("size").alias("n")).first().n or 0
+    bound = max(HOT_PAIRS, int(total * HOT_SHARE))
+    hot: dict[int, np.ndarray] = {}
+    sizes = pairs.groupBy("bucket").agg(F.sum("size").alias("size"))
+    for depth in range(2, DEPTH):
+        found = sizes.filter(F.col("size") > bound).select("bucket").collect()
+        if not found:
+            break
+        hot[depth] = known = np.sort(np.array([r.bucket for r in found]))
+
+        def below(batches: Iterator[pa.RecordBatch], depth: int = depth, known: np.ndarray = known) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for body in batch.column("body").to_pylist():
+                    key = np.cumsum(unpacked(body))
+                    c = context(key[np.isin(context(key, depth), known)], depth + 1)
+                    first = np.flatnonzero(np.diff(c, prepend=-1))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[first]), pa.array(np.diff(first, append=len(c)))], names=["bucket", "size"])
+
+        own = pairs.filter(F.col("bucket").isin(hot[2].tolist())).select("body")
+        sizes = own.mapInArrow(below, "bucket long, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
+    return hot
+
+
+def in_cells(pairs: DataFrame, hot: dict[int, np.ndarray]) -> DataFrame:
+    """Pairs by cell, in order inside their partitions: depth, bucket (the cell's least context), chunk, body, n. Rows of hot buckets are split."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body, count in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body", "n")), strict=True):
+                key, n = np.cumsum(unpacked(body)), unpacked(count)
+                depth, least = cells(key, hot)
+                first = np.flatnonzero(np.diff(least, prepend=-1))
+                ends = [*first[1:].tolist(), len(key)]
+                bodies = [packed(np.diff(key[a:b], prepend=0)) for a, b in zip(first, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(depth[first]), pa.array(least[first]), pa.array([chunk] * len(first), type=pa.int64()), pa.array(bodies, type=pa.binary()), pa.array([packed(n[a:b]) for a, b in zip(first, ends, strict=True)], type=pa.binary())],
+                    names=["depth", "bucket", "chunk", "body", "n"],
+                )
+
+    is_hot = F.col("bucket").isin(hot[2].tolist()) if hot else F.lit(False)
+    out = pairs.filter(~is_hot).select(F.lit(2).cast("long").alias("depth"), F.shiftleft("bucket", 8 * (DEPTH - 2)).alias("bucket"), "chunk", "body", "n")
+    if hot:
+        parts = pairs.filter(is_hot).select("chunk", "body", "n")
+        out = out.unionByName(parts.mapInArrow(split, "depth long, bucket long, chunk long, body binary, n binary"))
+    return out.repartition("depth", "bucket").sortWithinPartitions("depth", "bucket")
+
+
+def top_tables(pairs: DataFrame, hot: dict[int, np.ndarray]) -> list[tuple[np.ndarray, ...]]:
+    """For each depth from 0 on the hot contexts (of one byte and of none: all) with the weights, zeros and ones of their nodes.
+
+    Tasks sum the nodes of their cells by the context one byte shorter, so what reaches the driver is bounded by the number of hot contexts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, key, n = _gathered(batches)
-        tree, sums = Subtree(key, n), np.zeros((3, 65536))
-        for position in range(8):
-            _, _, first, zeros, ones, _, weighted = tree.nodes(position)[-1]
-            k = tree.rows[-1][0][first]
-            at = k >> 16 << 8 | 1 << position | (k & 255) >> (8 - position)
-            for s, x in zip(sums, (zeros, ones, weighted), strict=True):
-                s += np.bincount(at, weights=x, minlength=65536)
-        at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(s[at]) for s in sums)], names=["node", "zeros", "ones", "below"])
-
-    zeros, ones, below = np.zeros((3, 256, 256))
-    nodes = pairs.mapInArrow(run, "node long, zeros double, ones double, below double")
-    for r in nodes.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).collect():
-        at = divmod(r.node, 256)
-        zeros[at], ones[at], below[at] = r.zeros, r.ones, r.below
+        for _, tree in _subtrees(batches):
+            for position in range(8):
+                _, _, first, zeros, ones, _, weighted = tree.nodes(position)[-1]
+                k = tree.rows[-1][0][first]
+                at, up = distinct(k >> 16 << 8 | 1 << position | (k & 255) >> (8 - position))
+                sums = [pa.array(np.bincount(up, weights=x, minlength=len(at))) for x in (zeros, ones, weighted)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree.root - 1)), pa.array(at), *sums], names=["depth", "node", "zeros", "ones", "below"])
+
+    names = ("zeros", "ones", "below")
+    found = pairs.mapInArrow(run, "depth long, node long, zeros double, ones double, below double")
+    found = found.groupBy("depth", "node").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    depth, at = (found.column(c).to_numpy() for c in ("depth", "node"))
+    told = [found.column(c).to_numpy() for c in names]
+    known = {0: np.zeros(1, dtype=np.int64), 1: np.arange(256), **hot}
+    sums = {d: np.zeros((3, len(c), 256)) for d, c in known.items()}
     tables = []
-    for _ in range(2):
-        own = log_estimate(zeros, ones)
-        weighted = np.logaddexp(own, below) - math.log(2)
-        tables.append((0.5 * np.exp(own - weighted), zeros, ones))
-        zeros, ones, below = (x.sum(axis=0, keepdims=True) for x in (zeros, ones, weighted))
-    return tuple(tables)
+    for d in sorted(known, reverse=True):
+        own = depth == d
+        row = np.searchsorted(known[d], at[own] >> 8)
+        for s, x in zip(sums[d], told, strict=True):
+            s[row, at[own] & 255] += x[own]
+        zeros, ones, below = sums[d]
+        kt = log_estimate(zeros, ones)
+        weighted = np.logaddexp(kt, below) - math.log(2)
+        tables.append((known[d], 0.5 * np.exp(kt - weighted), zeros, ones))
+        if d:
+            for s, x in zip(sums[d - 1], (zeros, ones, weighted), strict=True):
+                np.add.at(s, np.searchsorted(known[d - 1], known[d] >> 8), x)
+    return tables[::-1]
 
 
 def pair_scores(rows: DataFrame) -> DataFrame:
-    """log10 probabilities of the pairs of each chunk and bucket in their order, as 32-bit floats: (chunk, kind, bucket, body)."""
-    pairs = rows.filter(F.col("kind") == PAIRS).select("chunk", "bucket", "body", "n").repartition("bucket")
-    top = top_tables(pairs)
+    """log10 probabilities of the pairs of each chunk and cell in their order, as 32-bit floats: (chunk, kind, bucket, body)."""
+    pairs = rows.filter(F.col("kind") == PAIRS).select("chunk", "bucket", "size", "body", "n")
+    hot = hot_contexts(pairs)
+    pairs = in_cells(pairs, hot)
+    top = top_tables(pairs, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, key, n = _gathered(batches)
-        score = Subtree(key, n).scores(top).astype(np.float32)
-        for a in range(0, len(own), 500):
-            part = own[a : a + 500]
-            body = [score[np.searchsorted(key, np.cumsum(unpacked(b)))].tobytes() for _, _, b in part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], type=pa.int64()), pa.array([PAIRS] * len(part), type=pa.int32()), pa.array([r[1] for r in part], type=pa.int64()), pa.array(body, type=pa.binary())],
-                names=["chunk", "kind", "bucket", "body"],
-            )
+        for own, tree in _subtrees(batches):
+            key, score = tree.rows[0][0], tree.scores(top).astype(np.float32)
+            for a in range(0, len(own), 500):
+                part = own[a : a + 500]
+                body = [score[np.searchsorted(key, np.cumsum(unpacked(b)))].tobytes() for _, _, b in part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in part], type=pa.int64()), pa.array([PAIRS] * len(part), type=pa.int32()), pa.array([r[1] for r in part], type=pa.int64()), pa.array(body, type=pa.binary())],
+                    names=["chunk", "kind", "bucket", "body"],
+                )
 
     return pairs.mapInArrow(run, "chunk long, kind int, bucket long, body binary")
 
