@@ -20,12 +20,12 @@ from tidegrid.session import durable
 #: Bytes of context, whatever words they belong to; before a text stand blanks.
 DEPTH = 6
 #: Documents are counted in runs of so many bytes, each with its own pairs and words. Positions that are looked at together.
-CHUNK_BYTES, SLICE = 16 << 20, 1 << 21
+CHUNK_BYTES, SLICE = 16 << 20, 1 << 20
 #: Buckets of words by their hash.
 WORD_BUCKETS = 1024
 #: A context is hot if its stored pairs are more than both this number and this share of all: its pairs are split by one byte more.
 #: So hot contexts are at most 1 / HOT_SHARE at each depth, and no task must hold more of the pairs than that.
-HOT_PAIRS, HOT_SHARE = 1 << 20, 1 / 1024
+HOT_PAIRS, HOT_SHARE = 1 << 19, 1 / 1024
 #: Kinds of stored rows.
 DOCUMENT, PAIRS, WORDS = 0, 1, 2
 
@@ -83,10 +83,22 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where each value first stands in a sorted array."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def merged(key: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
-    k, inverse = distinct(np.concatenate([np.empty(0, dtype=np.int64), *key]))
-    return k, np.bincount(inverse, weights=np.concatenate([np.empty(0), *n]), minlength=len(k))
+    x = np.concatenate([np.empty(0, dtype=np.int64), *key])
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    first = firsts(x)
+    x = x[first]
+    weights = np.concatenate([np.empty(0, dtype=np.int64), *n])[order]
+    return x, np.add.reduceat(weights, first) if len(x) else weights
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +113,10 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how many of each have ``counts`` set: one sort of the keys with that bit below them."""
-    x = np.sort(key << 1 | counts)
-    first = np.flatnonzero(np.diff(x >> 1, prepend=-1))
+    x = key << 1
+    x |= counts
+    x.sort()
+    first = firsts(x >> 1)
     return x[first] >> 1, np.add.reduceat(x & 1, first) if len(x) else x
 
 
@@ -143,10 +157,12 @@ def stored(docs: DataFrame) -> DataFrame:
         texts, held = [t for _, _, t in own], np.array([h for _, h, _ in own])
         parts: tuple[list, list] = ([], [])
         for key, doc in keys(texts):
-            k, m = counted(key, ~held[doc])
-            parts[0].append(k)
-            parts[1].append(m)
+            for p, x in zip(parts, counted(key, ~held[doc]), strict=True):
+                p.append(x)
+            if sum(map(len, parts[0][1:])) > SLICE:
+                parts = tuple([x] for x in merged(*parts))
         key, n = merged(*parts)
+        del parts
         yield from ((chunk, DOCUMENT, i, h, None, None, zlib.compress(t, 1), None) for i, h, t in own)
         bucket = context(key, 2)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
@@ -431,12 +447,14 @@ def scored(docs: DataFrame) -> DataFrame:
         score = np.concatenate([np.frombuffer(b, dtype=np.float32) for _, b in sorted((k, b) for x, k, b in zip(kind, bucket, body, strict=True) if x == PAIRS)])
         counts = {k: unpacked(b) for x, k, b in zip(kind, bucket, body, strict=True) if x == WORDS}
         codes, found = [], []
+        pairs = np.empty(0, dtype=np.int64)
         for key, _ in keys(texts):
             coded = pa.array(key).dictionary_encode()
             codes.append(np.asarray(coded.indices))
             found.append(np.asarray(coded.dictionary))
-        pairs = np.sort(np.concatenate(found))
-        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+            pairs = np.concatenate([pairs, np.sort(found[-1])])
+            pairs.sort(kind="stable")
+            pairs = pairs[firsts(pairs)]
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         start, at, sums = np.cumsum(size) - size, 0, np.zeros(len(texts))
         for code, key in zip(codes, found, strict=True):
