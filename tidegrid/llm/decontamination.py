@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import as_row
+from tidegrid.session import durable
 
 #: Edits allowed as a share of an item's characters.
 RATE = 0.08
@@ -79,7 +80,7 @@ def spans(hits: list[int], size: int, budget: int) -> Iterator[tuple[int, int]]:
 class Matcher:
     """Items of one block, with an automaton over all their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[str, str]], rate: float):
         import ahocorasick
 
         self.items = [(i, x, int(len(x) * rate)) for i, x in items]
@@ -93,8 +94,8 @@ class Matcher:
             self.automaton.add_word(piece, at)
         self.automaton.make_automaton()
 
-    def found(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item id, least distance, end in the normalised text) of each item within its budget."""
+    def found(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """(item, least distance, end in the normalised text) of each item within its budget."""
         starts: dict[int, list[int]] = {}
         for end, at in self.automaton.iter(text):
             for k, last in at:
@@ -108,32 +109,37 @@ class Matcher:
                 yield i, best[0], best[1] + best[2]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs of document and benchmark item: doc_id, item_id, edits (least distance), end (in the normalised text).
+def digest(text: str = "text") -> Column:
+    return F.md5(F.col(text).cast("binary"))
 
-    Both texts are put in lower case with single blanks. An item matches if some substring of the document is within
-    ``rate`` of its length in edits; short items thus must occur exactly, empty or missing ones match nothing. Repeated
-    document rows give a pair each, items of equal text one each. The benchmark may be of any size: it goes to the tasks
-    in blocks of bounded bytes, one pass over the documents a block.
+
+def matches(docs: DataFrame, items: DataFrame, rate: float, block_bytes: int) -> DataFrame:
+    """doc_id, item (digest of its text), edits, end for each document row and each item text it holds. ``doc_id`` may be of any type.
+
+    Equal item texts are one. Their blocks are balanced, for different texts are dealt by hash; the driver holds one block at a time,
+    and of several blocks each one's matches are stored before the next is read.
     """
-    items = benchmark.select("item_id", "text").filter(F.length(F.trim("text")) > 0)
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = items.select(digest().alias("item"), "text").dropDuplicates(["item"])
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
-    items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))
+    texts = durable(texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))) if n > 1 else texts.withColumn("block", F.lit(0))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(block: int) -> DataFrame:
-        own = [(r.item_id, x) for r in items.filter(F.col("block") == block).collect() if (x := normal(r.text))]
+        own = [(r.item, x) for r in texts.filter(F.col("block") == block).collect() if (x := normal(r.text))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(own, rate) if own else None
             for batch in batches:
+                types = (batch.schema.field("doc_id").type, pa.string(), pa.int64(), pa.int64())
                 out = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if text and matcher:
                         out += [(doc, *x) for x in matcher.found(normal(text))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=pa.int64()) for k in range(4)], names=["doc_id", "item_id", "edits", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=t) for k, t in enumerate(types)], names=["doc_id", "item", "edits", "end"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, end long")
+        found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item string, edits long, end long")
+        return durable(found) if n > 1 else found
 
     found = one(0)
     for block in range(1, n):
@@ -141,9 +147,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
     return found
 
 
+def filled(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").filter(F.length(F.trim("text")) > 0)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Pairs of document and benchmark item: doc_id, item_id, edits (least distance), end (in the normalised text).
+
+    Both texts are put in lower case with single blanks. An item matches if some substring of the document is within
+    ``rate`` of its length in edits; short items thus must occur exactly, empty or missing ones match nothing. Repeated
+    document rows give a pair each, items of equal text one each. The benchmark may be of any size: it goes to the tasks
+    in blocks of bounded bytes, one pass over the documents a block.
+    """
+    items = filled(benchmark)
+    found = matches(docs, items, rate, block_bytes)
+    return found.join(items.select(digest().alias("item"), "item_id"), "item").select("doc_id", "item_id", "edits", "end")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any benchmark item; all columns are kept, rows are judged one by one by their text."""
     # texts are found by a digest, for document ids may be missing or repeated
-    own = F.xxhash64("text")
-    bad = contaminated(docs.select(own.alias("doc_id"), "text"), benchmark, rate, block_bytes).select(F.col("doc_id").alias("digest")).distinct()
+    own = digest()
+    bad = matches(docs.select(own.alias("doc_id"), "text"), filled(benchmark), rate, block_bytes).select(F.col("doc_id").alias("digest")).distinct()
     return docs.select(as_row(docs), own.alias("digest")).join(bad, "digest", "left_anti").select("row.*")
