@@ -39,16 +39,18 @@ def once(c: Column, then) -> Column:
     return F.element_at(F.transform(F.array(c), then), 1)
 
 
-def upto_last_close(t: Column, name: str) -> Column:
-    """Length of the text up to its last closing tag of the name; 0 without one. No element can begin behind it."""
-    return F.when(F.contains(F.lower(t), F.lit(f"</{name}")), F.length(F.regexp_extract(t, rf"(?is)^.*</{name}\s*>", 0))).otherwise(F.lit(0))
+def without(name: str):
+    """A step that drops the elements of a name. An opening tag that is never closed takes the rest of the text, which stays, so it costs one pass: no later one is closed either."""
+    pattern = rf"(?s)<(?i:{name})\b(?:[^>]*>.*?</(?i:{name})\s*>|(?<=(<(?i:{name})))(.*))"
+    return lambda t: F.regexp_replace(t, pattern, "$1$2")
 
 
-def without(name: str):
-    """A step that drops the elements of a name. Only the part before the last closing tag is searched, so opening tags that are never closed cost nothing."""
-    pattern = rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>"
-    cut = lambda t, n: F.when(n == 0, t).otherwise(F.concat(F.regexp_replace(F.substr(t, F.lit(1), n), pattern, ""), F.substr(t, n + 1)))
-    return lambda t: once(upto_last_close(t, name), lambda n: cut(t, n))
+def by_first(names: str) -> str:
+    """The same alternatives, grouped by their first letter, so that most are not tried."""
+    tails: dict[str, list[str]] = {}
+    for name in names.split("|"):
+        tails.setdefault(name[0], []).append(name[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in tails.items())
 
 
 def replaced(t: Column, mark: str, pattern: str, by: str) -> Column:
@@ -57,24 +59,40 @@ def replaced(t: Column, mark: str, pattern: str, by: str) -> Column:
     return F.when(F.contains(t, F.lit(mark)), once(F.substring_index(t, mark, -1), tail)).otherwise(t)
 
 
+def references(t: Column) -> Column:
+    """Character references read: the text is cut before each ampersand, so no reference is made of what another one becomes."""
+    part = lambda x: reduce(lambda c, e: c.when(F.startswith(x, F.lit(e[0][1:])), F.concat(F.lit(e[1]), F.substr(x, F.lit(len(e[0]))))), ENTITIES, F.when(F.lit(False), x))
+    return F.concat_ws("", F.transform(F.split(t, "&"), lambda x, i: F.when(i == 0, x).otherwise(part(x).otherwise(F.concat(F.lit("&"), x)))))
+
+
+def lines(t: Column) -> Column:
+    """Lines without the blanks around them, empty ones dropped. Blanks and line ends before a last sign of Unicode that ends a line go too."""
+    trimmed = F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    odd = reduce(lambda a, b: a | b, [F.endswith(t, F.lit(x)) for x in "\u0085\u2028\u2029"])
+    return F.when(odd, F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")).otherwise(trimmed)
+
+
 def plain_text(html: Column) -> Column:
     """Text of an HTML page: comments, scripts and the like dropped, block elements as line ends, references read, blanks collapsed.
 
-    A step is taken only where its mark occurs. Time is in proportion to the page's length, also where tags or comments are
-    opened many times and never closed.
+    A step is taken only where its mark occurs, as far as that is cheap to tell. Time is in proportion to the page's length, also
+    where tags or comments are opened many times and never closed.
     """
-    steps = [lambda t: F.when(F.contains(t, F.lit("<!--")), replaced(t, "-->", r"(?s)<!--.*?-->", "")).otherwise(t)]
-    steps += [without(name) for name in DROPPED]
-    steps.append(lambda t: replaced(t, ">", rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"))
+    either = lambda t, marks: reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for m in marks])
+    seldom = DROPPED[2:-1]
+    steps = [lambda t: F.when(F.contains(t, F.lit("<!--")), F.regexp_replace(t, r"(?s)<!--(?:.*?-->|(?<=(<!--))(.*))", "$1$2")).otherwise(t)]
+    steps += [without(name) for name in DROPPED[:2]]
+    steps.append(lambda t: F.when(F.rlike(t, F.lit(f"</(?i:{'|'.join(seldom)})")), reduce(once, map(without, seldom), t)).otherwise(t))
+    steps += [without(name) for name in DROPPED[-1:]]
+    steps.append(lambda t: replaced(t, ">", rf"</?(?i:{by_first(BLOCKS)})\b[^>]*>", "\n"))
     steps.append(lambda t: replaced(t, ">", r"<[!/?a-zA-Z][^>]*>", ""))
-    steps.append(lambda t: F.when(F.contains(t, F.lit("&")), reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, t)).otherwise(t))
-    steps.append(lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f\x0B]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", ""))
-    return reduce(once, steps, html)
+    steps.append(lambda t: F.when(F.contains(t, F.lit("&")), references(t)).otherwise(t))
+    steps.append(lambda t: F.when(either(t, ("  ", "\t", "\r", "\f", "\x0b")), F.regexp_replace(t, r"[ \t\r\f\x0B](?:[ \t\r\f\x0B]+|(?<=[\t\r\f\x0B]))", " ")).otherwise(t))
+    return reduce(once, [*steps, lines], html)
 
 
 def title_of(html: Column) -> Column:
-    inside = once(upto_last_close(html, "title"), lambda n: F.when(n == 0, F.lit("")).otherwise(F.regexp_extract(F.substr(html, F.lit(1), n), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
-    return F.trim(F.regexp_replace(inside, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b(?:[^>]*>(.*?)</title\s*>|.*)", 1), r"\s+", " "))
 
 
 def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
