@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tidegrid.llm import queries, text_tree
+from tidegrid.llm.common import pieces
 from tidegrid.llm.language_model import tokens
 
 
@@ -79,6 +80,22 @@ def test_order_of_words_counts_in_the_query(spark, tmp_path):
     assert got[100] > got[101] + 1
 
 
+@pytest.mark.parametrize("part", [40, 1 << 21])
+def test_words_are_cut_as_one_array(monkeypatch, part):
+    # no list of Python objects a token: the words are an Arrow dictionary, their order by bucket is an array
+    monkeypatch.setattr(text_tree, "pieces", lambda texts: pieces(texts, part))
+    texts = [None, "", "  ", "b a\tb", "\x00 ünd \U0001F600 \xa0", "x" * 100, "a b " * 30, "B", None]
+    lists = [tokens(t) for t in texts]
+    for own in (lists, [[b""]]):
+        told = text_tree.Words([text_tree.running(w) for w in own])
+        assert told.words.take(told.code).to_pylist() == [w for x in own for w in x] and told.size.tolist() == [len(x) for x in own]
+        order, buckets, first = text_tree.bucketed(told.words)
+        words = told.words.take(order).to_pylist()
+        each = np.repeat(buckets, np.diff(first, append=len(words))).tolist()
+        assert len(set(words)) == len(words) and each == [zlib.crc32(w) % text_tree.WORD_BUCKETS for w in words]
+        assert list(zip(each, words)) == sorted(zip(each, words))
+
+
 def test_empty_table(spark):
     assert text_tree.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

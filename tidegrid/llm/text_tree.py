@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,26 +122,32 @@ def counted(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Words:
-    """The tokens of texts (the end of each included) as codes of distinct words."""
+    """The tokens of running texts (the end of each included) as codes of distinct words. Each token ends with the next blank."""
 
     def __init__(self, texts: list[bytes]):
         sizes, coded = [], []
         for a, b in pieces(texts):
-            lists = [[*t.split(), b""] for t in texts[a:b]]
-            sizes += map(len, lists)
-            coded.append(pa.array([w for x in lists for w in x], type=pa.large_binary()).dictionary_encode())
-        self.size = np.array(sizes)
+            data = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
+            blank = data == 32
+            ends = np.flatnonzero(blank)
+            upto = np.cumsum(np.fromiter(map(len, texts[a:b]), dtype=np.int64, count=b - a))
+            sizes.append(np.diff(np.searchsorted(ends, upto), prepend=0))
+            offsets = np.append(0, ends - np.arange(len(ends)))
+            own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])])
+            coded.append(own.dictionary_encode())
+        self.size = np.concatenate(sizes)
         whole = pa.chunked_array(coded).unify_dictionaries()
-        self.words: list[bytes] = whole.chunk(0).dictionary.to_pylist()
+        self.words: pa.Array = whole.chunk(0).dictionary
         self.code = np.concatenate([np.asarray(c.indices) for c in whole.chunks])
 
 
-def bucketed(words: list[bytes]) -> dict[int, list[bytes]]:
-    """Words by bucket, in order."""
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        out.setdefault(zlib.crc32(w) % WORD_BUCKETS, []).append(w)
-    return out
+def bucketed(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the words by bucket and then by themselves, the buckets that hold any, and where each begins in that order."""
+    bucket = np.fromiter(map(zlib.crc32, words.to_pylist()), dtype=np.int64, count=len(words)) % WORD_BUCKETS
+    order = pc.sort_indices(words).to_numpy()
+    order = order[np.argsort(bucket[order], kind="stable")]
+    first = firsts(bucket[order])
+    return order, bucket[order][first], first
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -169,9 +176,11 @@ def stored(docs: DataFrame) -> DataFrame:
         for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
             yield chunk, PAIRS, None, None, int(bucket[a]), b - a, packed(np.diff(key[a:b], prepend=0)), packed(n[a:b])
         told = Words(texts)
-        bag = dict(zip(told.words, np.bincount(told.code, weights=np.repeat(~held, told.size), minlength=len(told.words)).tolist(), strict=True))
-        for k, w in bucketed(told.words).items():
-            yield chunk, WORDS, None, None, k, None, zlib.compress(b" ".join(w), 1), packed(np.array([bag[x] for x in w]))
+        bag = np.bincount(told.code, weights=np.repeat(~held, told.size), minlength=len(told.words)).astype(np.int64)
+        order, buckets, first = bucketed(told.words)
+        words, bag = told.words.take(pa.array(order)).to_pylist(), bag[order]
+        for k, a, b in zip(buckets.tolist(), first.tolist(), [*first[1:].tolist(), len(words)], strict=True):
+            yield chunk, WORDS, None, None, k, None, zlib.compress(b" ".join(words[a:b]), 1), packed(bag[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, size = TaskContext.get().partitionId(), 0, 0
@@ -446,27 +455,28 @@ def scored(docs: DataFrame) -> DataFrame:
         kind, bucket, body = (w.column(c).to_pylist() for c in ("kind", "bucket", "body"))
         score = np.concatenate([np.frombuffer(b, dtype=np.float32) for _, b in sorted((k, b) for x, k, b in zip(kind, bucket, body, strict=True) if x == PAIRS)])
         counts = {k: unpacked(b) for x, k, b in zip(kind, bucket, body, strict=True) if x == WORDS}
-        codes, found = [], []
+        orders, found = [], []
         pairs = np.empty(0, dtype=np.int64)
         for key, _ in keys(texts):
-            coded = pa.array(key).dictionary_encode()
-            codes.append(np.asarray(coded.indices))
-            found.append(np.asarray(coded.dictionary))
-            pairs = np.concatenate([pairs, np.sort(found[-1])])
+            order = np.argsort(key).astype(np.int32)
+            key = key[order]
+            first = firsts(key)
+            orders.append((order, np.diff(first, append=len(key)).astype(np.int32)))
+            found.append(key[first])
+            pairs = np.concatenate([pairs, found[-1]])
             pairs.sort(kind="stable")
             pairs = pairs[firsts(pairs)]
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         start, at, sums = np.cumsum(size) - size, 0, np.zeros(len(texts))
-        for code, key in zip(codes, found, strict=True):
-            order = np.argsort(key)
-            of_key = np.empty(len(key))
-            of_key[order] = score[np.searchsorted(pairs, key[order])]
-            own_score = of_key[code]
-            sums += np.bincount(owners(start, at, at + len(code)), weights=own_score, minlength=len(texts))
-            at += len(code)
+        for (order, times), key in zip(orders, found, strict=True):
+            own_score = np.empty(len(order))
+            own_score[order] = np.repeat(score[np.searchsorted(pairs, key)], times)
+            sums += np.bincount(owners(start, at, at + len(order)), weights=own_score, minlength=len(texts))
+            at += len(order)
         words = Words(texts)
-        c = {x: n for k, own_words in bucketed(words.words).items() for x, n in zip(own_words, counts[k].tolist(), strict=True)}
-        count = np.fromiter((c[x] for x in words.words), dtype=np.int64, count=len(words.words))
+        order, buckets, _ = bucketed(words.words)
+        count = np.empty(len(order), dtype=np.int64)
+        count[order] = np.concatenate([counts[k] for k in buckets.tolist()])
         doc = np.repeat(np.arange(len(texts)), words.size)
         n_known, base = (np.bincount(doc, weights=x, minlength=len(texts)) for x in ((count > 0)[words.code], (np.log10(count + 1) - least)[words.code]))
         long_, double = (lambda x: pa.array(x, type=pa.int64())), (lambda x: pa.array(x, type=pa.float64()))
