@@ -455,24 +455,23 @@ def scored(docs: DataFrame) -> DataFrame:
         kind, bucket, body = (w.column(c).to_pylist() for c in ("kind", "bucket", "body"))
         score = np.concatenate([np.frombuffer(b, dtype=np.float32) for _, b in sorted((k, b) for x, k, b in zip(kind, bucket, body, strict=True) if x == PAIRS)])
         counts = {k: unpacked(b) for x, k, b in zip(kind, bucket, body, strict=True) if x == WORDS}
-        orders, found = [], []
+        # the keys are made twice, so that a chunk holds its distinct ones only
         pairs = np.empty(0, dtype=np.int64)
         for key, _ in keys(texts):
-            order = np.argsort(key).astype(np.int32)
-            key = key[order]
-            first = firsts(key)
-            orders.append((order, np.diff(first, append=len(key)).astype(np.int32)))
-            found.append(key[first])
-            pairs = np.concatenate([pairs, found[-1]])
+            key.sort()
+            pairs = np.concatenate([pairs, key[firsts(key)]])
             pairs.sort(kind="stable")
             pairs = pairs[firsts(pairs)]
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        start, at, sums = np.cumsum(size) - size, 0, np.zeros(len(texts))
-        for (order, times), key in zip(orders, found, strict=True):
-            own_score = np.empty(len(order))
-            own_score[order] = np.repeat(score[np.searchsorted(pairs, key)], times)
-            sums += np.bincount(owners(start, at, at + len(order)), weights=own_score, minlength=len(texts))
-            at += len(order)
+        sums = np.zeros(len(texts))
+        for key, doc in keys(texts):
+            order = np.argsort(key)
+            key = key[order]
+            first = firsts(key)
+            own_score = np.empty(len(key))
+            own_score[order] = np.repeat(score[np.searchsorted(pairs, key[first])], np.diff(first, append=len(key)))
+            sums += np.bincount(doc, weights=own_score, minlength=len(texts))
+        del pairs, score
         words = Words(texts)
         order, buckets, _ = bucketed(words.words)
         count = np.empty(len(order), dtype=np.int64)
